@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, html, language, mixing, quality, secrets, urls
 
-MODULES = (quality, decontaminate)
+MODULES = (quality, mixing, decontaminate, secrets, language, urls, html)
 
 
 def queries() -> dict:
