@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker tokenises at a time.  It bounds the
 #: worker's memory; one longer document is a piece of its own.
 PIECE_BYTES = 4 << 20
+#: Rows of a piece at most.
+PIECE_ROWS = 50_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -70,7 +72,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         if not batch.num_rows:
             continue
         size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        which = np.cumsum(size, dtype=np.int64) // PIECE_BYTES
+        which = np.cumsum(size, dtype=np.int64) // PIECE_BYTES + np.arange(batch.num_rows) // PIECE_ROWS
         cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
