@@ -31,17 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, pieces, table, texts, window_hashes, word_hashes
+from .common import map_pieces, table, texts, window_hashes, word_hashes
+from .incidence import Rows, Shared, key_blocks, shared_keys
 from .linking import link
 
 N, PERCENT = 5, 75
 #: Share of the hash range, in eighths, whose columns are counted.
 REGION = 3
-#: N-grams of a column block, about.
-BLOCK_NGRAMS = 4_000_000
 
 _TOP = np.uint64(REGION << 61)
-_ANY = np.uint16(65535)
 
 
 def shingles(many: list[bytes], n: int = N) -> list[np.ndarray]:
@@ -84,129 +82,39 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
     return map_pieces(rows, make, f"doc_id {kind}, text_hash long, n_shingles long, digest binary")
 
 
-_COLUMNS = "bucket int, piece binary, a binary, b binary, c binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("piece", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_PAIR = np.dtype([("t", "<u8"), ("l", "<u2")])
-
-
-def _blocks(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
-    """Blocks of the incidence: for each piece a header (its digests, sizes
-    and the pairs of n-grams that several of its documents have) and, for each
-    column block, n-grams with the row that has them."""
-
-    def run(batches):
-        import xxhash
-
-        for piece in pieces(batches):
-            rows = []
-            known: set[bytes] = set()
-            for grams in shingles(texts(piece), n):
-                d = digest_of(grams)
-                if len(grams) and d not in known:
-                    known.add(d)
-                    rows.append((d, grams))
-            if not rows:
-                continue
-            sent, owner = [], []
-            for i, (_, grams) in enumerate(rows):
-                inside = int(np.searchsorted(grams, _TOP))
-                # where the counted columns don't fill the prefix, the next ones do
-                own = grams[: max(inside, min(len(grams), prefix(len(grams), percent)))]
-                sent.append(own)
-                owner.append(np.full(len(own), i, np.uint16))
-            t, l = np.concatenate(sent), np.concatenate(owner)
-            order = np.argsort(t, kind="stable")
-            t, l = t[order], l[order]
-            new = np.concatenate([[True], t[1:] != t[:-1]])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(t)))
-            alone = times == 1
-            several = ~np.repeat(alone, times)
-            pairs = np.empty(int(several.sum()), _PAIR)
-            pairs["t"], pairs["l"] = t[several], l[several]
-            ids = b"".join(d for d, _ in rows)
-            name = xxhash.xxh3_128_digest(ids)
-            out = [(many + int.from_bytes(name[:4], "little") % many, name, ids, np.array([len(g) for _, g in rows], np.int64).tobytes(), pairs.tobytes())]
-            gram, who = t[first], np.where(alone, l[first], _ANY)
-            column = (gram % np.uint64(many)).astype(np.int32)
-            order = np.argsort(column, kind="stable")
-            cuts = np.flatnonzero(np.diff(column[order])) + 1
-            for at in np.split(order, cuts):
-                w = who[at]
-                out.append((int(column[at[0]]), name, gram[at].tobytes(), w.tobytes(), times[at][w == _ANY].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-    return docs.select("text").mapInArrow(run, _COLUMNS)
-
-
-def _count(block: pa.Table) -> pa.Table:
-    """Column counts of a column block; headers pass."""
-    bucket, names, a, b, c = (block.column(i).to_pylist() for i in range(5))
-    rows = [i for i in range(len(names)) if len(b[i]) * 4 == len(a[i])]  # n-grams: 8 bytes against 2
-    head = [i for i in range(len(names)) if len(b[i]) * 2 == len(a[i])]  # digests: 16 against 8
-    out = [(names[i], 0, a[i], b[i], c[i]) for i in head]
-    if rows:
-        gram = np.concatenate([np.frombuffer(a[i], np.uint64) for i in rows])
-        who = np.concatenate([np.frombuffer(b[i], np.uint16) for i in rows])
-        weight = np.ones(len(gram), np.int64)
-        weight[who == _ANY] = np.concatenate([np.frombuffer(c[i], np.uint32) for i in rows])
-        _, inverse = np.unique(gram, return_inverse=True)
-        total = np.bincount(inverse, weights=weight)[inverse].astype(np.int64)
-        at = 0
-        for i in rows:
-            k = len(a[i]) // 8
-            g, w, d = gram[at : at + k], who[at : at + k], np.minimum(total[at : at + k], 0xFFFFFFFF).astype(np.uint32)
-            at += k
-            shared = d > 1
-            lone = w[~shared & (g < _TOP)]
-            out.append((names[i], 1, g[shared].tobytes(), w[shared].tobytes(), d[shared].tobytes()))
-            out.append((names[i], 2, lone.tobytes(), b"", b""))
-    columns = zip(*out, strict=True) if out else [[]] * 5
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["piece", "kind", "a", "b", "c"])
+def _block(n: int, percent: int):
+    """Rows of the incidence: a piece's distinct sets, with the columns that
+    are counted, or where these don't fill the prefix the next ones too."""
+
+    def run(piece: pa.RecordBatch) -> Rows | None:
+        rows: dict[bytes, np.ndarray] = {}
+        for grams in shingles(texts(piece), n):
+            if len(grams):
+                rows.setdefault(digest_of(grams), grams)
+        if not rows:
+            return None
+        sent = [g[: max(int(np.searchsorted(g, _TOP)), min(len(g), prefix(len(g), percent)))] for g in rows.values()]
+        who = np.repeat(np.arange(len(sent)), [len(g) for g in sent])
+        return Rows(np.concatenate(sent), who, who, (b"".join(rows), np.array([len(g) for g in rows.values()], np.int64).tobytes()))
+
+    return run
 
 
 def _prefixes(percent: int):
-    def run(block: pa.Table) -> pa.Table:
-        """Prefix n-grams of the rows of a block that the bound leaves."""
-        kind, a, b, c = (block.column(i).to_pylist() for i in range(1, 5))
-        heads = [i for i, k in enumerate(kind) if k == 0]
-        keys, ids, sizes = [], [], []
-        if heads:
-            h = heads[0]  # blocks of equal rows have one name and equal headers
-            size = np.frombuffer(b[h], np.int64)
-            pairs = np.frombuffer(c[h], _PAIR)
-            lone = np.concatenate([np.frombuffer(a[i], np.uint16) for i, k in enumerate(kind) if k == 2] or [np.empty(0, np.uint16)])
-            alone = np.bincount(lone, minlength=len(size)) if len(heads) == 1 else np.zeros(len(size), np.int64)
-            room = np.array([prefix(int(x), percent) for x in size]) - alone
-            got = [i for i, k in enumerate(kind) if k == 1]
-            gram = np.concatenate([np.frombuffer(a[i], np.uint64) for i in got] or [np.empty(0, np.uint64)])
-            who = np.concatenate([np.frombuffer(b[i], np.uint16) for i in got] or [np.empty(0, np.uint16)])
-            count = np.concatenate([np.frombuffer(c[i], np.uint32) for i in got] or [np.empty(0, np.uint32)])
-            if len(heads) > 1:  # the blocks' rows came once for each
-                order = np.lexsort((gram, who))
-                gram, who, count = gram[order], who[order], count[order]
-                new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])])[: len(gram)]
-                gram, who, count = gram[new], who[new], count[new]
-            if len(pairs):
-                several = who == _ANY
-                g, d = gram[several], count[several]
-                order = np.argsort(g)
-                g, d = g[order], d[order]
-                at = np.searchsorted(g, pairs["t"])
-                gram, who, count = np.concatenate([gram[~several], pairs["t"]]), np.concatenate([who[~several], pairs["l"]]), np.concatenate([count[~several], d[at]])
-            fits = room[who] > 0
-            gram, who, count = gram[fits], who[fits], count[fits]
-            # counted columns first, by count; the others by hash
-            count = np.where(gram < _TOP, count, np.uint32(0xFFFFFFFF))
-            order = np.lexsort((gram, count, gram >= _TOP, who))
-            gram, who = gram[order], who[order]
-            begin = np.searchsorted(who, who)
-            take = np.arange(len(who)) - begin < room[who]
-            gram, who = gram[take], who[take]
-            keys, sizes = gram.view(np.int64), size[who]
-            names = a[h]
-            ids = [names[16 * i : 16 * i + 16] for i in who.tolist()]
-        return pa.table([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "n"])
+    """Prefix n-grams of the rows of a piece that the bound leaves."""
+
+    def run(got: Shared) -> dict:
+        names, size = got.head[0], np.frombuffer(got.head[1], np.int64)
+        alone = np.bincount(got.lone, minlength=len(size)) // got.copies
+        room = np.array([prefix(int(x), percent) for x in size]) - alone
+        fits = room[got.place] > 0
+        gram, who, count = got.key[fits], got.place[fits], got.count[fits]
+        # counted columns first, by count; the others by hash
+        order = np.lexsort((gram, np.where(gram < _TOP, count, 0), gram >= _TOP, who))
+        gram, who = gram[order], who[order]
+        take = np.arange(len(who)) - np.searchsorted(who, who) < room[who]
+        gram, who = gram[take], who[take]
+        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who]}
 
     return run
 
@@ -217,10 +125,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     rows = table(classes(docs, n), "classes")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    many = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * REGION // 8 // BLOCK_NGRAMS, 1)
-    counted = _blocks(docs, n, percent, many).groupBy("bucket").applyInArrow(_count, "piece binary, kind int, a binary, b binary, c binary")
-    buckets = counted.groupBy("piece").applyInArrow(_prefixes(percent), "key long, id binary, n long")
-    buckets = table(buckets, "prefixes")
+    many = key_blocks(spark, total * REGION // 8)
+    buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long", many, int(_TOP)), "prefixes")
     reps = rows.groupBy("digest").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("digest", "r.text_hash", "r.doc_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
