@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, language, mixing, quality, secrets, urls
+from . import decontaminate, html, jaccard, language, lines, mixing, quality, secrets, urls
 
-MODULES = (quality, mixing, decontaminate, secrets, language, jaccard, urls, html)
+MODULES = (quality, mixing, decontaminate, secrets, language, jaccard, urls, html, lines)
 
 
 def queries() -> dict:
