@@ -27,6 +27,8 @@ from .common import pieces
 BLOCK_KEYS = 4_000_000
 
 _ANY = np.uint32(0xFFFFFFFF)
+#: A count's highest bit says that the piece leads.
+_LEAD = np.uint32(1 << 31)
 _PAIR = np.dtype([("t", "<u8"), ("l", "<u4")])
 _SENT = "bucket int, piece binary, kind int, a binary, b binary, c binary"
 _TYPES = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -49,13 +51,15 @@ class Rows:
 
 @dataclass
 class Shared:
-    """What comes back: shared keys with their places and row counts, and the
+    """What comes back: shared keys with their places and row counts, whether
+    this piece is the first that has the key (of all pieces, by name), and the
     places of keys below ``top`` that no other row has."""
 
     head: tuple[bytes, bytes]
     key: np.ndarray
     place: np.ndarray
     count: np.ndarray
+    lead: np.ndarray
     lone: np.ndarray
     copies: int  # pieces of equal content
 
@@ -105,14 +109,20 @@ def _count(top: int):
             weight[who == _ANY] = np.concatenate([np.frombuffer(c[i], np.uint32) for i in rows])
             order = np.argsort(gram, kind="stable")
             new = np.concatenate([[True], np.diff(gram[order]) != 0])
+            begin, group = np.flatnonzero(new), np.cumsum(new) - 1
             total = np.empty(len(gram), np.int64)
-            total[order] = np.add.reduceat(weight[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            total[order] = np.add.reduceat(weight[order], begin)[group]
+            by_name = {x: r for r, x in enumerate(sorted({names[i] for i in rows}))}
+            rank = np.repeat(np.array([by_name[names[i]] for i in rows]), [len(a[i]) // 8 for i in rows])
+            lead = np.empty(len(gram), bool)
+            lead[order] = np.minimum.reduceat(rank[order], begin)[group] == rank[order]
             at = 0
             for i in rows:
                 k = len(a[i]) // 8
-                g, w, d = gram[at : at + k], who[at : at + k], np.minimum(total[at : at + k], 0xFFFFFFFF).astype(np.uint32)
-                at += k
+                g, w, d = gram[at : at + k], who[at : at + k], np.minimum(total[at : at + k], 0x7FFFFFFF).astype(np.uint32)
                 shared = d > 1
+                d |= np.where(lead[at : at + k], _LEAD, np.uint32(0))
+                at += k
                 if shared.any():
                     out.append((names[i], 1, g[shared].tobytes(), w[shared].tobytes(), d[shared].tobytes()))
                 if top:
@@ -151,7 +161,7 @@ def _gather(block: pa.Table) -> Shared | None:
         key, place, count = key[order], place[order], count[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])[: len(key)]
         key, place, count = key[new], place[new], count[new]
-    return Shared((a[heads[0]], b[heads[0]]), key, place, count, joined(a, 2, 0, np.uint32), len(heads))
+    return Shared((a[heads[0]], b[heads[0]]), key, place, count & ~_LEAD, count >= _LEAD, joined(a, 2, 0, np.uint32), len(heads))
 
 
 def shared_keys(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, language, lines, mixing, quality, secrets, urls
+from . import decontaminate, html, jaccard, language, lines, mixing, quality, secrets, suffix, urls
 
-MODULES = (quality, mixing, decontaminate, secrets, language, jaccard, urls, html, lines)
+MODULES = (quality, mixing, decontaminate, secrets, language, jaccard, urls, html, lines, suffix)
 
 
 def queries() -> dict:
