@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int
     """*sizes* (source, skey, source_size) with rank, weight and target.
 
     One row for each source, in one task.  By ascending ratio of cap to
-    weight, the level is where what is left, shared by the weights left, no
-    longer exceeds the ratio.
+    weight, the level is what is left, shared by the weights left, at the first
+    source whose ratio it doesn't exceed; from there on it only falls.
     """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int
     ranked = ranked.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
     ranked = ranked.withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    ranked = ranked.withColumn("level", F.min(fits).over(everything))
+    ranked = ranked.withColumn("level", F.max(fits).over(everything))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return ranked.select("skey", "source_size", "rank", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
@@ -148,7 +148,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, CAST([{', '.join(map(str, WEIGHTS))}][rk % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, CAST({MAX_REPEAT} * source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, sum(cap) OVER q - cap AS before, sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wleft,
         sum(source_size) OVER () * {SHARE} AS total FROM w WINDOW q AS (ORDER BY cap / weight, rk)),
-v AS (SELECT *, min(CASE WHEN (total - before) / wleft <= cap / weight THEN (total - before) / wleft END) OVER () AS level FROM l),
+v AS (SELECT *, max(CASE WHEN (total - before) / wleft <= cap / weight THEN (total - before) / wleft END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, least(cap, level * weight) AS target, CAST(floor(least(cap, level * weight) + 0.5) AS BIGINT) AS words FROM v),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.words,
         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS a
