@@ -112,9 +112,10 @@ def _prefixes(percent: int):
         # counted columns first, by count; the others by hash
         order = np.lexsort((gram, np.where(gram < _TOP, count, 0), gram >= _TOP, who))
         gram, who = gram[order], who[order]
-        take = np.arange(len(who)) - np.searchsorted(who, who) < room[who]
-        gram, who = gram[take], who[take]
-        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who]}
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        take = place < room[who]
+        gram, who, place = gram[take], who[take], place[take]
+        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who], "pos": place + alone[who]}
 
     return run
 
@@ -126,7 +127,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     rows = table(classes(docs, n), "classes")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     many = key_blocks(spark, total * REGION // 8)
-    buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long", many, int(_TOP)), "prefixes")
+    buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long, pos long", many, int(_TOP)), "prefixes")
     reps = rows.groupBy("digest").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("digest", "r.text_hash", "r.doc_id")
 
     def fetch(ids: DataFrame) -> DataFrame:

@@ -150,8 +150,8 @@ def _rows(piece: pa.RecordBatch) -> Rows | None:
 
 def _candidates(got: Shared) -> dict:
     ids = got.head[0]
-    # sizes are left at 0: no bound before verification
-    return {"key": got.key.view(np.int64), "id": [ids[16 * i : 16 * i + 16] for i in got.place.tolist()], "n": np.zeros(len(got.key), np.int64)}
+    none = np.zeros(len(got.key), np.int64)  # no bound before verification
+    return {"key": got.key.view(np.int64), "id": [ids[16 * i : 16 * i + 16] for i in got.place.tolist()], "n": none, "pos": none}
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     seen = table(occurrences(docs), "lines")
     many = key_blocks(spark, seen.count() * BANDS)
-    buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long", many), "bands")
+    buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long, pos long", many), "bands")
 
     def fetch(ids: DataFrame) -> DataFrame:
         """Shingle sets, from the text of one document that has the line."""

@@ -1,18 +1,26 @@
 """Linking sets that are similar, from candidate buckets to components.
 
-Input are buckets: rows (key, id, n), where any two ids that may link share a
-key, and n is the size of the id's set.  Pairs are never listed whole:
-
-1. Each bucket has a leader, its smallest id.  Each id is verified against the
-   leader with which it shares most keys; a group of G near copies costs G
-   verifications, not their square.  Links are merged into components.
-2. What is left are pairs whose ids share a bucket but not a component.  All
-   of those within the size bound are verified.  They come from a join in
-   which the bucket's largest component stands on one side only.
+Input are buckets: rows (key, id, ...), where any two ids that may link share
+a key.  Pairs are never listed whole:
+
+1. Each bucket has a leader, the id whose keys most others have.  Each id is
+   verified against the leader with which it shares most keys; a group of G
+   near copies costs G verifications, not their square.  Links are merged into
+   components.
+2. For up to ROUNDS more rounds, ids outside their bucket's largest component
+   are verified against the best id of another component.
+3. What is left are pairs whose ids share a bucket but not a component.  In
+   buckets of up to LARGE ids they are listed, from a join in which the
+   largest component stands on one side only, and those within the
+   size-derived bounds are verified.
+4. Ids of larger buckets are cut into blocks, and each two blocks that share such a bucket the sparse product of their
+   incidences gives all overlaps at once.  A block's worth of pairs costs one
+   row for each member, and comes back as a spanning forest.
 
 So every pair of a bucket is either verified or already in one component, and
 components are exact for the buckets.  Counts and minima are combined on the
-map side; hot keys meet joins that adaptive execution can split.
+map side; hot keys meet joins that adaptive execution can split; no task holds
+more than two blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Rounds of linking by leaders after the first.
+ROUNDS = 1
+#: Ids of a bucket whose pairs are listed; bytes and ids of a block.
+LARGE, BLOCK_BYTES, BLOCK_IDS = 16, 4 << 20, 1000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids in *edges* (a, b): the smallest id reachable.
@@ -75,40 +88,157 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _best(found: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Of the pairs (id, lead), one row for each shared key, those not tested
+    yet: for each id the lead with which it shares most keys."""
+    votes = found.groupBy("id", "lead").agg(F.count("*").alias("votes"))
+    if tested is not None:
+        known = tested.select(F.col("a").alias("id"), F.col("b").alias("lead"))
+        votes = votes.join(known.unionByName(known.select(F.col("lead").alias("id"), F.col("id").alias("lead"))), ["id", "lead"], "left_anti")
+    return votes.groupBy("id").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b"))
+
+
 def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """(id, component) of all ids that link with another; None if none may.
 
-    *buckets*: (key, id, n), repeated rows allowed.  *fetch* gives the sets
-    (id, set: sorted uint64 as bytes) of a table of ids.
+    *buckets*: (key, id, n, pos), repeated rows allowed: n is the size of the
+    id's set and pos the key's place in the set's order, both 0 where no bound
+    is known.  *fetch* gives the sets (id, set: sorted uint64 as bytes) of a
+    table of ids.
     """
-    bounds = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    own = buckets.join(bounds.select("key", "lead"), "key").select("key", "id", "n", "lead").distinct()
-    own = table(own, "buckets")
-    votes = own.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
-    pairs = table(best.select(F.col("id").alias("a"), F.col("lead").alias("b")), "pairs")
-    if pairs.isEmpty():
+    keys = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    own = table(buckets.join(keys, "key").groupBy("key", "id").agg(F.max("n").alias("n"), F.max("pos").alias("pos")), "buckets")
+    if own.isEmpty():
         return None
+    # a set at the centre of its group shares its keys with most others
+    many = own.groupBy("key").agg(F.count("*").alias("many"))
+    own = own.join(many, "key")
+    own = table(own.join(own.groupBy("id").agg(F.sum("many").alias("score")), "id"), "buckets")
     sets = table(fetch(own.select("id").distinct()), "sets")
-    edges = table(verify(pairs, sets, percent), "links")
+    lead = own.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead"))
+    pairs = table(_best(own.select("key", "id").join(lead, "key").where("id <> lead"), None), "pairs")
+    edges, tested = table(verify(pairs, sets, percent), "links"), pairs
     linked = components(edges)
 
-    # the rest: pairs of a bucket in different components
-    placed = own.join(linked, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    for _ in range(ROUNDS):
+        placed, minor = _split(own, linked)
+        if minor is None:
+            return linked
+        # each id outside its bucket's largest component tries the best of another
+        top = F.max_by(F.struct("id", "c"), F.struct("score", "id"))
+        first = placed.groupBy("key").agg(top.alias("f"))
+        other = placed.join(first, "key").where("c <> f.c").groupBy("key").agg(top.alias("s"))
+        leads = first.join(other, "key")
+        found = minor.join(leads, "key").select("id", F.when(F.col("c") != F.col("f.c"), F.col("f.id")).otherwise(F.col("s.id")).alias("lead"))
+        pairs = table(_best(found, tested), "pairs")
+        more = table(verify(pairs, sets, percent), "links")
+        tested = tested.unionByName(pairs)
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        linked = components(edges)
+
+    placed, minor = _split(own, linked)
+    if minor is None:
+        return linked
+    more = table(_small(placed, minor, tested, sets, percent).unionByName(_large(placed, sets, percent)), "links")
+    return linked if more.isEmpty() else components(edges.unionByName(more))
+
+
+def _small(placed: DataFrame, minor: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of buckets of up to LARGE ids."""
+    left = minor.where(f"many <= {LARGE}").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), "major")
+    right = placed.where(f"many <= {LARGE}").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # pairs of two minor components come once
+    once = (F.col("cb") == F.col("major")) | (F.col("ca") < F.col("cb"))
+    met = left.join(right, "key").where((F.col("ca") != F.col("cb")) & near & once)
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return verify(table(rest.join(known, ["a", "b"], "left_anti"), "rest"), sets, percent)
+
+
+def _large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of buckets of more than LARGE ids."""
+    heavy = placed.where(f"many > {LARGE}")
+    # ids with the same largest bucket lie in the same blocks
+    labels = heavy.groupBy("id", "c").agg(F.max_by("key", F.struct("many", "key")).alias("label"))
+    members = labels.join(sets, "id")
+    parts = members.groupBy("label").agg(F.greatest(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_IDS)).alias("parts"))
+    members = members.join(parts, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("id"), "parts")))
+    members = table(members.select("id", "c", "block", "set"), "blocks")
+    spread = members.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    where = heavy.join(members.select("id", "block"), "id").select("key", "block").distinct().join(spread, "block")
+    one, two = (where.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high"))) for i in (1, 2))
+    apart = (F.col("low1") != F.col("high1")) | (F.col("low2") != F.col("high2")) | (F.col("low1") != F.col("low2"))
+    tasks = one.join(two, "key").where((F.col("block1") <= F.col("block2")) & apart).select("block1", "block2").distinct()
+    each = tasks.select(F.xxhash64("block1", "block2").alias("task"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+    return each.join(members, "block").select("task", "block", "id", "c", "set").groupBy("task").applyInArrow(_product(percent), "a binary, b binary")
+
+
+def _product(percent: int):
+    """All overlaps of two blocks by a sparse product of their incidences."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, ids, comp, sets = (rows.column(c).to_pylist() for c in ("block", "id", "c", "set"))
+        n = len(ids)
+        size = np.array([len(s) // 8 for s in sets])
+        values, count = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
+        values = values[count > 1]
+        common = np.zeros((n, n), np.float32)
+        if len(values):
+            own = np.repeat(np.arange(n), size)
+            key = np.frombuffer(b"".join(sets), np.uint64)
+            at = np.minimum(np.searchsorted(values, key), len(values) - 1)
+            hit = values[at] == key
+            own, at = own[hit], at[hit]
+            order = np.argsort(at, kind="stable")
+            own, at = own[order], at[order]
+            times = np.bincount(at, minlength=len(values))
+            begin = np.concatenate([[0], np.cumsum(times)])
+            # rare columns add their pairs one by one, frequent ones by dense products
+            for d in range(2, 9):
+                here = np.flatnonzero(times == d)
+                members = own[begin[here][:, None] + np.arange(d)]
+                for i in range(d):
+                    for j in range(i):
+                        np.add.at(common, (members[:, i], members[:, j]), 1)
+            common += common.T
+            often = np.flatnonzero(times >= 9)
+            for k in range(0, len(often), 2048):
+                part = often[k : k + 2048]
+                dense = np.zeros((n, len(part)), np.float32)
+                for j, v in enumerate(part.tolist()):
+                    dense[own[begin[v] : begin[v + 1]], j] = 1
+                common += dense @ dense.T
+        hits = np.argwhere(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+        root = {c: c for c in comp}
+
+        def find(c: bytes) -> bytes:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for i, j in hits.tolist():
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(ids[i])
+                b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _split(own: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The buckets that hold several components: all their rows with component
+    c, and those outside the bucket's largest component (None if there are none)."""
+    placed = own.join(linked, "id", "left").select("key", "id", "n", "pos", "score", "many", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     placed = table(placed.join(split, "key"), "split")
     if placed.isEmpty():
-        return linked
-    sized = placed.groupBy("key", "c").agg(F.count("*").alias("many"))
-    major = sized.groupBy("key").agg(F.max_by("c", F.struct("many", "c")).alias("major"))
-    minor = placed.join(major, "key").where("c <> major").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    other = placed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    rest = minor.join(other, "key").where((F.col("ca") != F.col("cb")) & near)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = table(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    more = table(verify(rest, sets, percent), "links")
-    if more.isEmpty():
-        return linked
-    return components(edges.unionByName(more))
+        return placed, None
+    sized = placed.groupBy("key", "c").agg(F.count("*").alias("own"))
+    major = sized.groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("major"))
+    return placed, placed.join(major, "key").where("c <> major")
