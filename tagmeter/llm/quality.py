@@ -39,8 +39,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("many_words", "n_words > 1000000"),
     ("word_length", "2 * n_words > word_chars or word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
-    ("toxic_words", "n_toxic >= 2 and 1000 * n_toxic >= 5 * n_words"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
+    ("toxic_words", "n_toxic >= 1 and 1000 * n_toxic >= n_words"),
     ("shouting", "100 * n_shouted > 30 * n_words"),
 )
 BASE = ("few_words", "repeated_words")
