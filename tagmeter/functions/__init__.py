@@ -1 +1 @@
-
+"""Part of the statement-context engine."""
