@@ -36,22 +36,22 @@ REPORTS: dict[str, str] = {
     # K8, P8
     "capped_rows": "SELECT userid, dbid, queryid, toplevel, tags_json, calls FROM {totals} WHERE exists(map_values(from_json(tags_json, 'map<string,string>')), v -> v IS NULL)",
     # K9
-    "rate_last_bucket": f"SELECT {_tag('controller')} AS controller, round(sum(calls) / {{seconds}}, 6) AS calls_per_second FROM {{last}} WHERE toplevel GROUP BY 1",
+    "rate_last_bucket": f"SELECT {_tag('controller')} AS controller, round(sum(calls) / double({{seconds}}), 6) AS calls_per_second FROM {{last}} WHERE toplevel GROUP BY 1",
     # K10, J4, I4, I5
     "metric_tag": f"WITH c AS (SELECT dbid, toplevel, tags_json, calls, total_exec_time FROM {{last}} UNION ALL SELECT dbid, toplevel, tags_json, 0, 0 FROM {{totals}}) "
     f"SELECT coalesce(d.datname, cast(c.dbid AS string)) AS datname, cast(c.toplevel AS string) AS toplevel, {_LABELS}, "
-    "round(sum(c.calls) / {seconds}, 6) AS calls_per_second, round(sum(c.total_exec_time) / 1000 / {seconds}, 6) AS exec_seconds_per_second "
+    "round(sum(c.calls) / double({seconds}), 6) AS calls_per_second, round(sum(c.total_exec_time) / 1000 / double({seconds}), 6) AS exec_seconds_per_second "
     "FROM c LEFT JOIN {databases} d ON d.oid = c.dbid WHERE c.tags_json IS NOT NULL GROUP BY 1, 2, 3, 4, 5",
     # K11, J1
     "metric_query": f"WITH q AS (SELECT coalesce(d.datname, cast(c.dbid AS string)) AS datname, cast(c.toplevel AS string) AS toplevel, cast(c.queryid AS string) AS queryid, {_LABELS}, "
-    "round(sum(c.calls) / {seconds}, 6) AS calls_per_second, round(sum(c.total_exec_time) / 1000 / {seconds}, 6) AS exec_seconds_per_second "
+    "round(sum(c.calls) / double({seconds}), 6) AS calls_per_second, round(sum(c.total_exec_time) / 1000 / double({seconds}), 6) AS exec_seconds_per_second "
     "FROM {last} c LEFT JOIN {databases} d ON d.oid = c.dbid WHERE c.tags_json IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6) "
     f"SELECT datname, toplevel, queryid, {_NAMES}, calls_per_second, exec_seconds_per_second FROM (SELECT q.*, row_number() OVER (PARTITION BY datname, toplevel, {_NAMES} ORDER BY exec_seconds_per_second DESC, queryid) AS rank FROM q) r "
     f"WHERE rank <= 5 ORDER BY exec_seconds_per_second DESC, queryid, datname, toplevel, {_NAMES} LIMIT 500",
     # K12
     "metric_info": "SELECT cast(i.entries AS double) AS entries, cast(i.max_entries AS double) AS max_entries, cast(l.live_entries AS double) AS live_entries, cast(i.buckets AS double) AS buckets, "
     "cast(i.bucket_seconds AS double) AS bucket_interval_seconds, cast(unix_micros(i.last_closed_bucket_start) / 1000000 AS double) AS last_closed_bucket_timestamp_seconds, "
-    "cast((unix_micros({now}) - unix_micros(l.oldest_bucket)) / 1000000 AS double) AS oldest_bucket_age_seconds, cast(i.shmem_bytes AS double) AS shmem_bytes, cast(i.dropped_tags AS double) AS dropped_tags_total, "
+    "cast(({now_us} - unix_micros(l.oldest_bucket)) / 1000000 AS double) AS oldest_bucket_age_seconds, cast(i.shmem_bytes AS double) AS shmem_bytes, cast(i.dropped_tags AS double) AS dropped_tags_total, "
     "cast(i.invalid_tags AS double) AS invalid_tags_total, cast(i.capped_tags AS double) AS capped_tags_total "
     "FROM {counters} i CROSS JOIN (SELECT count(*) AS live_entries, min(bucket_start) AS oldest_bucket FROM {totals}) l",
     # K13
@@ -59,13 +59,13 @@ REPORTS: dict[str, str] = {
     # K14
     "capped_labels": f"SELECT CASE WHEN map_contains_key(from_json(tags_json, 'map<string,string>'), 'controller') THEN coalesce({_tag('controller')}, '(capped)') ELSE '' END AS tag_controller, sum(calls) AS calls FROM {{totals}} GROUP BY 1",
     # K15
-    "eviction_status": "SELECT entries, max_entries, round(entries * 100.0 / max_entries, 4) AS percent_full, evicted_entries, reclaimed_entries FROM {counters}",
+    "eviction_status": "SELECT entries, max_entries, round(entries * 100.0D / max_entries, 4) AS percent_full, evicted_entries, reclaimed_entries FROM {counters}",
     # K16
     "row_counts": "SELECT count(*) AS rows, count_if(tags_json <> '{{}}') AS rows_with_tags, count(DISTINCT userid) AS roles FROM {context}",
     # K17
     "quick_start": f"SELECT {_tag('controller')} AS controller, {_tag('action')} AS action, sum(calls) AS calls, round(sum(total_exec_time), 4) AS ms FROM {{totals}} GROUP BY 1, 2",
     # A gauge of calls per second, summed over scrapes and multiplied by their interval
-    "integrated_calls": f"SELECT {_tag('controller')} AS controller, round(sum(calls / {{seconds}}) * {{seconds}}, 4) AS calls FROM {{context}} WHERE toplevel GROUP BY 1",
+    "integrated_calls": f"SELECT {_tag('controller')} AS controller, round(sum(calls / double({{seconds}})) * double({{seconds}}), 4) AS calls FROM {{context}} WHERE toplevel GROUP BY 1",
     # I8
     "semi_join": "SELECT userid, dbid, queryid, toplevel, tags_json, calls FROM {totals} WHERE queryid IN (SELECT queryid FROM {statements} WHERE shared_blks_read > 100)",
     # I9
@@ -76,7 +76,7 @@ REPORTS: dict[str, str] = {
 
 def report(spark: SparkSession, name: str, store=None, **more) -> DataFrame:
     """A report by name.  *more*: DataFrames (statements, databases, sessions)
-    or values (now) that the report names."""
+    or values (now_us) that the report names."""
     args = dict(more)
     if store is not None:
         text = REPORTS[name]

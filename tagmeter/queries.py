@@ -45,8 +45,8 @@ def _report(name: str, **changes) -> Callable:
             more["databases"] = spark.sql("SELECT * FROM VALUES (0L, 'main'), (1L, 'shop') AS d(oid, datname)")
         if "{sessions}" in text:
             more["sessions"] = spark.sql("SELECT cast(id AS int) AS pid, concat('user', id) AS usename FROM range(10)")
-        if "{now}" in text:
-            more["now"] = s.executions.agg(F.max("end_ts")).first()[0]
+        if "{now_us}" in text:
+            more["now_us"] = s.executions.agg(F.max(F.unix_micros("end_ts"))).first()[0]
         out = reports.report(spark, name, s, **more)
         return _ntz(out, "bucket_start") if "bucket_start" in out.columns else out
 
