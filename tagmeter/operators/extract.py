@@ -122,8 +122,13 @@ def extract(settings, query: str | bytes | None, location: int = -1, length: int
     """The debug function: tags and diagnostics of one text."""
     if query is None:
         return None
+    raw = query.encode() if isinstance(query, str) else query
+    if location != -1 and not 0 <= location <= len(raw):
+        raise ValueError(f"stmt_location {location} is out of range: -1, or 0 to {len(raw)}")
+    if location >= 0 and not 0 <= length <= len(raw) - location:
+        raise ValueError(f"stmt_len {length} is out of range")
     p = Pipeline(settings)
-    return p.diagnostics(p.extract(query.encode() if isinstance(query, str) else query, location, length, **more))
+    return p.diagnostics(p.extract(raw, location, length, **more))
 
 
 def register(spark: SparkSession, settings, name: str = "extract_tags") -> None:

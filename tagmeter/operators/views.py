@@ -39,7 +39,8 @@ class Store:
         tagged = nesting.with_nesting(extract.with_tags(executions, settings, fast), settings.nested_tags)
         kept = caps.with_caps(tagged.where(recorded(settings)), settings)
         placed = store.clamped(kept, settings.bucket_interval) if clamp else kept.withColumn("bucket_id", store.bucket_id(F.col("end_ts"), settings.bucket_interval))
-        slots = store.aggregate(placed)
+        # the slots are small beside the log, and every view starts from them
+        slots = store.aggregate(placed).persist()
         found = store.entries(slots)
         latest = store.exemplars(placed) if settings.parsed["exemplars"] else None
         return cls(settings, tagged, slots, found, latest, store.current_bucket(slots))
@@ -106,6 +107,10 @@ class Store:
         oldest = store.oldest_live(self.slots, current, s.bucket_count).select(store.bucket_start(F.col("oldest_bucket"), s.bucket_interval).alias("oldest_bucket"))
         return self.counters().crossJoin(oldest)
 
+    def close(self) -> None:
+        """Free the cached slots."""
+        self.slots.unpersist()
+
     def create_views(self, spark: SparkSession, prefix: str = "context") -> None:
         """Temporary views: <prefix>, _totals, _last_bucket, _activity, _info, _counters."""
         self.stats().createOrReplaceTempView(prefix)

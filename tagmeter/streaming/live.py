@@ -1,9 +1,10 @@
 """The store over a stream (N1-N9, E9-E12): exact in one state, or sharded.
 
 ``exact`` keeps the whole bounded store in one key's state, so eviction and
-the watermark are global, as in a single server.  Otherwise the stream is
-aggregated by entry and bucket; state expires with the live window, and late
-rows are raised to the batch's watermark rather than dropped.
+the watermark are global, as in a single server, and late rows are raised to
+it.  Otherwise the stream is aggregated by entry and bucket in parallel; state
+expires with the live window, late rows count in the bucket where they ended,
+and rows that are older than the live window are dropped.
 """
 
 from __future__ import annotations
