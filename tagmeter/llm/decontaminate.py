@@ -162,10 +162,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, block_windows: i
     for part in parts:
         own = part.where("size(items) > 0").select("doc_id", "text_hash", "spans", "items").distinct()
         hits = own if hits is None else hits.unionByName(own)
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("__tm_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
     back = parts[0].select("doc_id", "text_hash", "n_words").alias("l").join(hits.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_hash = r.text_hash"), "left")
     step = "case when size(acc) > 0 and s.start <= element_at(acc, -1).end then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))) else concat(acc, array(s)) end"
-    joined = f"aggregate(array_sort(coalesce(_spans, cast(array() as {SPANS}))), cast(array() as {SPANS}), (acc, s) -> {step})"
+    joined = f"aggregate(array_sort(coalesce(__tm_spans, cast(array() as {SPANS}))), cast(array() as {SPANS}), (acc, s) -> {step})"
     return back.selectExpr("l.doc_id as doc_id", "l.text_hash as text_hash", "n_words", f"{joined} as spans", "coalesce(_items, cast(array() as array<string>)) as items")
 
 
@@ -201,12 +201,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, n: int = NG
         return map_pieces(docs, one_pass, schema)
 
     hits = scan(docs, benchmark, n, block_windows).where("size(items) > 0")
-    hits = hits.select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hit_text"), F.col("spans").alias("_spans"), F.size("items").alias("_many")).dropDuplicates(["_hit", "_hit_text"])
-    joined = docs.join(hits, F.expr("doc_id <=> _hit and xxhash64(text) = _hit_text"), "left").select(*names, "_spans", F.expr("coalesce(_many, 0)").alias("_many"))
+    hits = hits.select(F.col("doc_id").alias("__tm_hit"), F.col("text_hash").alias("__tm_hit_text"), F.col("spans").alias("__tm_spans"), F.size("items").alias("__tm_many")).dropDuplicates(["__tm_hit", "__tm_hit_text"])
+    joined = docs.join(hits, F.expr("doc_id <=> __tm_hit and xxhash64(text) = __tm_hit_text"), "left").select(*names, "__tm_spans", F.expr("coalesce(__tm_many, 0)").alias("__tm_many"))
 
     def apply(piece: pa.RecordBatch) -> dict:
-        new, many = piece.column("text").to_pylist(), piece.column("_many").to_pylist()
-        spans = piece.column("_spans").to_pylist()
+        new, many = piece.column("text").to_pylist(), piece.column("__tm_many").to_pylist()
+        spans = piece.column("__tm_spans").to_pylist()
         keep = [m < min_items for m in many]
         new = [cut(t, [(s["start"], s["end"]) for s in x]) if x and k else t for t, x, k in zip(new, spans, keep, strict=True)]
         return rebuilt(piece, keep, new)

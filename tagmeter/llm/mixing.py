@@ -42,6 +42,9 @@ BUCKET_ROWS, MIN_BUCKETS = 4096, 256
 #: turn; between points it is linear.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 
+#: Columns of a plan; a kept column of one of these names gives way.
+OUTPUT = ("doc_id", "size", "source_size", "target", "taken", "position", "passes")
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,36 +89,36 @@ def plan(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, schedules
     """A row for each document: the columns *keep*, doc_id, size, source_size,
     target, taken, position (of the first pass, null if nothing is taken) and
     passes (array of pass, position, words)."""
-    keep = tuple(c for c in keep if c != "doc_id")
+    keep = tuple(c for c in keep if c not in OUTPUT)
     source = F.col("source").cast("string")
     skey = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", *keep, source.alias("_source"), skey.alias("_skey"), size.alias("_size"), order.alias("_order"), F.xxhash64("text").alias("_text"))
-    narrow = base.select("doc_id", "_source", "_skey", "_size", "_order", "_text")
+    base = docs.select("doc_id", *keep, source.alias("__tm_source"), skey.alias("__tm_skey"), size.alias("__tm_size"), order.alias("__tm_order"), F.xxhash64("text").alias("__tm_text"))
+    narrow = base.select("doc_id", "__tm_source", "__tm_skey", "__tm_size", "__tm_order", "__tm_text")
     narrow = table(narrow, "mix") if not keep else narrow
-    counted = narrow.groupBy("_skey", "_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
-    counted = table(counted.select("_skey", F.col("_source").alias("source"), "source_size", "n"), "mix-sources")
+    counted = narrow.groupBy("__tm_skey", "__tm_source").agg(F.sum("__tm_size").alias("source_size"), F.count("*").alias("n"))
+    counted = table(counted.select("__tm_skey", F.col("__tm_source").alias("source"), "source_size", "n"), "mix-sources")
     rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(1, rows / BUCKET_ROWS))))
     # the bucket is a prefix of the order's hash, so buckets are in its order
-    bucket = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")
-    wanted = targets(counted.withColumnRenamed("_skey", "skey"), weights, share, repeat)
-    sums = narrow.groupBy("_skey", bucket.alias("_bucket")).agg(F.sum("_size").alias("b"))
-    upto = Window.partitionBy("_skey").orderBy("_bucket")
-    sums = sums.withColumn("_before", F.sum("b").over(upto) - F.col("b"))
-    sums = sums.join(wanted, sums["_skey"] == wanted["skey"]).select(F.col("_skey").alias("_k"), F.col("_bucket").alias("_b"), "_before", "source_size", "rank", "target")
-
-    left = (base if keep else narrow).withColumn("_bucket", bucket)
-    joined = left.join(sums, (left["_skey"] == sums["_k"]) & (left["_bucket"] == sums["_b"]))
-    inside = Window.partitionBy("_skey", "_bucket").orderBy("_order", "doc_id", "_size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = joined.withColumn("_at", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
+    bucket = F.floor(F.conv(F.substring("__tm_order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")
+    wanted = targets(counted.withColumnRenamed("__tm_skey", "skey"), weights, share, repeat)
+    sums = narrow.groupBy("__tm_skey", bucket.alias("__tm_bucket")).agg(F.sum("__tm_size").alias("b"))
+    upto = Window.partitionBy("__tm_skey").orderBy("__tm_bucket")
+    sums = sums.withColumn("__tm_before", F.sum("b").over(upto) - F.col("b"))
+    sums = sums.join(wanted, sums["__tm_skey"] == wanted["skey"]).select(F.col("__tm_skey").alias("__tm_k"), F.col("__tm_bucket").alias("__tm_b"), "__tm_before", "source_size", "rank", "target")
+
+    left = (base if keep else narrow).withColumn("__tm_bucket", bucket)
+    joined = left.join(sums, (left["__tm_skey"] == sums["__tm_k"]) & (left["__tm_bucket"] == sums["__tm_b"]))
+    inside = Window.partitionBy("__tm_skey", "__tm_bucket").orderBy("__tm_order", "doc_id", "__tm_size", "__tm_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = joined.withColumn("__tm_at", F.col("__tm_before") + F.sum("__tm_size").over(inside) - F.col("__tm_size"))
     wanted_words = F.floor(F.col("target") + 0.5).cast("long")
     kinds = (F.col("rank") % len(schedules)).cast("int")
     each = []
     for p in range(math.ceil(repeat)):
-        begin = F.col("_at") + F.col("source_size") * p
-        words = F.greatest(F.lit(0), F.least(F.col("_size"), wanted_words - begin))
+        begin = F.col("__tm_at") + F.col("source_size") * p
+        words = F.greatest(F.lit(0), F.least(F.col("__tm_size"), wanted_words - begin))
         middle = F.try_divide(begin + words / 2, wanted_words.cast("double"))
         position = None
         for i, knots in enumerate(schedules):
@@ -124,7 +127,7 @@ def plan(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, schedules
         each.append(F.struct(F.lit(p + 1).alias("pass"), position.alias("position"), words.cast("long").alias("words")))
     passes = F.filter(F.array(*each), lambda x: x["words"] > 0)
     return at.select(
-        "doc_id", *keep, F.col("_size").alias("size"), "source_size", "target",
+        "doc_id", *keep, F.col("__tm_size").alias("size"), "source_size", "target",
         F.aggregate(passes, F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
         F.try_element_at(passes, F.lit(1))["position"].alias("position"), passes.alias("passes"),
     )
