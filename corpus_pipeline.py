@@ -40,7 +40,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, by training position."""
     planned = mixing.plan(docs, keep=tuple(docs.columns))
-    return planned.where("taken > 0").select(*docs.columns, "size", "target", "taken", "position").orderBy("position", "doc_id")
+    names = [c for c in docs.columns if c == "doc_id" or c not in mixing.OUTPUT]
+    return planned.where("taken > 0").select(*names, "size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
 STAGES = [
