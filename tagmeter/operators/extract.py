@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tagset import Pipeline, to_json
@@ -18,12 +18,12 @@ MEMO = 50_000
 
 
 def exact_udf(settings):
-    """A UDF from (text, location, length, scs, appname, override) to RESULT."""
+    """A UDF from (text, location, length, scs, appname, override, since) to RESULT."""
     pipeline, memo = Pipeline(settings), {}
 
-    def one(text, location, length, scs, appname, override) -> tuple:
+    def one(text, location, length, scs, appname, override, since) -> tuple:
         raw = text.encode() if isinstance(text, str) else bytes(text)
-        r = pipeline.extract(raw, int(location), int(length), bool(scs), appname.encode() if appname else None, override.encode() if override else None)
+        r = pipeline.extract(raw, int(location), int(length), bool(scs), appname.encode() if appname else None, override.encode() if override else None, since=int(since))
         return (
             to_json(r.tags), json.dumps(dict(sorted(r.exemplars.items())), ensure_ascii=False, separators=(",", ":")), json.dumps(r.candidates, ensure_ascii=False),
             r.footer, r.heuristic, *(r.counts.get(c, 0) for c in COUNTS),
@@ -32,9 +32,9 @@ def exact_udf(settings):
     names = ["tags_json", "exemplars_json", "candidates_json", "footer", "heuristic", *COUNTS]
     none = (None, None, None, None, None, *(None for _ in COUNTS))
 
-    def run(text, location, length, scs, appname, override):
+    def run(text, location, length, scs, appname, override, since):
         out = []
-        for row in zip(text, location, length, scs, appname, override, strict=True):
+        for row in zip(text, location, length, scs, appname, override, since, strict=True):
             if row[0] is None:
                 out.append(none)
                 continue
@@ -45,7 +45,7 @@ def exact_udf(settings):
             out.append(memo[row])
         return pd.DataFrame(out, columns=names)
 
-    run.__annotations__ = {n: pd.Series for n in ("text", "location", "length", "scs", "appname", "override")} | {"return": pd.DataFrame}
+    run.__annotations__ = {n: pd.Series for n in ("text", "location", "length", "scs", "appname", "override", "since")} | {"return": pd.DataFrame}
     return F.pandas_udf(run, RESULT)
 
 
@@ -94,7 +94,8 @@ def with_tags(df: DataFrame, settings, fast: bool = True) -> DataFrame:
     plain = plain_tags(settings) if use else F.lit(None).cast("string")
     left = df.withColumn("_plain", plain)
     text = F.when(F.col("_plain").isNull(), F.col("query_string"))
-    left = left.withColumn("_x", udf(text, "stmt_location", "stmt_len", "scs", "application_name", "tags_override"))
+    since = F.col("since") if "since" in df.columns else F.lit(0)
+    left = left.withColumn("_x", udf(text, "stmt_location", "stmt_len", "scs", "application_name", "tags_override", since))
     zero = [F.coalesce(F.col(f"_x.{c}"), F.lit(0)).cast("long").alias(c) for c in COUNTS]
     return left.select(
         *df.columns, F.coalesce("_plain", "_x.tags_json").alias("tags_json"), F.coalesce("_x.exemplars_json", F.lit("{}")).alias("exemplars_json"),
@@ -114,6 +115,15 @@ def with_tags_distinct(df: DataFrame, settings) -> DataFrame:
     return df.join(once, same).select(df["*"], *(once[c] for c in once.columns if c not in keys))
 
 
+def with_since(df: DataFrame) -> DataFrame:
+    """*df* with ``since``: where the statement before this one in the same
+    string of the same session ends (B18), so that a long string of statements
+    is lexed once in all."""
+    before = Window.partitionBy("pid", "query_string").orderBy("stmt_location")
+    end = F.lag(F.col("stmt_location") + F.col("stmt_len")).over(before)
+    return df.withColumn("since", F.coalesce(end, F.lit(0)))
+
+
 def with_appname_and_override(df: DataFrame, appname: str | None, override: str | None) -> DataFrame:
     return df.withColumn("application_name", F.lit(appname).cast("string")).withColumn("tags_override", F.lit(override).cast("string"))
 
@@ -138,3 +148,16 @@ def register(spark: SparkSession, settings, name: str = "extract_tags") -> None:
         return pd.Series([None if q is None else json.dumps(extract(settings, q, int(a), int(b))) for q, a, b in zip(query, location, length, strict=True)])
 
     spark.udf.register(name, F.pandas_udf(run, "string"))
+
+
+def register_table_function(spark: SparkSession, settings, name: str = "tags_of") -> None:
+    """Make a SQL table function: name(query) gives a row (key, value) for each
+    tag; a capped value is null."""
+
+    @F.udtf(returnType="key: string, value: string")
+    class TagsOf:
+        def eval(self, query: str):
+            if query is not None:
+                yield from extract(settings, query)["tags"].items()
+
+    spark.udtf.register(name, TagsOf)

@@ -85,7 +85,10 @@ class Store:
         """One row of counters, without a scan of the slots."""
         s = self.settings
         current = self.current if self.current is not None else 0
-        counts = self.executions.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invalid_tags", "dropped_tags", "heuristic_scans", "exemplar_values_dropped", "normalized_tags")))
+        from ..sources.executions import utility_missing_queryid
+
+        missing = F.coalesce(F.sum(utility_missing_queryid(s)), F.lit(0)).alias("utility_missing_queryid")
+        counts = self.executions.agg(missing, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invalid_tags", "dropped_tags", "heuristic_scans", "exemplar_values_dropped", "normalized_tags")))
         start = store.bucket_start(F.lit(current), s.bucket_interval)
         closed = store.bucket_start(F.lit(current - 1), s.bucket_interval)
         zero = F.lit(0).cast("long")
@@ -96,7 +99,7 @@ class Store:
             start.alias("current_bucket_start"), closed.alias("last_closed_bucket_start"), F.col("stats_reset"), F.floor(F.unix_micros("stats_reset") / 1_000_000).alias("stats_reset_epoch"),
             F.lit(sizing.store_bytes(s.max_entries, s.max_tagset_bytes, s.bucket_count)).alias("shmem_bytes"), F.lit(s.exemplar_value_bytes).cast("long").alias("exemplar_value_bytes"),
             zero.alias("dealloc"), zero.alias("reclaimed_entries"), zero.alias("evicted_entries"), zero.alias("dropped_records"),
-            "invalid_tags", "dropped_tags", "heuristic_scans", "normalized_tags", zero.alias("regex_compile_failures"), zero.alias("utility_missing_queryid"),
+            "invalid_tags", "dropped_tags", "heuristic_scans", "normalized_tags", zero.alias("regex_compile_failures"), "utility_missing_queryid",
             "capped_tags", zero.alias("cap_table_full"), "exemplar_values_dropped", F.lit(s.server_major).cast("long").alias("server_major"),
         )
 

@@ -207,3 +207,18 @@ def test_exporters(spark, log):
     assert reports.with_start_time(rate, s.counters()).columns[-1] == "start_time_unix_nano"
     line = reports.exposition(spark.sql("SELECT 'a\"b\\\\c' AS l, 1 AS v"), "m", ["l"]).first()[0]
     assert line == 'm_v{l="a\\"b\\\\c"} 1'
+
+
+def test_table_function(spark):
+    extract.register_table_function(spark, Settings())
+    got = spark.sql("SELECT q.i, t.key, t.value FROM VALUES (1, 'SELECT 1 /*controller:x,action:y*/'), (2, 'SELECT 1') q(i, s), LATERAL tags_of(q.s) t ORDER BY key").collect()
+    assert [tuple(r) for r in got] == [(1, "action", "y"), (1, "controller", "x")]
+
+
+def test_statements_of_one_string(spark, log):
+    """Leading comments belong to their statement even far into a string."""
+    text = "SELECT 1; " * 500 + "/*controller:lead*/ SELECT 2"
+    rows = [(i * 10, 8) for i in range(500)] + [(5020, 8)]
+    one = log.limit(1).drop("query_string", "stmt_location", "stmt_len", "pid").crossJoin(spark.createDataFrame([(text, a, n, 1) for a, n in rows], "query_string string, stmt_location int, stmt_len int, pid int"))
+    got = extract.with_tags(extract.with_since(one), Settings(extractors="marginalia(position=prepend)"))
+    assert [r.stmt_location for r in got.where("tags_json <> '{}'").collect()] == [5020]
