@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,23 @@ def visible(caller: int | None, see_all: bool) -> Column:
     return F.lit(True) if see_all or caller is None else F.col("userid") == caller
 
 
+#: Columns of a log that only extraction reads.
+TEXT = ("query_string", "stmt_location", "stmt_len", "scs", "application_name", "tags_override", "candidates_json")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """*df*, computed once: texts are lexed in one pass however often views
+    read the tags.  On a cluster it is a narrow table in the shared folder,
+    else it is cached."""
+    spark = df.sparkSession
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told:
+        return df.persist()
+    path = f"{told.rstrip('/')}/tagged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Store:
     """A batch store: slots and entries of one set of executions."""
@@ -36,7 +54,8 @@ class Store:
         """Tags, caps, nesting, filters, buckets and aggregation of a log."""
         from ..sources.executions import recorded
 
-        tagged = nesting.with_nesting(extract.with_tags(executions, settings, fast), settings.nested_tags)
+        own = once(extract.with_tags(executions, settings, fast).drop(*TEXT))
+        tagged = nesting.with_nesting(own, settings.nested_tags)
         kept = caps.with_caps(tagged.where(recorded(settings)), settings)
         placed = store.clamped(kept, settings.bucket_interval) if clamp else kept.withColumn("bucket_id", store.bucket_id(F.col("end_ts"), settings.bucket_interval))
         # the slots are small beside the log, and every view starts from them
