@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: worker's memory; one longer document is a piece of its own.
 PIECE_BYTES = 4 << 20
 #: Rows of a piece at most.
-PIECE_ROWS = 50_000
+PIECE_ROWS = 20_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -47,22 +47,47 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage: losing an executor later costs a read, not a
     recomputation, and row positions become stable.  The folders are removed
-    when the interpreter ends.
+    at the end of the scope around it, or when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+class scratch:
+    """A scope for tables: those written inside go at its end, but for the
+    ones that ``keep`` names, which a result still reads."""
+
+    def __enter__(self) -> scratch:
+        self.begin, self.kept = len(_made), set()
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.kept_at)
+        return df
+
+    def __exit__(self, *_) -> None:
+        own, _made[self.begin :] = _made[self.begin :], [x for x in _made[self.begin :] if x[1] in self.kept]
+        for spark, path in own:
+            if path not in self.kept:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(hadoop).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         with contextlib.suppress(Exception):
-            jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
+            _delete(spark, path)
     _made.clear()
 
 
@@ -107,11 +132,6 @@ def texts(piece: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in piece.column(column).cast(pa.binary()).to_pylist()]
 
 
-def id_text(column: str = "doc_id") -> str:
-    """SQL text of an id as a string."""
-    return f"cast({column} as string)"
-
-
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -141,15 +161,61 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: An odd factor for each level of doubling.
+_FACTORS = mix64(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of *n* consecutive word hashes."""
-    if len(h) < n:
+    """Hashes of all windows of *n* consecutive hashes.
+
+    Windows of 1, 2, 4, ... come by doubling; those of n from the ones that
+    its binary digits name.  Each level has a factor of its own, so that order
+    counts.
+    """
+    m = len(h) - n + 1
+    if m < 1:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for j in range(n):
-        out *= _STEP
-        out += h[j : len(h) - n + 1 + j]
-    return mix64(out)
+    power, width, level = h, 1, 0
+    out, done = None, 0
+    while True:
+        if n & width:
+            part = power[done : done + m]
+            out = part if out is None else out * _FACTORS[20 + level] + part
+            done += width
+        if done == n:
+            return mix64(out)
+        longer = power[:-width] * _FACTORS[level]
+        longer += power[width:]
+        power, width, level = longer, 2 * width, level + 1
+
+
+#: Rows of ids that may be broadcast, of some tens of bytes each; what has
+#: more goes through a shuffled join.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """*df* as a table, marked for broadcast if it has at most SMALL_ROWS."""
+    from pyspark.sql import functions as F
+
+    df = table(df, name)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def fetch_filter(ids: DataFrame, column: str, limit: int = SMALL_ROWS):
+    """A broadcast sieve for a small table of 16-byte ids: the sorted first
+    halves of *column*; None if there are more than *limit*, which the caller
+    must serve by a join.  The sieve may let others pass."""
+    if ids.count() > limit:
+        return None
+    half = np.array([np.frombuffer(r[0][:8], np.uint64)[0] for r in ids.select(column).toLocalIterator()], np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(np.unique(half))
+
+
+def passes(sieve: np.ndarray, ids: list[bytes]) -> np.ndarray:
+    """Which of *ids* the sieve lets pass."""
+    if not len(sieve) or not ids:
+        return np.zeros(len(ids), bool)
+    half = np.frombuffer(b"".join(ids), np.uint64)[::2]
+    at = np.minimum(np.searchsorted(sieve, half), len(sieve) - 1)
+    return sieve[at] == half

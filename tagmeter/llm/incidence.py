@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import mix64, pieces
 
 #: Keys of a key block, about.
 BLOCK_KEYS = 4_000_000
@@ -39,7 +39,9 @@ _NAMES = ["bucket", "piece", "kind", "a", "b", "c"]
 class Rows:
     """A piece's part of the incidence: an entry for each key, place and row.
 
-    ``head`` is what the piece will need to know later; ``name`` identifies
+    A place tells the piece where a key stands.  Where rows of different
+    pieces may be the same thing, it is instead a fingerprint of the row, and
+    keys are counted by distinct places (``fingerprints``).  ``head`` is what the piece will need to know later; ``name`` identifies
     the piece by its content, so that a repeated task sends the same.
     """
 
@@ -71,8 +73,16 @@ def key_blocks(spark, keys: int) -> int:
 def _send(rows: Rows, many: int) -> pa.RecordBatch:
     import xxhash
 
-    order = np.lexsort((rows.place, rows.row, rows.key))
-    key, place, row = rows.key[order], rows.place[order].astype(np.uint32), rows.row[order]
+    order = np.argsort(rows.key)
+    key = rows.key[order]
+    # only equal keys need an order among themselves
+    tie = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
+    tie[:-1] |= tie[1:]
+    at = np.flatnonzero(tie)
+    if len(at):
+        own = order[at]
+        order[at] = own[np.lexsort((rows.place[own], rows.row[own], rows.key[own]))]
+    place, row = rows.place[order].astype(np.uint32), rows.row[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(key)))
@@ -95,7 +105,24 @@ def _send(rows: Rows, many: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _count(top: int):
+def marks(ids: bytes, salt: int) -> np.ndarray:
+    """Four bytes for each 16-byte id."""
+    half = np.frombuffer(ids, np.uint64).reshape(-1, 2)[:, 0]
+    return np.minimum((mix64(half + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32), _ANY - np.uint32(1))
+
+
+def fingerprints(ids: bytes) -> tuple[np.ndarray, int]:
+    """Marks that tell this piece's ids apart, and their salt.  It is 0 but
+    for pieces in which two ids would meet, so equal ids of different pieces
+    have equal marks; where they don't, a key only seems to be shared."""
+    for salt in range(1000):
+        got = marks(ids, salt)
+        if len(np.unique(got)) == len(got):
+            return got, salt
+    raise ValueError("a piece repeats an id")
+
+
+def _count(top: int, distinct: bool):
     """Column counts of a key block; headers pass."""
 
     def run(block: pa.Table) -> pa.Table:
@@ -107,8 +134,15 @@ def _count(top: int):
             who = np.concatenate([np.frombuffer(b[i], np.uint32) for i in rows])
             weight = np.ones(len(gram), np.int64)
             weight[who == _ANY] = np.concatenate([np.frombuffer(c[i], np.uint32) for i in rows])
-            order = np.argsort(gram, kind="stable")
+            order = np.argsort(gram)
             new = np.concatenate([[True], np.diff(gram[order]) != 0])
+            if distinct:  # equal places of a key count once
+                tie = ~new
+                tie[:-1] |= ~new[1:]
+                at = order[np.flatnonzero(tie)]
+                at = at[np.lexsort((who[at], gram[at]))]
+                same = (np.diff(gram[at]) == 0) & (np.diff(who[at].astype(np.int64)) == 0) & (who[at[1:]] != _ANY)
+                weight[at[1:][same]] = 0
             begin, group = np.flatnonzero(new), np.cumsum(new) - 1
             total = np.empty(len(gram), np.int64)
             total[order] = np.add.reduceat(weight[order], begin)[group]
@@ -165,11 +199,12 @@ def _gather(block: pa.Table) -> Shared | None:
 
 
 def shared_keys(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], Rows | None], then: Callable[[Shared], dict], schema: str, many: int, top: int = 0, column: str = "text"
+    df: DataFrame, rows: Callable[[pa.RecordBatch], Rows | None], then: Callable[[Shared], dict], schema: str, many: int, top: int = 0, distinct: bool = False, column: str = "text"
 ) -> DataFrame:
     """Count the keys of *rows*, which a piece of *df* gives, and let *then*
     make columns of *schema* from what comes back to each piece.  *many*: key
-    blocks; *top*: keys below it that no other row has are told too."""
+    blocks; *top*: keys below it that no other row has are told too;
+    *distinct*: rows count by distinct places."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -186,5 +221,5 @@ def shared_keys(
         made = then(got) if got else {f.name: [] for f in arrow}
         return pa.table([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
-    counted = df.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_count(top), "piece binary, kind int, a binary, b binary, c binary")
+    counted = df.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_count(top, distinct), "piece binary, kind int, a binary, b binary, c binary")
     return counted.groupBy("piece").applyInArrow(back, schema)

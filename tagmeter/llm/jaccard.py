@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, table, texts, window_hashes, word_hashes
-from .incidence import Rows, Shared, key_blocks, shared_keys
+from .common import map_pieces, scratch, small, table, texts, window_hashes, word_hashes
+from .incidence import Rows, Shared, fingerprints, key_blocks, marks, shared_keys
 from .linking import link
 
 N, PERCENT = 5, 75
@@ -95,7 +95,8 @@ def _block(n: int, percent: int):
             return None
         sent = [g[: max(int(np.searchsorted(g, _TOP)), min(len(g), prefix(len(g), percent)))] for g in rows.values()]
         who = np.repeat(np.arange(len(sent)), [len(g) for g in sent])
-        return Rows(np.concatenate(sent), who, who, (b"".join(rows), np.array([len(g) for g in rows.values()], np.int64).tobytes()))
+        mark, salt = fingerprints(b"".join(rows))
+        return Rows(np.concatenate(sent), mark[who], who, (b"".join(rows), np.array([salt, *(len(g) for g in rows.values())], np.int64).tobytes()))
 
     return run
 
@@ -105,17 +106,20 @@ def _prefixes(percent: int):
 
     def run(got: Shared) -> dict:
         names, size = got.head[0], np.frombuffer(got.head[1], np.int64)
-        alone = np.bincount(got.lone, minlength=len(size)) // got.copies
+        mark, size = marks(names, int(size[0])), size[1:]
+        by_mark = np.argsort(mark)
+        row = lambda places: by_mark[np.searchsorted(mark[by_mark], places)]
+        alone = np.bincount(row(got.lone), minlength=len(size)) // got.copies
         room = np.array([prefix(int(x), percent) for x in size]) - alone
-        fits = room[got.place] > 0
-        gram, who, count = got.key[fits], got.place[fits], got.count[fits]
+        who = row(got.place)
+        fits = room[who] > 0
+        gram, who, count = got.key[fits], who[fits], got.count[fits]
         # counted columns first, by count; the others by hash
         order = np.lexsort((gram, np.where(gram < _TOP, count, 0), gram >= _TOP, who))
         gram, who = gram[order], who[order]
-        place = np.arange(len(who)) - np.searchsorted(who, who)
-        take = place < room[who]
-        gram, who, place = gram[take], who[take], place[take]
-        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who], "pos": place + alone[who]}
+        take = np.arange(len(who)) - np.searchsorted(who, who) < room[who]
+        gram, who = gram[take], who[take]
+        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who]}
 
     return run
 
@@ -124,35 +128,36 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (null for an empty set) and
     component_id of each row."""
     spark = docs.sparkSession
-    rows = table(classes(docs, n), "classes")
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    many = key_blocks(spark, total * REGION // 8)
-    buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long, pos long", many, int(_TOP)), "prefixes")
-    reps = rows.groupBy("digest").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("digest", "r.text_hash", "r.doc_id")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        """The sets of a class each, from the text of one of its rows."""
-        want = ids.join(reps, ids["id"] == reps["digest"]).select(F.col("text_hash").alias("_t"), F.col("doc_id").alias("_d"))
-        rows = docs.select("doc_id", "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-        rows = rows.join(want, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-
-        def make(piece: pa.RecordBatch) -> dict:
-            sets = shingles(texts(piece), n)
-            return {"id": [digest_of(s) for s in sets], "set": [s.tobytes() for s in sets]}
-
-        return map_pieces(rows.select("text"), make, "id binary, set binary")
-
-    found = link(buckets, fetch, percent)
-    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
-    if found is None:
-        named = named.select("digest", F.col("digest").alias("component"), F.col("own").alias("component_id"))
-    else:
-        named = named.join(found, named["digest"] == found["id"], "left").select("digest", "own", F.coalesce("component", "digest").alias("component"))
-        named = table(named, "components")
-        least = named.groupBy("component").agg(F.min("own").alias("component_id"))
-        named = named.join(least, "component").select("digest", "component", "component_id")
-    named = named.withColumnRenamed("digest", "_digest")
-    out = rows.join(named, (rows["digest"] == named["_digest"]) & (F.col("n_shingles") > 0), "left")
+    with scratch() as s:
+        rows = s.keep(table(classes(docs, n), "classes"))
+        total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        many = key_blocks(spark, total * REGION // 8)
+        buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long", many, int(_TOP), distinct=True), "prefixes")
+        reps = rows.groupBy("digest").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("digest", "r.text_hash", "r.doc_id")
+
+        def fetch(ids: DataFrame) -> DataFrame:
+            """The sets of a class each, from the text of one of its rows."""
+            want = small(ids.join(reps, ids["id"] == reps["digest"]).select(F.col("text_hash").alias("__tm_t"), F.col("doc_id").alias("__tm_d")), "wanted")
+            rows = docs.select("doc_id", "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+            rows = rows.join(want, (F.col("text_hash") == F.col("__tm_t")) & F.col("doc_id").eqNullSafe(F.col("__tm_d")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+
+            def make(piece: pa.RecordBatch) -> dict:
+                sets = shingles(texts(piece), n)
+                return {"id": [digest_of(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+            return map_pieces(rows.select("text"), make, "id binary, set binary")
+
+        found = link(buckets, fetch, percent)
+        named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
+        if found is None:
+            named = named.select("digest", F.col("digest").alias("component"), F.col("own").alias("component_id"))
+        else:
+            named = named.join(found, named["digest"] == found["id"], "left").select("digest", "own", F.coalesce("component", "digest").alias("component"))
+            named = table(named, "components")
+            least = named.groupBy("component").agg(F.min("own").alias("component_id"))
+            named = named.join(least, "component").select("digest", "component", "component_id")
+        named = s.keep(table(named.withColumnRenamed("digest", "__tm_digest"), "components"))
+    out = rows.join(named, (rows["digest"] == named["__tm_digest"]) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -161,10 +166,10 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     of repeated rows one.  Rows with an empty set all stay."""
     names = docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")
-    chosen = linked(docs, n, percent).where("component is not null").groupBy("component").agg(first).select(F.col("r.doc_id").alias("_d"), F.col("r.text_hash").alias("_t"))
+    chosen = linked(docs, n, percent).where("component is not null").groupBy("component").agg(first).select(F.col("r.doc_id").alias("__tm_d"), F.col("r.text_hash").alias("__tm_t"))
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.where(has_word).join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    rows = docs.withColumn("__tm_hash", F.xxhash64("text"))
+    kept = rows.where(has_word).join(chosen, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.col("__tm_hash") == F.col("__tm_t")), "left_semi").dropDuplicates(["doc_id", "__tm_hash"])
     return kept.select(*names).unionByName(docs.where(~has_word))
 
 

@@ -8,10 +8,11 @@ merges links by distributed union-find.  Of each component, counting exact
 copies, the line at the smallest (doc_id, text hash, line number) stays.
 
 Signatures: the shingle hashes are dealt into ``BINS`` bins, each bin's least
-hash is a component, empty bins borrow from the next filled one (one
-permutation hashing).  Lines of few shingles get a signature by as many
-independent permutations instead; lines around the limit get both kinds, so
-that any pair within reach of the similarity has a kind in common.
+hash is a component, and empty bins borrow from filled ones, each by its own
+random sequence (one permutation hashing).  Lines of fewer than ``SHORT`` distinct shingles get a
+signature by as many independent permutations instead; lines around the limit
+get both kinds, so that any pair within reach of the similarity has a kind in
+common.
 
 With ROWS = 5 and BANDS = 20 a pair of similarity 0.75 shares a band with
 probability 0.995, one of 0.85 with 0.99999.
@@ -29,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, mix64, table, texts, window_hashes
-from .incidence import Rows, Shared, key_blocks, shared_keys
+from .common import fetch_filter, map_pieces, mix64, passes, scratch, table, texts, window_hashes
+from .incidence import Rows, Shared, fingerprints, key_blocks, marks, shared_keys
 from .linking import link
 
 SHINGLE, PERCENT = 8, 75
@@ -38,7 +39,7 @@ ROWS, BANDS = 5, 20
 BINS = ROWS * BANDS
 MIN_CHARS = 16
 #: Shingles below which a line is short.
-SHORT = 128
+SHORT = 24
 
 _SEEDS = mix64(np.arange(1, BINS + 1, dtype=np.uint64)) | np.uint64(1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -66,55 +67,65 @@ def id_of(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All shingle hashes, line by line, and how many each line has."""
-    chars = [np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) for x in lines]
-    size = np.array([len(c) for c in chars]) - SHINGLE + 1
-    h = window_hashes(np.concatenate(chars).astype(np.uint64), SHINGLE)
-    begin = np.concatenate([[0], np.cumsum(size + SHINGLE - 1)[:-1]])
-    keep = np.arange(int(size.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-    return h[keep], size
+def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of lines one after the other, where each line's begin,
+    and how many it has.  Between lines stand places without a shingle."""
+    chars = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(chars == 10)
+    begin = np.concatenate([[0], ends + 1])
+    size = np.concatenate([ends, [len(chars)]]) - begin - SHINGLE + 1
+    h = window_hashes(chars.astype(np.uint64), SHINGLE)
+    h[(begin + size)[:-1, None] + np.arange(SHINGLE)] = _NONE
+    return h, begin, size
+
+
+def shingle_set(line: bytes) -> np.ndarray:
+    """The set of one line."""
+    return np.unique(window_hashes(np.frombuffer(line.decode().encode("utf-32-le"), np.uint32).astype(np.uint64), SHINGLE))
+
+
+def _filled(least: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """Empty bins take the value of a filled one, each by a sequence of its own."""
+    out = least.copy()
+    line, place = np.nonzero(empty)
+    key = mix64(place.astype(np.uint64) + np.uint64(1))
+    turn = 0
+    while len(line):
+        turn += 1
+        other = (mix64(key + np.uint64(turn)) % np.uint64(BINS)).astype(np.int64)
+        found = ~empty[line, other]
+        out[line[found], place[found]] = least[line[found], other[found]] + key[found]
+        line, place, key = line[~found], place[~found], key[~found]
+    return out
 
 
-def signatures(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band values of lines and the line of each row: (rows x BANDS, rows)."""
-    owner = np.repeat(np.arange(len(size)), size)
-    out, rows = [], []
+    n = len(size)
+    slot = np.repeat(np.arange(n) * BINS, np.append(np.diff(begin), size[-1]))
+    slot += ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+    least = np.full(n * BINS, _NONE)
+    np.minimum.at(least, slot, h)
+    least = least.reshape(-1, BINS)
+    empty = least == _NONE
+    # a line that fills many bins has far more than SHORT distinct shingles;
+    # the others may repeat themselves and are counted
     distinct = size.copy()
-    long = np.flatnonzero(size >= SHORT)
+    for i in np.flatnonzero((size >= SHORT) & (BINS - empty.sum(1) < 2 * SHORT)).tolist():
+        distinct[i] = len(np.unique(h[begin[i] : begin[i] + size[i]]))
+    out, rows = [], []
+    long = np.flatnonzero(distinct >= SHORT)
     if len(long):
-        mine = np.full(len(size), -1)
-        mine[long] = np.arange(len(long))
-        inside = mine[owner] >= 0
-        g, o = h[inside], mine[owner[inside]]
-        bins = ((g >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
-        least = np.full(len(long) * BINS, _NONE)
-        np.minimum.at(least, o * BINS + bins, g)
-        least = least.reshape(-1, BINS)
-        empty = least == _NONE
-        # a line that fills nearly all bins has far more than SHORT distinct
-        # shingles; the others may repeat themselves and are counted
-        begin = np.concatenate([[0], np.cumsum(size[long])])
-        for i in np.flatnonzero(empty.sum(1) > BINS * 3 // 100).tolist():
-            distinct[long[i]] = len(np.unique(g[begin[i] : begin[i + 1]]))
-        # an empty bin takes the next filled one, around the circle, and keeps the distance apart
-        place = np.where(empty, 4 * BINS, np.arange(BINS))
-        twice = np.concatenate([place, place + BINS], 1)
-        following = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :BINS]
-        away = (following - np.arange(BINS)).astype(np.uint64)
-        least = np.take_along_axis(least, following % BINS, 1) + away * np.uint64(0x9E3779B97F4A7C15)
-        enough = distinct[long] >= SHORT
-        out.append(least[enough])
-        rows.append(long[enough])
+        out.append(_filled(least[long], empty[long]))
+        rows.append(long)
     few = np.flatnonzero(distinct * PERCENT < SHORT * 100)
     if len(few):
-        inside = np.isin(owner, few) if len(few) < len(size) else slice(None)
-        g = h[inside]
-        begin = np.concatenate([[0], np.cumsum(size[few])[:-1]])
+        first = np.concatenate([[0], np.cumsum(size[few])[:-1]])
+        g = h[np.arange(int(size[few].sum())) + np.repeat(begin[few] - first, size[few])]
         least = np.empty((len(few), BINS), np.uint64)
         for k in range(BINS):
             x = g * _SEEDS[k]
-            least[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin)
+            least[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
         out.append(~least)
         rows.append(few)
     s = np.concatenate(out).reshape(-1, BANDS, ROWS)
@@ -139,19 +150,23 @@ def _rows(piece: pa.RecordBatch) -> Rows | None:
         while end < len(lines) and (end == at or held < 1 << 20):
             held += len(lines[end])
             end += 1
-        h, size = shingles(lines[at:end])
-        value, row = signatures(h, size)
+        value, row = signatures(*shingles(lines[at:end]))
         keys.append(value.ravel())
         places.append(np.repeat(row + at, BANDS))
         at = end
     where = np.concatenate(places)
-    return Rows(np.concatenate(keys), where, where, (b"".join(map(id_of, lines)), b""))
+    ids = b"".join(map(id_of, lines))
+    mark, salt = fingerprints(ids)
+    return Rows(np.concatenate(keys), mark[where], where, (ids, salt.to_bytes(2, "little")))
 
 
 def _candidates(got: Shared) -> dict:
     ids = got.head[0]
-    none = np.zeros(len(got.key), np.int64)  # no bound before verification
-    return {"key": got.key.view(np.int64), "id": [ids[16 * i : 16 * i + 16] for i in got.place.tolist()], "n": none, "pos": none}
+    mark = marks(ids, int.from_bytes(got.head[1], "little"))
+    order = np.argsort(mark)
+    which = order[np.searchsorted(mark[order], got.place)]
+    none = np.zeros(len(which), np.int64)  # no bound before verification
+    return {"key": got.key.view(np.int64), "id": [ids[16 * i : 16 * i + 16] for i in which.tolist()], "n": none}
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -175,36 +190,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash and line of the lines that go."""
     spark = docs.sparkSession
-    seen = table(occurrences(docs), "lines")
-    many = key_blocks(spark, seen.count() * BANDS)
-    buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long, pos long", many), "bands")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        """Shingle sets, from the text of one document that has the line."""
-
-        def lines(piece: pa.RecordBatch) -> dict:
-            got = {line for text in texts(piece) for _, line in lines_of(text)}
-            return {"id": [id_of(x) for x in got], "line": list(got)}
-
-        def sets(piece: pa.RecordBatch) -> dict:
-            own = piece.column("line").to_pylist()
-            h, size = shingles(own)
-            parts = np.split(h, np.cumsum(size)[:-1])
-            return {"id": piece.column("id"), "set": [np.unique(p).tobytes() for p in parts]}
-
-        every = map_pieces(docs.select("text"), lines, "id binary, line binary")
-        wanted = every.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-        return map_pieces(wanted, sets, "id binary, set binary", "line")
-
-    found = link(buckets, fetch, percent)
-    if found is None:
-        placed = seen.withColumn("g", F.col("id"))
-    else:
-        placed = seen.join(found, "id", "left").withColumn("g", F.coalesce("component", "id"))
-    first = placed.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    again = placed.join(first.select("g", "first"), "g")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))
-    return again.where(~same).select("doc_id", "text_hash", "line").distinct()
+    with scratch() as s:
+        seen = table(occurrences(docs), "lines")
+        many = key_blocks(spark, seen.count() * BANDS)
+        buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long", many, distinct=True), "bands")
+
+        def fetch(ids: DataFrame) -> DataFrame:
+            """The lines themselves, from a document that has each."""
+            ids = table(ids, "wanted")
+            sieve = fetch_filter(ids, "id")
+
+            def lines(piece: pa.RecordBatch) -> dict:
+                got = list({line for text in texts(piece) for _, line in lines_of(text)})
+                known = [id_of(x) for x in got]
+                if sieve is not None:
+                    at = np.flatnonzero(passes(sieve.value, known)).tolist()
+                    got, known = [got[i] for i in at], [known[i] for i in at]
+                return {"id": known, "set": got}
+
+            every = map_pieces(docs.select("text"), lines, "id binary, set binary")
+            return every.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+
+        found = link(buckets, fetch, percent, shingle_set)
+        if found is None:
+            placed = seen.withColumn("g", F.col("id"))
+        else:
+            placed = seen.join(found, "id", "left").withColumn("g", F.coalesce("component", "id"))
+        first = placed.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("many")).where("many > 1")
+        again = placed.join(first.select("g", "first"), "g")
+        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))
+        return s.keep(table(again.where(~same).select("doc_id", "text_hash", "line").distinct(), "gone"))
 
 
 def by_document(gone: DataFrame) -> DataFrame:
@@ -215,12 +230,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """*docs* without repeated lines.  A document that loses lines and keeps
     no word goes; n_chars, if there, follows the text."""
     names = docs.columns
-    gone = by_document(repeats(docs, percent)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").select(*names, "_gone")
+    gone = by_document(repeats(docs, percent)).select(F.col("doc_id").alias("__tm_d"), F.col("text_hash").alias("__tm_t"), F.col("gone").alias("__tm_gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.xxhash64("text") == F.col("__tm_t")), "left").select(*names, "__tm_gone")
 
     def make(piece: pa.RecordBatch) -> dict:
         new, keep = piece.column("text").to_pylist(), []
-        for i, drop in enumerate(piece.column("_gone").to_pylist()):
+        for i, drop in enumerate(piece.column("__tm_gone").to_pylist()):
             if drop:
                 out = set(drop)
                 new[i] = "\n".join(x for k, x in enumerate(new[i].split("\n")) if k not in out)
@@ -244,8 +259,8 @@ def op10_lines(spark, sf_dir: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = map_pieces(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, f"doc_id {kind}, text_hash long, n_lines long")
-    gone = by_document(repeats(docs)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "gone")
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+    gone = by_document(repeats(docs)).select(F.col("doc_id").alias("__tm_d"), F.col("text_hash").alias("__tm_t"), "gone")
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.col("text_hash") == F.col("__tm_t")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("gone"))
 
 

@@ -32,10 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
-#: Rounds of linking by leaders after the first.
-ROUNDS = 1
 #: Ids of a bucket whose pairs are listed; bytes and ids of a block.
 LARGE, BLOCK_BYTES, BLOCK_IDS = 16, 4 << 20, 1000
 
@@ -43,25 +41,36 @@ LARGE, BLOCK_BYTES, BLOCK_IDS = 16, 4 << 20, 1000
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids in *edges* (a, b): the smallest id reachable.
 
-    Distributed union-find: labels take the least label among neighbours, then
-    jump to their label's label, until nothing changes.  Each round is written
-    to the shared folder, so a lost executor costs at most a round.
+    Distributed union-find by contraction: each id hooks to its least
+    neighbour, follows that one's hook, and the edges are renamed; what is left
+    between different names is a smaller graph, until nothing is left.  Each
+    round is written to the shared folder, so a lost executor costs at most a
+    round.
     """
-    both = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("l")), "labels")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    left, out = table(both, "edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
-        lower = labels.join(near, "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("id").alias("l"), F.col("l").alias("j"))
-        moved = table(lower.join(jump, "l", "left").select("id", "old", F.least("l", F.coalesce("j", "l")).alias("l")), "labels")
-        labels = moved.select("id", "l")
-        if moved.where("old <> l").isEmpty():
-            return labels.withColumnRenamed("l", "component")
-
-
-def overlap(a: bytes, b: bytes) -> int:
+        hook = left.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
+        above = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        names = table(hook.join(above, "p").select("a", F.col("q").alias("p")), "names")
+        if out is None:
+            out = names.select(F.col("a").alias("id"), F.col("p").alias("component"))
+        else:
+            up = names.select(F.col("a").alias("component"), F.col("p").alias("next"))
+            out = out.join(up, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+        other = names.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        left = table(left.join(names, "a").join(other, "b").select(F.col("p").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "edges")
+        if left.isEmpty():
+            return table(out, "labels")
+
+
+def as_stored(value: bytes) -> np.ndarray:
+    """A set that is stored as it is: sorted distinct uint64."""
+    return np.frombuffer(value, np.uint64)
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct values."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
     if not len(x):
@@ -71,43 +80,41 @@ def overlap(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[bytes], np.ndarray]) -> DataFrame:
     """The *pairs* (a, b) whose sets (id, set) reach *percent* of Jaccard."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            keep, last, y = [], None, None
+            for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, raw = expand(a.as_py()), b.as_py()
+                if raw != last:  # rows of one b follow each other
+                    last, y = raw, expand(raw)
                 common = overlap(x, y)
-                keep.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _best(found: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Of the pairs (id, lead), one row for each shared key, those not tested
-    yet: for each id the lead with which it shares most keys."""
-    votes = found.groupBy("id", "lead").agg(F.count("*").alias("votes"))
-    if tested is not None:
-        known = tested.select(F.col("a").alias("id"), F.col("b").alias("lead"))
-        votes = votes.join(known.unionByName(known.select(F.col("lead").alias("id"), F.col("id").alias("lead"))), ["id", "lead"], "left_anti")
-    return votes.groupBy("id").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b"))
-
-
-def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, expand: Callable[[bytes], np.ndarray] = as_stored) -> DataFrame | None:
     """(id, component) of all ids that link with another; None if none may.
 
-    *buckets*: (key, id, n, pos), repeated rows allowed: n is the size of the
-    id's set and pos the key's place in the set's order, both 0 where no bound
-    is known.  *fetch* gives the sets (id, set: sorted uint64 as bytes) of a
-    table of ids.
+    *buckets*: (key, id, n), repeated rows allowed: n is the size of the id's
+    set, 0 where no bound is known.  *fetch* gives the sets (id, set) of a table of ids, as bytes
+    that *expand* makes a sorted array of distinct uint64.
     """
+    with scratch() as s:
+        found = _link(buckets, fetch, percent, expand)
+        return found if found is None else s.keep(found)
+
+
+def _link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, expand: Callable[[bytes], np.ndarray]) -> DataFrame | None:
     keys = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    own = table(buckets.join(keys, "key").groupBy("key", "id").agg(F.max("n").alias("n"), F.max("pos").alias("pos")), "buckets")
+    own = table(buckets.join(keys, "key").groupBy("key", "id").agg(F.max("n").alias("n")), "buckets")
     if own.isEmpty():
         return None
     # a set at the centre of its group shares its keys with most others
@@ -116,111 +123,118 @@ def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
     own = table(own.join(own.groupBy("id").agg(F.sum("many").alias("score")), "id"), "buckets")
     sets = table(fetch(own.select("id").distinct()), "sets")
     lead = own.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead"))
-    pairs = table(_best(own.select("key", "id").join(lead, "key").where("id <> lead"), None), "pairs")
-    edges, tested = table(verify(pairs, sets, percent), "links"), pairs
-    linked = components(edges)
-
-    for _ in range(ROUNDS):
-        placed, minor = _split(own, linked)
-        if minor is None:
-            return linked
-        # each id outside its bucket's largest component tries the best of another
-        top = F.max_by(F.struct("id", "c"), F.struct("score", "id"))
-        first = placed.groupBy("key").agg(top.alias("f"))
-        other = placed.join(first, "key").where("c <> f.c").groupBy("key").agg(top.alias("s"))
-        leads = first.join(other, "key")
-        found = minor.join(leads, "key").select("id", F.when(F.col("c") != F.col("f.c"), F.col("f.id")).otherwise(F.col("s.id")).alias("lead"))
-        pairs = table(_best(found, tested), "pairs")
-        more = table(verify(pairs, sets, percent), "links")
-        tested = tested.unionByName(pairs)
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
-        linked = components(edges)
-
-    placed, minor = _split(own, linked)
-    if minor is None:
-        return linked
-    more = table(_small(placed, minor, tested, sets, percent).unionByName(_large(placed, sets, percent)), "links")
-    return linked if more.isEmpty() else components(edges.unionByName(more))
-
-
-def _small(placed: DataFrame, minor: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    # of the leaders of an id's buckets, the one with which it shares most keys
+    votes = own.select("key", "id").join(lead, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("id").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
+    pairs = table(best.select(F.col("id").alias("a"), F.col("lead").alias("b")), "pairs")
+    edges = table(verify(pairs, sets, percent, expand), "links")
+    # two steps along the links give components that are right but may be too fine
+    onward = edges.select(F.col("a").alias("b"), F.col("b").alias("d"))
+    linked = edges.join(onward, "b", "left").select(F.col("a").alias("id"), F.coalesce("d", "b").alias("component"))
+
+    placed = own.join(linked, "id", "left").select("key", "id", "n", "many", F.coalesce("component", "id").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    placed = placed.join(split, "key")
+    sized = placed.groupBy("key", "c").agg(F.count("*").alias("own"))
+    major = sized.groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("major"))
+    placed = table(placed.join(major, "key"), "split")
+    more = table(_small(placed, pairs, sets, percent, expand).unionByName(_large(placed, sets, percent, expand)), "links")
+    return components(edges.unionByName(more))
+
+
+def _small(placed: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, expand: Callable) -> DataFrame:
     """Links between different components of buckets of up to LARGE ids."""
-    left = minor.where(f"many <= {LARGE}").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), "major")
-    right = placed.where(f"many <= {LARGE}").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
+    rows = placed.where(f"many <= {LARGE}")
+    left = rows.where("c <> major").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "major")
+    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     # pairs of two minor components come once
     once = (F.col("cb") == F.col("major")) | (F.col("ca") < F.col("cb"))
     met = left.join(right, "key").where((F.col("ca") != F.col("cb")) & near & once)
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return verify(table(rest.join(known, ["a", "b"], "left_anti"), "rest"), sets, percent)
+    return verify(rest.join(known, ["a", "b"], "left_anti"), sets, percent, expand)
+
 
+def _cut(members: DataFrame, name: str) -> DataFrame:
+    """*members* (label, id, c, set) with a block, bounded in bytes and ids."""
+    size = F.greatest(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_IDS))
+    parts = members.groupBy("label").agg(size.alias("parts"))
+    return members.join(parts, "label").select("id", "c", "set", F.xxhash64("label", F.pmod(F.xxhash64("id"), "parts")).alias(name))
 
-def _large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of buckets of more than LARGE ids."""
+
+def _large(placed: DataFrame, sets: DataFrame, percent: int, expand: Callable) -> DataFrame:
+    """Links between different components of buckets of more than LARGE ids:
+    those outside a bucket's largest component, in blocks, against all blocks
+    of the bucket."""
     heavy = placed.where(f"many > {LARGE}")
-    # ids with the same largest bucket lie in the same blocks
-    labels = heavy.groupBy("id", "c").agg(F.max_by("key", F.struct("many", "key")).alias("label"))
+    # ids whose largest bucket has the same largest component lie in the same blocks
+    labels = heavy.groupBy("id", "c").agg(F.max_by("major", F.struct("many", "key")).alias("label"))
     members = labels.join(sets, "id")
-    parts = members.groupBy("label").agg(F.greatest(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_IDS)).alias("parts"))
-    members = members.join(parts, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("id"), "parts")))
-    members = table(members.select("id", "c", "block", "set"), "blocks")
-    spread = members.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    where = heavy.join(members.select("id", "block"), "id").select("key", "block").distinct().join(spread, "block")
-    one, two = (where.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high"))) for i in (1, 2))
-    apart = (F.col("low1") != F.col("high1")) | (F.col("low2") != F.col("high2")) | (F.col("low1") != F.col("low2"))
-    tasks = one.join(two, "key").where((F.col("block1") <= F.col("block2")) & apart).select("block1", "block2").distinct()
-    each = tasks.select(F.xxhash64("block1", "block2").alias("task"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
-    return each.join(members, "block").select("task", "block", "id", "c", "set").groupBy("task").applyInArrow(_product(percent), "a binary, b binary")
+    every = table(_cut(members, "block"), "blocks")
+    odd = heavy.where("c <> major")
+    minor = table(_cut(members.join(odd.select("id").distinct(), "id", "left_semi"), "own"), "blocks")
+    rows = odd.select("key", "id").join(minor.select("id", "own"), "id").select("key", "own").distinct()
+    columns = heavy.select("key", "id").join(every.select("id", "block"), "id").select("key", "block").distinct()
+    tasks = table(rows.join(columns, "key").select("own", "block").distinct().withColumn("task", F.xxhash64("own", "block")), "tasks")
+    one = tasks.join(minor, "own").select("task", F.lit(0).alias("side"), "id", "c", "set")
+    two = tasks.join(every, "block").select("task", F.lit(1).alias("side"), "id", "c", "set")
+    return one.unionByName(two).groupBy("task").applyInArrow(_product(percent, expand), "a binary, b binary")
 
 
-def _product(percent: int):
-    """All overlaps of two blocks by a sparse product of their incidences."""
+def _product(percent: int, expand: Callable):
+    """All overlaps of two blocks by a sparse product of their incidences;
+    links come back as a spanning forest over the components known so far."""
 
     def run(rows: pa.Table) -> pa.Table:
-        block, ids, comp, sets = (rows.column(c).to_pylist() for c in ("block", "id", "c", "set"))
-        n = len(ids)
-        size = np.array([len(s) // 8 for s in sets])
-        values, count = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
-        values = values[count > 1]
-        common = np.zeros((n, n), np.float32)
-        if len(values):
-            own = np.repeat(np.arange(n), size)
-            key = np.frombuffer(b"".join(sets), np.uint64)
-            at = np.minimum(np.searchsorted(values, key), len(values) - 1)
-            hit = values[at] == key
-            own, at = own[hit], at[hit]
-            order = np.argsort(at, kind="stable")
-            own, at = own[order], at[order]
-            times = np.bincount(at, minlength=len(values))
-            begin = np.concatenate([[0], np.cumsum(times)])
+        side = np.array(rows.column("side").to_pylist())
+        ids, comp = rows.column("id").to_pylist(), rows.column("c").to_pylist()
+        sets = [expand(s) for s in rows.column("set").to_pylist()]
+        at = [np.flatnonzero(side == k) for k in (0, 1)]
+        size = [np.array([len(sets[i]) for i in x], np.int64) for x in at]
+        common = np.zeros((len(at[0]), len(at[1])), np.float32)
+        keys = [np.concatenate([sets[i] for i in x]) if len(x) else np.empty(0, np.uint64) for x in at]
+        shared = np.intersect1d(np.unique(keys[0]), np.unique(keys[1]), assume_unique=True)
+        if len(shared):
+            column, owner, count = [], [], []
+            for k in (0, 1):
+                c = np.minimum(np.searchsorted(shared, keys[k]), len(shared) - 1)
+                hit = shared[c] == keys[k]
+                o = np.repeat(np.arange(len(at[k])), size[k])[hit]
+                order = np.argsort(c[hit], kind="stable")
+                column.append(c[hit][order])
+                owner.append(o[order])
+                count.append(np.bincount(column[k], minlength=len(shared)))
+            often = count[0] * count[1] > 64
             # rare columns add their pairs one by one, frequent ones by dense products
-            for d in range(2, 9):
-                here = np.flatnonzero(times == d)
-                members = own[begin[here][:, None] + np.arange(d)]
-                for i in range(d):
-                    for j in range(i):
-                        np.add.at(common, (members[:, i], members[:, j]), 1)
-            common += common.T
-            often = np.flatnonzero(times >= 9)
-            for k in range(0, len(often), 2048):
-                part = often[k : k + 2048]
-                dense = np.zeros((n, len(part)), np.float32)
-                for j, v in enumerate(part.tolist()):
-                    dense[own[begin[v] : begin[v + 1]], j] = 1
-                common += dense @ dense.T
-        hits = np.argwhere(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+            mine = ~often[column[0]]
+            times = count[1][column[0][mine]]
+            begin = (np.cumsum(count[1]) - count[1])[column[0][mine]]
+            second = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+            np.add.at(common, (np.repeat(owner[0][mine], times), owner[1][second]), 1)
+            number = np.cumsum(often) - 1
+            total = int(often.sum())
+            place = [number[column[k][often[column[k]]]] for k in (0, 1)]
+            who = [owner[k][often[column[k]]] for k in (0, 1)]
+            for low in range(0, total, 2048):
+                dense = []
+                for k in (0, 1):
+                    inside = (place[k] >= low) & (place[k] < low + 2048)
+                    d = np.zeros((len(at[k]), min(2048, total - low)), np.float32)
+                    d[who[k][inside], place[k][inside] - low] = 1
+                    dense.append(d)
+                common += dense[0] @ dense[1].T
+        hits = np.argwhere((100 * common >= percent * (size[0][:, None] + size[1][None, :] - common)) & (common > 0))
         root = {c: c for c in comp}
 
         def find(c: bytes) -> bytes:
             while root[c] != c:
+                root[c] = root[root[c]]
                 c = root[c]
             return c
 
         a, b = [], []
-        for i, j in hits.tolist():
+        for i, j in zip(at[0][hits[:, 0]].tolist(), at[1][hits[:, 1]].tolist(), strict=True):
             x, y = find(comp[i]), find(comp[j])
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -229,16 +243,3 @@ def _product(percent: int):
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
-
-
-def _split(own: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The buckets that hold several components: all their rows with component
-    c, and those outside the bucket's largest component (None if there are none)."""
-    placed = own.join(linked, "id", "left").select("key", "id", "n", "pos", "score", "many", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    placed = table(placed.join(split, "key"), "split")
-    if placed.isEmpty():
-        return placed, None
-    sized = placed.groupBy("key", "c").agg(F.count("*").alias("own"))
-    major = sized.groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("major"))
-    return placed, placed.join(major, "key").where("c <> major")

@@ -163,13 +163,13 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def dedup(docs: DataFrame) -> DataFrame:
     """*docs* with each shared passage left in one document only."""
     names = docs.columns
-    found = repeated(docs).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("removed").alias("_removed"))
+    found = repeated(docs).where("size(removed) > 0").select(F.col("doc_id").alias("__tm_d"), F.col("text_hash").alias("__tm_t"), F.col("removed").alias("__tm_removed"))
     # equal rows differ in what they lead, so one of them takes each result
-    found = found.groupBy("_d", "_t").agg(F.max_by("_removed", F.size("_removed")).alias("_removed"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").select(*names, "_removed")
+    found = found.groupBy("__tm_d", "__tm_t").agg(F.max_by("__tm_removed", F.size("__tm_removed")).alias("__tm_removed"))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.xxhash64("text") == F.col("__tm_t")), "left").select(*names, "__tm_removed")
 
     def make(piece: pa.RecordBatch) -> dict:
-        new = [cut(t, [(s["start"], s["end"]) for s in r]) if r else t for t, r in zip(piece.column("text").to_pylist(), piece.column("_removed").to_pylist(), strict=True)]
+        new = [cut(t, [(s["start"], s["end"]) for s in r]) if r else t for t, r in zip(piece.column("text").to_pylist(), piece.column("__tm_removed").to_pylist(), strict=True)]
         out = {c: piece.column(c) for c in names} | {"text": new}
         if "n_chars" in names:
             out["n_chars"] = [o if t is None else len(t) for o, t in zip(piece.column("n_chars").to_pylist(), new, strict=True)]
