@@ -9,7 +9,8 @@ every weighted line between is kept.
 
 Where the page marks its content (``article`` or ``main``), lines outside it
 weigh 0 and any weight inside is a surge, so short paragraphs stay.  In a page
-without such marks a surge needs ``SURGE`` code points in a window.
+without such marks a surge needs ``SURGE`` code points in a window; if there is
+none, all weighted lines are the text.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray
 tags are tolerated; character references are decoded after the markup is gone;
@@ -165,6 +166,8 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
             j += 1
         kept += [found[k][0] for k in range(i, j) if weight[k]]
         i = j
+    if not kept:  # without a surge, the page's text is what isn't furniture
+        kept = [t for t, w, _ in found if w]
     return "\n".join(kept)
 
 
