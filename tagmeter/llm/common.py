@@ -206,7 +206,7 @@ def fetch_filter(ids: DataFrame, column: str, limit: int = SMALL_ROWS):
     """A broadcast sieve for a small table of 16-byte ids: the sorted first
     halves of *column*; None if there are more than *limit*, which the caller
     must serve by a join.  The sieve may let others pass."""
-    if ids.count() > limit:
+    if ids.limit(limit + 1).count() > limit:
         return None
     half = np.array([np.frombuffer(r[0][:8], np.uint64)[0] for r in ids.select(column).toLocalIterator()], np.uint64)
     return ids.sparkSession.sparkContext.broadcast(np.unique(half))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetch_filter, map_pieces, mix64, passes, scratch, table, texts, window_hashes
+from .common import fetch_filter, map_pieces, mix64, passes, scratch, small, table, texts, window_hashes
 from .incidence import Rows, Shared, fingerprints, key_blocks, marks, shared_keys
 from .linking import link
 
@@ -46,19 +46,17 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def folded(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
+#: White space but for the line feed to a space.
+_SPACE = bytes(32 if c in b"\t\v\f\r" else c for c in range(256))
 
 
 def lines_of(text: bytes) -> list[tuple[int, bytes]]:
     """(number, folded line) of the lines that are compared."""
-    out = []
-    for i, line in enumerate(text.split(b"\n")):
-        if len(line) >= MIN_CHARS:
-            f = folded(line)
-            if len(f) >= MIN_CHARS and (f.isascii() or len(f.decode()) >= MIN_CHARS):
-                out.append((i, f))
-    return out
+    low = text.lower().translate(_SPACE)
+    lines = low.split(b"\n")
+    if b"  " in low or b" \n" in low or b"\n " in low or low[:1] == b" " or low[-1:] == b" ":
+        lines = [b" ".join(x.split()) for x in lines]
+    return [(i, x) for i, x in enumerate(lines) if len(x) >= MIN_CHARS and (x.isascii() or len(x.decode()) >= MIN_CHARS)]
 
 
 def id_of(line: bytes) -> bytes:
@@ -170,34 +168,42 @@ def _candidates(got: Shared) -> dict:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line (number) and id of every compared line."""
+    """doc_id, text_hash, lines (numbers) and ids of the compared lines of
+    each row."""
 
     def make(piece: pa.RecordBatch) -> dict:
-        at, number, ids = [], [], []
-        for i, text in enumerate(texts(piece)):
+        size, number, ids = [0], [], []
+        for text in texts(piece):
             for k, line in lines_of(text):
-                at.append(i)
                 number.append(k)
                 ids.append(id_of(line))
-        at = pa.array(at, pa.int64())
-        return {c: piece.column(c).take(at) for c in ("doc_id", "text_hash")} | {"line": number, "id": ids}
+            size.append(len(number))
+        cuts = pa.array(size, pa.int32())
+        made = {"lines": pa.ListArray.from_arrays(cuts, pa.array(number, pa.int32())), "ids": pa.ListArray.from_arrays(cuts, pa.array(ids, pa.binary()))}
+        return {c: piece.column(c) for c in ("doc_id", "text_hash")} | made
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return map_pieces(rows, make, f"doc_id {kind}, text_hash long, line int, id binary")
+    return map_pieces(rows, make, f"doc_id {kind}, text_hash long, lines array<int>, ids array<binary>")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash and line of the lines that go."""
+    return judged(docs, percent)[1]
+
+
+def judged(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(rows, gone): doc_id, text_hash and n_lines (compared) of each row, and
+    doc_id, text_hash and line of the lines that go."""
     spark = docs.sparkSession
     with scratch() as s:
-        seen = table(occurrences(docs), "lines")
-        many = key_blocks(spark, seen.count() * BANDS)
-        buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long", many, distinct=True), "bands")
+        rows = s.keep(table(occurrences(docs), "lines"))
+        many = rows.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+        buckets = table(shared_keys(docs.select("text"), _rows, _candidates, "key long, id binary, n long", key_blocks(spark, many * BANDS), distinct=True), "bands")
 
         def fetch(ids: DataFrame) -> DataFrame:
             """The lines themselves, from a document that has each."""
-            ids = table(ids, "wanted")
+            ids = small(ids, "wanted")
             sieve = fetch_filter(ids, "id")
 
             def lines(piece: pa.RecordBatch) -> dict:
@@ -212,14 +218,16 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return every.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
         found = link(buckets, fetch, percent, shingle_set)
+        each = rows.select("doc_id", "text_hash", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("ids").alias("id"))).alias("x")).select("doc_id", "text_hash", "x.line", "x.id")
         if found is None:
-            placed = seen.withColumn("g", F.col("id"))
+            placed = each.withColumn("g", F.col("id"))
         else:
-            placed = seen.join(found, "id", "left").withColumn("g", F.coalesce("component", "id"))
+            placed = each.join(small(found, "linked"), "id", "left").withColumn("g", F.coalesce("component", "id"))
         first = placed.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("many")).where("many > 1")
-        again = placed.join(first.select("g", "first"), "g")
+        again = placed.join(small(first.select("g", "first"), "firsts"), "g")
         same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))
-        return s.keep(table(again.where(~same).select("doc_id", "text_hash", "line").distinct(), "gone"))
+        gone = s.keep(table(again.where(~same).select("doc_id", "text_hash", "line").distinct(), "gone"))
+    return rows.select("doc_id", "text_hash", F.size("lines").cast("long").alias("n_lines")), gone
 
 
 def by_document(gone: DataFrame) -> DataFrame:
@@ -252,14 +260,8 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (compared), n_gone and gone (their numbers from 0)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-    def make(piece: pa.RecordBatch) -> dict:
-        return {c: piece.column(c) for c in ("doc_id", "text_hash")} | {"n_lines": [len(lines_of(t)) for t in texts(piece)]}
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_pieces(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, f"doc_id {kind}, text_hash long, n_lines long")
-    gone = by_document(repeats(docs)).select(F.col("doc_id").alias("__tm_d"), F.col("text_hash").alias("__tm_t"), "gone")
+    rows, gone = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    gone = by_document(gone).select(F.col("doc_id").alias("__tm_d"), F.col("text_hash").alias("__tm_t"), "gone")
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.col("text_hash") == F.col("__tm_t")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("gone"))
 

@@ -113,16 +113,15 @@ def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
 
 
 def _link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, expand: Callable[[bytes], np.ndarray]) -> DataFrame | None:
-    keys = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    own = table(buckets.join(keys, "key").groupBy("key", "id").agg(F.max("n").alias("n")), "buckets")
+    each = buckets.groupBy("key", "id").agg(F.max("n").alias("n"))
+    many = each.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    own = table(each.join(many, "key"), "buckets")
     if own.isEmpty():
         return None
-    # a set at the centre of its group shares its keys with most others
-    many = own.groupBy("key").agg(F.count("*").alias("many"))
-    own = own.join(many, "key")
-    own = table(own.join(own.groupBy("id").agg(F.sum("many").alias("score")), "id"), "buckets")
     sets = table(fetch(own.select("id").distinct()), "sets")
-    lead = own.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead"))
+    # a set at the centre of its group shares its keys with most others
+    score = own.groupBy("id").agg(F.sum("many").alias("score"))
+    lead = own.select("key", "id").join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead"))
     # of the leaders of an id's buckets, the one with which it shares most keys
     votes = own.select("key", "id").join(lead, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("id").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
