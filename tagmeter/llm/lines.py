@@ -17,14 +17,17 @@ common.
 With ROWS = 5 and BANDS = 20 a pair of similarity 0.75 shares a band with
 probability 0.995, one of 0.85 with 0.99999.
 
-Defined cases: lines that fold to fewer than ``MIN_CHARS`` code points are
-left alone, blank ones among them; a null text has no lines; rows equal in id
+Defined cases: blank lines are left alone; lines that fold to fewer than
+``SHINGLE`` code points have no shingle and repeat only as exact copies, which
+count at any length; a null text has no lines; rows equal in id
 and text are one document and stay alike; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,6 @@ from .linking import link
 SHINGLE, PERCENT = 8, 75
 ROWS, BANDS = 5, 20
 BINS = ROWS * BANDS
-MIN_CHARS = 16
 #: Shingles below which a line is short.
 SHORT = 24
 
@@ -50,13 +52,14 @@ _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))
 _SPACE = bytes(32 if c in b"\t\v\f\r" else c for c in range(256))
 
 
-def lines_of(text: bytes) -> list[tuple[int, bytes]]:
-    """(number, folded line) of the lines that are compared."""
+def lines_of(text: bytes, least: int = 1) -> list[tuple[int, bytes]]:
+    """(number, folded line) of the lines of *least* code points or more; by
+    default all but blank ones."""
     low = text.lower().translate(_SPACE)
     lines = low.split(b"\n")
     if b"  " in low or b" \n" in low or b"\n " in low or low[:1] == b" " or low[-1:] == b" ":
         lines = [b" ".join(x.split()) for x in lines]
-    return [(i, x) for i, x in enumerate(lines) if len(x) >= MIN_CHARS and (x.isascii() or len(x.decode()) >= MIN_CHARS)]
+    return [(i, x) for i, x in enumerate(lines) if len(x) >= least and (least == 1 or x.isascii() or len(x.decode()) >= least)]
 
 
 def id_of(line: bytes) -> bytes:
@@ -136,7 +139,7 @@ def signatures(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.n
 def _rows(piece: pa.RecordBatch) -> Rows | None:
     known: dict[bytes, int] = {}
     for text in texts(piece):
-        for _, line in lines_of(text):
+        for _, line in lines_of(text, SHINGLE):
             known.setdefault(line, len(known))
     if not known:
         return None
@@ -207,7 +210,7 @@ def judged(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
             sieve = fetch_filter(ids, "id")
 
             def lines(piece: pa.RecordBatch) -> dict:
-                got = list({line for text in texts(piece) for _, line in lines_of(text)})
+                got = list({line for text in texts(piece) for _, line in lines_of(text, SHINGLE)})
                 known = [id_of(x) for x in got]
                 if sieve is not None:
                     at = np.flatnonzero(passes(sieve.value, known)).tolist()
@@ -271,8 +274,14 @@ ORACLES: dict[str, str] = {}
 
 
 def brute(docs: list[tuple], percent: int = PERCENT) -> dict:
-    """Plain form, for tests: line numbers that go, by doc_id (ids unique)."""
-    seen = [(doc, k, line.decode()) for doc, text in sorted(docs) for k, line in lines_of((text or "").encode())]
+    """Plain form, for tests: line numbers that go, by doc_id (ids unique).
+    It splits and folds lines on its own."""
+    seen = []
+    for doc, text in sorted(docs):
+        for k, raw in enumerate((text or "").split("\n")):
+            line = re.sub(r"[ \t\v\f\r]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), raw)).strip(" ")
+            if line:
+                seen.append((doc, k, line))
     sets = {line: {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)} for _, _, line in seen}
     distinct = list(sets)
     root = {x: x for x in distinct}
@@ -284,7 +293,7 @@ def brute(docs: list[tuple], percent: int = PERCENT) -> dict:
 
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
-            if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+            if sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 root[find(x)] = find(y)
     kept: set[str] = set()
     out: dict = {}

@@ -361,6 +361,16 @@ def test_lines(spark, docs, odd):
     assert lines.repeats(odd).count() == 0 and lines.dedup(odd).count() == odd.count() and lines.dedup(odd.limit(0)).count() == 0
 
 
+def test_short_lines(spark, docs):
+    """Exact copies go at any length, near ones from SHINGLE code points on."""
+    df = docs((1, "Is\nSee chapter ten\n\n}\nêtre là, ici\nabcdefgh"), (2, "is \nSee chapter ten.\n\nit\n}\nabcdefg"), (3, "}\n IS\nÊtre là\nêtre  là, ici\nabcdefgi\nabcdefg"))
+    got = {r.doc_id: r for r in lines.judged(clashing(df))[0].collect()}
+    assert [got[i].n_lines for i in (1, 2, 3)] == [5, 5, 6]
+    gone = {r.doc_id: r.gone for r in lines.by_document(lines.repeats(clashing(df))).collect()}
+    assert gone == {2: [0, 1, 4], 3: [0, 1, 3, 5]} == lines.brute(pairs_of(df))
+    assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == {1: df.first().text, 2: "\nit\nabcdefg", 3: "Être là\nabcdefgi"}
+
+
 def test_line_signatures_recall():
     """Pairs a little above the similarity share a band nearly always."""
     rng = random.Random(6)
