@@ -5,12 +5,18 @@ and one failure bit per rule.  A policy is a versioned set of bits, applied to
 the ledger by one bitwise AND, and ablations are counted from grouped bits, so
 neither reads a text again.
 
+Toxic vocabulary can also be learned from labels: ``learn`` weighs words and
+their beginnings by how much more often toxic documents hold them, and
+``ledger`` then adds a document's score and one more bit, which policy v3
+uses.  The registered query stays with v2, the list alone, since its SQL does.
+
 Defined cases: a null or empty text measures 0 throughout and fails the
 word-count rule; repeated rows are judged alike; no value is clipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, texts
+from .common import map_pieces, scratch, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -43,10 +49,13 @@ RULES: tuple[tuple[str, str], ...] = (
     ("toxic_words", "n_toxic >= 1 and 1000 * n_toxic >= n_words"),
     ("shouting", "100 * n_shouted > 30 * n_words"),
 )
+#: The rule that ``ledger`` adds for a learned vocabulary, at the next bit.
+LEARNED = "toxic_score"
 BASE = ("few_words", "repeated_words")
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE + ("many_words", "word_length", "symbols", "repeated_lines"),
     "v2": tuple(name for name, _ in RULES),
+    "v3": (*(name for name, _ in RULES), LEARNED),
 }
 LATEST = "v2"
 
@@ -55,8 +64,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in bytes(range(256)).lower())
 
 
+_NAMES = (*(name for name, _ in RULES), LEARNED)
+
+
 def bits(names: tuple[str, ...]) -> int:
-    at = {name: i for i, (name, _) in enumerate(RULES)}
+    at = {name: i for i, name in enumerate(_NAMES)}
     return sum(1 << at[n] for n in names)
 
 
@@ -101,17 +113,85 @@ def measure(text: bytes, toxic: frozenset[bytes]) -> tuple[int, ...]:
     )
 
 
-def ledger(docs: DataFrame, toxic: tuple[str, ...] = TOXIC) -> DataFrame:
-    """doc_id, the measurements and ``fail_bits``."""
+#: Labelled documents that ``learn`` reads at most, by least hash of the id.
+LEARN_DOCS = 20_000
+#: Toxic documents that must hold a term, how many times more often than clean
+#: ones, and the terms kept at most.
+TERM_DOCS, TERM_LIFT, MAX_TERMS = 3, 20.0, 20_000
+#: Letters of the beginnings that are terms beside whole words.
+PREFIXES = (4, 5, 6, 7)
+
+
+def terms(text: bytes) -> set[str]:
+    """The words of a text and their beginnings, which end in ``*``."""
+    words = {w.decode() for w in text.translate(_LETTERS).split()}
+    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
+
+
+class Vocabulary:
+    """Weights of toxic terms and the score from which a text is toxic."""
+
+    def __init__(self, weights: dict[str, float], least: float = math.inf) -> None:
+        self.weights, self.least = weights, least
+
+    def score(self, text: bytes) -> float:
+        # fsum doesn't depend on the order of the set
+        return math.fsum(self.weights[t] for t in terms(text) if t in self.weights) if self.weights else 0.0
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = LEARN_DOCS) -> Vocabulary:
+    """Fit on documents that *labels* (doc_id, toxic) covers.
+
+    A term's weight is the logarithm of its lift; the least score is the one
+    with the best F1 on the sample.  Without a toxic and a clean document
+    nothing is learned.
+    """
+    told = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    with scratch():
+        sample = table(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(told), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")), "labelled")
+        many = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if not many.get(1) or not many.get(0):
+            return Vocabulary({})
+
+        def listed(piece: pa.RecordBatch) -> dict:
+            each = [sorted(terms(t)) for t in texts(piece)]
+            toxic = np.repeat(piece.column("toxic").to_numpy(), [len(x) for x in each])
+            return {"term": [t for x in each for t in x], "toxic": pa.array(toxic)}
+
+        held = map_pieces(sample, listed, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+        lift = F.col("a") / many[1] / ((F.col("b") + 0.5) / many[0])
+        kept = held.where((F.col("a") >= TERM_DOCS) & (lift >= TERM_LIFT)).orderBy(F.desc("a"), "term").limit(MAX_TERMS).select("term", lift.alias("lift"))
+        found = Vocabulary({r.term: math.log(r.lift) for r in kept.collect()})
+
+        def scored(piece: pa.RecordBatch) -> dict:
+            return {"score": [found.score(t) for t in texts(piece)], "toxic": piece.column("toxic")}
+
+        got = map_pieces(sample, scored, "score double, toxic long").where("score > 0").groupBy("score").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+        best = hit = seen = 0
+        for r in sorted(got.collect(), key=lambda r: -r.score):
+            hit, seen = hit + r.a, seen + r["n"]
+            if 2 * hit / (seen + many[1]) > best:
+                best, found.least = 2 * hit / (seen + many[1]), r.score
+    return found
+
+
+def ledger(docs: DataFrame, toxic: tuple[str, ...] = TOXIC, learned: Vocabulary | None = None) -> DataFrame:
+    """doc_id, the measurements and ``fail_bits``; with *learned* also its
+    score and bit."""
     lexicon = frozenset(w.encode() for w in toxic)
 
     def make(piece: pa.RecordBatch) -> dict:
         got = np.array([measure(t, lexicon) for t in texts(piece)], np.int64).reshape(-1, len(MEASURES))
-        return {"doc_id": piece.column("doc_id")} | {m: pa.array(got[:, i]) for i, m in enumerate(MEASURES)}
+        score = {} if learned is None else {LEARNED: [learned.score(t) for t in texts(piece)]}
+        return {"doc_id": piece.column("doc_id")} | {m: pa.array(got[:, i]) for i, m in enumerate(MEASURES)} | score
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = map_pieces(docs.select("doc_id", "text"), make, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES) + (f", {LEARNED} double" if learned else "")
+    measured = map_pieces(docs.select("doc_id", "text"), make, schema)
     failed = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
+    if learned:
+        failed.append(F.when(F.col(LEARNED) >= learned.least, F.lit(bits((LEARNED,)))).otherwise(F.lit(0)))
     total = failed[0]
     for x in failed[1:]:
         total = total.bitwiseOR(x)
@@ -134,7 +214,7 @@ def ablation(rows: DataFrame, policy: str = LATEST) -> DataFrame:
     bits, of which there are at most 2 to the number of rules."""
     mask = bits(POLICIES[policy])
     grouped = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask)).alias("b")).agg(F.count("*").alias("n"))
-    rules = [F.struct(F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, (name, _) in enumerate(RULES) if name in POLICIES[policy]]
+    rules = [F.struct(F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, name in enumerate(_NAMES) if name in POLICIES[policy]]
     each = grouped.select("b", "n", F.explode(F.array(*rules)).alias("r"))
     hit = F.col("b").bitwiseAND(F.col("r.bit")) != 0
     return each.groupBy(F.col("r.rule").alias("rule")).agg(

@@ -123,6 +123,24 @@ def test_quality(spark, odd):
     assert table["few_words"] == (2, 1) and table["repeated_words"] == (1, 0) and table["symbols"] == (1, 1)
 
 
+def test_quality_learns_toxic_terms(spark, docs):
+    """Recall per language on documents that learning never saw."""
+    d, l = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
+    seen, bit = {}, quality.bits((quality.LEARNED, "toxic_words"))
+    for fold in range(4):
+        mine = F.expr("pmod(xxhash64(doc_id), 4)") == fold
+        rest = d.join(l.where(mine), "doc_id")
+        rows = quality.apply_policy(quality.ledger(rest, learned=quality.learn(d, l.where(~mine))), "v3")
+        for r in rows.join(rest.select("doc_id", "lang", "toxic"), "doc_id").collect():
+            seen.setdefault((r.lang, r.toxic), []).append(bool(r.fail_bits & bit))
+            assert not (r.kept and r.fail_bits & bit)
+    for lang in ("de", "en", "es", "fr"):
+        assert np.mean(seen[lang, 1]) >= 0.75 and np.mean(seen[lang, 0]) <= 0.05
+    none = quality.learn(d.limit(0), l)
+    assert none.weights == {} and quality.ledger(docs((1, "a b")), learned=none).first().fail_bits & quality.bits((quality.LEARNED,)) == 0
+    assert quality.learn(docs((None, None), (1, "x")), l.limit(0)).weights == {}
+
+
 # ---- 2 ----
 def fill(sizes, weights, share=1.5, repeat=2):
     """Targets by repeated resharing, in plain Python."""
