@@ -13,7 +13,9 @@ without such marks a surge needs ``SURGE`` code points in a window; if there is
 none, all weighted lines are the text.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray
-tags are tolerated; character references are decoded after the markup is gone;
+tags are tolerated, and where an element without text (``_RAW``) has no end tag
+only its start tag goes, but for script and style, which then last to the end
+of the page; a head needs no end tag; character references are decoded after the markup is gone;
 white space inside a line becomes one space; nothing is dropped for its size.
 """
 
@@ -33,11 +35,13 @@ WINDOW = 3
 #: Code points in a window that make a surge in a page without marked content.
 SURGE = 80
 
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|head"
+#: Elements whose content isn't text.
+_RAW = "script|style|title|noscript|template|textarea|svg|math|iframe|object|select"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/a-zA-Z][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s>/])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 #: Elements whose text stays in the line around them.
@@ -88,7 +92,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     last = 0
-    for m in _TAG.finditer(page):
+    endless: set[str] = set()  # raw elements that have no end tag any more
+    while m := _TAG.search(page, last):
         if m.start() > last:
             part = page[last : m.start()]
             text.append(part)
@@ -96,9 +101,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(part.strip())
         last = m.end()
         name = m[3]
+        if m[1]:
+            text.append(" ")
+            raw = m[1].lower()
+            end = None if raw in endless else _END[raw].search(page, last)
+            if end:
+                last = end.end()
+            else:
+                endless.add(raw)
+                if raw in ("script", "style"):
+                    last = len(page)
         if not name:
-            if m[1]:
-                text.append(" ")
             continue
         name, ending = name.lower(), bool(m[2])
         if name in INLINE:
@@ -137,7 +150,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         stack.append(name)
         if name in CONTENT:
             content.append(len(stack))
-        elif name in FURNITURE or (name not in ("body", "html") and _marked(m[4])):
+        elif name in FURNITURE or (name not in ("body", "head", "html") and _marked(m[4])):
             furniture.append(len(stack))
     text.append(page[last:])
     if in_link:

@@ -366,6 +366,19 @@ def test_html(spark):
     assert html.extract_text(pages).where("n_chars = 0").count() == 0
 
 
+def test_html_without_end_tags():
+    body = "<body><article><p>One.</p><p>Two.</p></article></body></html>"
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head id=header><title>T</title><style>p{}</style><script>1</script>", "<HEAD/><title>T</title>"):
+        assert html.extract("<html>" + head + body) == "One.\nTwo."
+    for tag in ("svg-icon", "select-box", "template-part x=1", "object-view"):
+        assert html.extract(f"<article><p>One.</p><{tag}></{tag.split()[0]}><p>Two.</p></article>") == "One.\nTwo."
+    for tag in ("svg", "select", "noscript", "iframe src=x", "template", "textarea", "object", "math"):
+        assert html.extract(f"<article><p>One.</p><{tag}><p>Two.</p></article>") == "One.\nTwo."
+        assert html.extract(f"<article><p>One.</p><{tag}>no text</{tag.split()[0]} ><p>Two.</p></article>") == "One.\nTwo."
+    assert html.extract("<article><p>One.</p><script>var x = '<p>no</p>';") == html.extract("<article><p>One.</p><style>p{}<p>no</p>") == "One."
+    assert html.extract("<article>" + "<select>x " * 50_000 + "</article>") == ("x " * 50_000).strip()
+
+
 # ---- 10 ----
 def test_lines(spark, docs, odd):
     d = read(spark, "documents").where("doc_id < 150")
