@@ -9,14 +9,16 @@ every weighted line between is kept.
 
 Where the page marks its content (``article`` or ``main``), lines outside it
 weigh 0 and any weight inside is a surge, so short paragraphs stay.  In a page
-without such marks a surge needs ``SURGE`` code points in a window; if there is
-none, all weighted lines are the text.
+without such marks the first surge needs ``SURGE`` code points in a window; once the
+text has begun, any weight is a surge, so that what stands after adverts or
+links stays.  If there is none, all weighted lines are the text.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray
 tags are tolerated, and where an element without text (``_RAW``) has no end tag
 only its start tag goes, but for script and style, which then last to the end
 of the page; a head needs no end tag; character references are decoded after the markup is gone;
-white space inside a line becomes one space; nothing is dropped for its size.
+white space inside a line becomes one space; nothing is dropped for its size,
+but for short lines before the first surge of a page without marked content.
 """
 
 from __future__ import annotations
@@ -178,7 +180,7 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
         while j < n and sum(weight[j : j + window]) > 0:
             j += 1
         kept += [found[k][0] for k in range(i, j) if weight[k]]
-        i = j
+        i, need = j, 1
     if not kept:  # without a surge, the page's text is what isn't furniture
         kept = [t for t, w, _ in found if w]
     return "\n".join(kept)

@@ -366,6 +366,13 @@ def test_html(spark):
     assert html.extract_text(pages).where("n_chars = 0").count() == 0
 
 
+def test_html_after_the_first_surge():
+    """In a page without marked content, short lines after weightless ones."""
+    long, advert, link = "<p>" + "word " * 30 + "</p>", "<div class=ad>" + "Buy this now. " * 9 + "</div>", "<p><a href=x>share</a></p>"
+    page = "<p>menu</p>" + advert * 3 + long + advert * 3 + "<h2>Part</h2>" + link * 4 + "<p>The end.</p>" + advert * 3
+    assert html.extract(page) == ("word " * 30).strip() + "\nPart\nThe end."
+
+
 def test_html_without_end_tags():
     body = "<body><article><p>One.</p><p>Two.</p></article></body></html>"
     for head in ("<head><title>T</title><meta charset=utf-8>", "<head id=header><title>T</title><style>p{}</style><script>1</script>", "<HEAD/><title>T</title>"):
