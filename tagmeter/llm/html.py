@@ -1,24 +1,35 @@
 """Operator 9, main text of HTML by line-block distribution.
 
 Markup is stripped to lines, one for each block element's text.  A line's
-weight is the number of its code points, or 0 where it stands in a link or in
-an element that is furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments).  Weights are summed over sliding windows of lines;
-text starts where the sums surge and ends where they dive to nothing, and
-every weighted line between is kept.
-
-Where the page marks its content (``article`` or ``main``), lines outside it
-weigh 0 and any weight inside is a surge, so short paragraphs stay.  In a page
-without such marks the first surge needs ``SURGE`` code points in a window; once the
-text has begun, any weight is a surge, so that what stands after adverts or
-links stays.  If there is none, all weighted lines are the text.
+weight is the number of its code points outside links; roles only lower it: in
+furniture (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) it is 0, and outside marked content (``article``, ``main``) a quarter
+where the page marks any.  Weights are summed over sliding windows of lines.  A
+passage begins where a window's sum surges to ``SURGE`` code points, or to half
+of the page's heaviest window if that is less, and ends where the sums dive to
+nothing; once one has begun, any later weight begins another.  Text between a
+surge and its dive is the page's.
+
+Marked content that such a passage meets is taken from its first to its last
+line, so its short lines and those that are all link stay, and then nothing
+outside counts.  Marked content that no passage meets decides nothing: a long
+text beside ``article`` teasers is found by its windows.
+
+Furniture is told by the element or by a whole class, id or role token: the
+word itself, a compound that ends in it (``site-header``, but not
+``has-sidebar``) or that begins with it and ends in a word like ``box``.  Where
+all of a page's surging windows or all its marked content stand in furniture,
+the marks around them don't hold.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray
-tags are tolerated, and where an element without text (``_RAW``) has no end tag
-only its start tag goes, but for script and style, which then last to the end
-of the page; a head needs no end tag; character references are decoded after the markup is gone;
-white space inside a line becomes one space; nothing is dropped for its size,
-but for short lines before the first surge of a page without marked content.
+tags are tolerated: a list item, cell or paragraph ends where the next begins,
+a head where text begins, an element without text (``RAW``) that has no end tag
+loses its start tag only, but for script and style, which then last to the end
+of the page, as do a comment and a tag that nothing ends; character references
+are decoded after the markup is gone; white space inside a line becomes one
+space; equal pages give equal texts; time and memory are linear in the page.
+Nothing is dropped for its size, but for lines before the first surge that
+stand outside marked content.
 """
 
 from __future__ import annotations
@@ -34,156 +45,284 @@ from .common import map_pieces
 
 #: Lines in a window.
 WINDOW = 3
-#: Code points in a window that make a surge in a page without marked content.
+#: Code points in a window that make a surge on any page.
 SURGE = 80
+#: Lines outside marked content weigh this part of their size.
+OUTSIDE = 4
 
 #: Elements whose content isn't text.
-_RAW = "script|style|title|noscript|template|textarea|svg|math|iframe|object|select"
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s>/])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[/a-zA-Z][^>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
-_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW.split("|")}
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-
+RAW = frozenset("script style title noscript template textarea iframe object select".split())
 #: Elements whose text stays in the line around them.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo mrow mfrac msup msub msqrt mtext semantics svg g text tspan path picture source".split()
 )
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold furniture.
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset".split())
-#: Words in class, id or role that mark furniture.
+#: Words of a class, id or role token that mark furniture.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search form comment comments reply replies respond disqus share sharing social related recommended pagination pager complementary contentinfo".split()
 )
+#: Words after a mark that leave it one, and words before it that undo it.
+HOLDERS = frozenset("area bar block box button buttons column container content form inner item items left link links list main panel right row section slot top unit widget wrap wrapper".split())
+UNDO = frozenset("has is no non not with without".split())
 CONTENT = frozenset(("article", "main"))
-_WORD = re.compile(r"[a-z]+")
+
+#: What an opening tag ends where it stands directly inside: each name with
+#: the elements beyond which it doesn't look.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ()),
+}
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r"=\s*[\"']|>")
+_NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
+_PARTS = re.compile(r"[a-z]+")
+
+
+def _furniture_token(token: str) -> bool:
+    parts = _PARTS.findall(token)
+    if not parts or parts[0] in UNDO:
+        return False
+    return parts[-1] in MARKS or (parts[0] in MARKS and len(parts) > 1 and parts[-1] in HOLDERS)
 
 
 def _marked(attributes: str) -> bool:
     if "=" not in attributes:
         return False
-    for m in _NAMES.finditer(attributes):
-        if MARKS.intersection(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside marked content) of each non-empty line."""
-    out: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    linked = 0
-    stack: list[str] = []  # open block elements
-    furniture: list[int] = []  # depths at which furniture opened
-    content: list[int] = []
-    in_link = 0
-
-    def close() -> None:
-        nonlocal linked
-        if text:
-            joined = " ".join(html.unescape("".join(text)).split())
-            if joined:
-                weight = 0 if furniture else max(0, len(joined) - linked)
-                # a line that is all link inside marked content is still text
-                out.append((joined, weight or (len(joined) if content and not furniture else 0), bool(content)))
-            text.clear()
-        linked = 0
-
-    last = 0
-    endless: set[str] = set()  # raw elements that have no end tag any more
-    while m := _TAG.search(page, last):
-        if m.start() > last:
-            part = page[last : m.start()]
-            text.append(part)
-            if in_link:
-                linked += len(part.strip())
-        last = m.end()
-        name = m[3]
-        if m[1]:
-            text.append(" ")
-            raw = m[1].lower()
-            end = None if raw in endless else _END[raw].search(page, last)
-            if end:
-                last = end.end()
-            else:
-                endless.add(raw)
-                if raw in ("script", "style"):
-                    last = len(page)
-        if not name:
-            continue
-        name, ending = name.lower(), bool(m[2])
-        if name in INLINE:
-            if name == "a":
-                in_link = max(0, in_link + (-1 if ending else 1))
-            if name == "br":
-                text.append(" ")
-            if not ending and m[4] and name not in VOID and _marked(m[4]):
-                # marked inline furniture is held apart like a block
-                close()
-                stack.append(name)
-                furniture.append(len(stack))
-            elif ending and name in stack[-1:]:
-                close()
-                stack.pop()
-                while furniture and furniture[-1] > len(stack):
-                    furniture.pop()
-            continue
+    return any(_furniture_token(t) for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
+
+
+class _Page:
+    """Lines of a page: parts of text with the furniture around each.
+
+    ``above`` and ``hard`` describe furniture nodes (0 is none) by the node
+    around them and whether the element itself tells; ``contents`` has the
+    node around each marked content and the content around that.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.lines: list[tuple[int, list[tuple[int, bool, str]]]] = []
+        self.above, self.hard = [0], [False]
+        self.contents: list[tuple[int, int]] = []
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        text: list[tuple[int, bool, str]] = []
+        names: list[str] = []  # open elements, their furniture and content before
+        back: list[tuple[int, int]] = []
+        where: dict[str, list[int]] = {}  # places of open elements by name
+        node, content, links = 0, -1, 0
+
+        def close() -> None:
+            nonlocal text
+            if text:
+                self.lines.append((content, text))
+                text = []
+
+        def leave(depth: int) -> None:
+            """Close the elements from *depth* on."""
+            nonlocal node, content
+            while len(names) > depth:
+                where[names.pop()].pop()
+                node, content = back.pop()
+
+        def enter(name: str, furniture: bool, hard: bool) -> None:
+            nonlocal node, content
+            where.setdefault(name, []).append(len(names))
+            names.append(name)
+            back.append((node, content))
+            if furniture:
+                self.above.append(node)
+                self.hard.append(hard)
+                node = len(self.above) - 1
+            elif name in CONTENT:
+                self.contents.append((node, content))
+                content = len(self.contents) - 1
+
+        def last_of(these: tuple[str, ...]) -> int:
+            return max((where[n][-1] for n in these if where.get(n)), default=-1)
+
+        at, size = 0, len(page)
+        endless: set[str] = set()  # what no later text ends
+        while at < size:
+            mark = page.find("<", at)
+            if mark < 0:
+                mark = size
+            if mark > at:
+                text.append((node, links > 0, page[at:mark]))
+            if mark == size:
+                break
+            if page.startswith("<!--", mark):
+                end = page.find("-->", mark + 2)
+                at = size if end < 0 else end + 3
+                continue
+            m = _NAME.match(page, mark + 1)
+            if m is None:
+                if page[mark + 1 : mark + 2] in ("!", "?", "/"):
+                    end = page.find(">", mark)
+                    at = size if end < 0 else end + 1
+                else:  # a sign in the text
+                    text.append((node, links > 0, "<"))
+                    at = mark + 1
+                continue
+            # the tag's end: the first > outside quoted values
+            end = m.end()
+            while stop := _IN_TAG.search(page, end):
+                end = stop.end()
+                quote = page[end - 1]
+                if quote == ">":
+                    break
+                if quote not in endless:
+                    closing = page.find(quote, end)
+                    if closing < 0:
+                        endless.add(quote)
+                    else:
+                        end = closing + 1
+            if stop is None:  # nothing ends it
+                break
+            at = end
+            name, attributes = m[0].lower(), page[m.end() : end - 1]
+            ending = name[0] == "/"
+            name = name.lstrip("/")
+            if name in RAW:
+                if ending:
+                    continue
+                text.append((node, links > 0, " "))
+                if name not in endless:
+                    closing = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+                    if closing:
+                        at = closing.end()
+                        continue
+                    endless.add(name)
+                if name in ("script", "style"):
+                    break
+                continue
+            if name in INLINE:
+                if name == "a":
+                    links = max(0, links + (-1 if ending else 1))
+                elif name == "br":
+                    text.append((node, links > 0, " "))
+                if ending:
+                    if where.get(name) and all(n in INLINE for n in names[where[name][-1] :]):
+                        leave(where[name][-1])
+                elif name not in VOID and _marked(attributes) and not attributes.endswith("/"):
+                    enter(name, True, False)
+                continue
+            close()
+            links = 0
+            while names and names[-1] in INLINE:
+                leave(len(names) - 1)
+            if name in VOID:
+                continue
+            if ending:
+                if where.get(name):
+                    leave(where[name][-1])
+                continue
+            if names and names[-1] == "p":
+                leave(len(names) - 1)
+            if name in _ENDS:
+                these, beyond = _ENDS[name]
+                while (k := last_of(these)) > last_of(beyond):
+                    leave(k)
+            hard = name in FURNITURE
+            enter(name, hard or (name not in ("body", "head", "html") and _marked(attributes)), hard)
         close()
-        in_link = 0
-        if name in VOID:
-            continue
-        if ending:
-            if name in stack:
-                while stack.pop() != name:
-                    pass
-                while furniture and furniture[-1] > len(stack):
-                    furniture.pop()
-                while content and content[-1] > len(stack):
-                    content.pop()
-            continue
-        if name == "p" and stack[-1:] == ["p"]:
-            stack.pop()
-            while furniture and furniture[-1] > len(stack):
-                furniture.pop()
-        stack.append(name)
-        if name in CONTENT:
-            content.append(len(stack))
-        elif name in FURNITURE or (name not in ("body", "head", "html") and _marked(m[4])):
-            furniture.append(len(stack))
-    text.append(page[last:])
-    if in_link:
-        linked += len(page[last:].strip())
-    close()
+
+    def furniture(self, undone: set[int], hard_only: bool = False) -> list[bool]:
+        """Whether a node, or one around it, is furniture that holds."""
+        out = [False]
+        for i in range(1, len(self.above)):
+            out.append(out[self.above[i]] or (i not in undone and (self.hard[i] or not hard_only)))
+        return out
+
+    def around(self, node: int) -> set[int]:
+        out = set()
+        while node:
+            out.add(node)
+            node = self.above[node]
+        return out
+
+
+def _weighed(page: _Page, furniture: list[bool]) -> list[tuple[str, int, int]]:
+    """(text, code points outside links, content) of each line with text."""
+    out = []
+    for content, parts in page.lines:
+        kept = [(linked, html.unescape(t)) for node, linked, t in parts if not furniture[node]]
+        text = " ".join("".join(t for _, t in kept).split())
+        if text:
+            free = text if not any(linked for linked, _ in kept) else " ".join("".join(" " if linked else t for linked, t in kept).split())
+            out.append((text, len(free), content))
+        elif (not out or out[-1][0]) and any(furniture[node] and not t.isspace() for node, _, t in parts):
+            out.append(("", 0, -1))  # furniture between lines, however much, is one line without weight
     return out
 
 
-def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    if not page:
-        return ""
-    found = lines(page)
-    marked = any(inside for _, _, inside in found)
-    weight = [w if inside or not marked else 0 for _, w, inside in found]
-    need = 1 if marked else surge
-    kept: list[str] = []
-    i, n = 0, len(found)
+def _sums(weight: list[int], window: int) -> list[int]:
+    """Sums over the window that begins at each line."""
+    total = [0]
+    for w in weight:
+        total.append(total[-1] + w)
+    n = len(weight)
+    return [total[min(n, i + window)] - total[i] for i in range(n)]
+
+
+def passages(weight: list[int], window: int, need: int) -> list[tuple[int, int]]:
+    """(surge, dive) of each passage, end exclusive."""
+    sums, out, i, n = _sums(weight, window), [], 0, len(weight)
     while i < n:
-        # a surge: a weighted line whose window sums to enough
-        if not weight[i] or sum(weight[i : i + window]) < need:
+        if not weight[i] or sums[i] < need:
             i += 1
             continue
-        # the dive: the first line from which a whole window weighs nothing
         j = i + 1
-        while j < n and sum(weight[j : j + window]) > 0:
+        while j < n and sums[j] > 0:
             j += 1
-        kept += [found[k][0] for k in range(i, j) if weight[k]]
+        out.append((i, j))
         i, need = j, 1
-    if not kept:  # without a surge, the page's text is what isn't furniture
-        kept = [t for t, w, _ in found if w]
-    return "\n".join(kept)
+    return out
+
+
+def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    if not page:
+        return ""
+    found = _Page(page)
+    furniture = found.furniture(set())
+    lines = _weighed(found, furniture)
+    if not any(text for text, _, _ in lines) or (found.contents and all(furniture[n] for n, _ in found.contents) and max(_sums([w for _, w, _ in lines], window)) < surge):
+        # all that could be the text is held by furniture
+        held = set().union(*(found.around(n) for n, _ in found.contents)) if found.contents else set()
+        for undone, hard_only in ((held, False), (held, True), (set(range(len(found.above))), True)):
+            furniture = found.furniture(undone, hard_only)
+            lines = _weighed(found, furniture)
+            if any(text for text, _, _ in lines):
+                break
+    holds = [not furniture[n] for n, _ in found.contents]
+    inside = [c >= 0 and holds[c] for _, _, c in lines]
+    marked = any(inside)
+    # a line that is all link is text inside marked content
+    weight = [(w or len(t)) if k else w // OUTSIDE if marked else w for (t, w, _), k in zip(lines, inside, strict=True)]
+    sums = _sums(weight, window)
+    need = max(1, min(surge, -(-max(sums, default=0) // 2)))
+    met = passages(weight, window, need)
+    outer = list(range(len(found.contents)))
+    for i, (_, above) in enumerate(found.contents):
+        if above >= 0 and holds[above]:
+            outer[i] = outer[above]
+    own = _sums([w if k else 0 for w, k in zip(weight, inside, strict=True)], window)
+    if marked and max(own) >= need:
+        # passages that meet marked content spread over it, and end at it
+        hit = {outer[lines[i][2]] for a, b in met for i in range(a, b) if inside[i]}
+        kept = [t for (t, _, c), k in zip(lines, inside, strict=True) if k and outer[c] in hit]
+    else:
+        plain = [w for _, w, _ in lines]
+        sums = _sums(plain, window)
+        met = passages(plain, window, max(1, min(surge, -(-max(sums, default=0) // 2))))
+        kept = [lines[i][0] for a, b in met for i in range(a, b) if plain[i]]
+    return "\n".join(kept or [t for t, _, _ in lines if t])
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
