@@ -257,8 +257,8 @@ def _weighed(page: _Page, furniture: list[bool]) -> list[tuple[str, int, int]]:
         if text:
             free = text if not any(linked for linked, _ in kept) else " ".join("".join(" " if linked else t for linked, t in kept).split())
             out.append((text, len(free), content))
-        elif (not out or out[-1][0]) and any(furniture[node] and not t.isspace() for node, _, t in parts):
-            out.append(("", 0, -1))  # furniture between lines, however much, is one line without weight
+        elif any(furniture[node] and not t.isspace() for node, _, t in parts):
+            out.append(("", 0, -1))  # a line of furniture has no weight
     return out
 
 

