@@ -42,8 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write *df* to the shared folder and read it back.
+def table(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write *df* to the shared folder and read it back.  *packed*: its bytes
+    are blobs that no dictionary would shorten.
 
     It cuts the lineage: losing an executor later costs a read, not a
     recomputation, and row positions become stable.  The folders are removed
@@ -52,7 +53,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
+    writer = df.write.option("parquet.enable.dictionary", "false") if packed else df.write
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -200,22 +202,3 @@ def small(df: DataFrame, name: str) -> DataFrame:
 
     df = table(df, name)
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
-def fetch_filter(ids: DataFrame, column: str, limit: int = SMALL_ROWS):
-    """A broadcast sieve for a small table of 16-byte ids: the sorted first
-    halves of *column*; None if there are more than *limit*, which the caller
-    must serve by a join.  The sieve may let others pass."""
-    if ids.limit(limit + 1).count() > limit:
-        return None
-    half = np.array([np.frombuffer(r[0][:8], np.uint64)[0] for r in ids.select(column).toLocalIterator()], np.uint64)
-    return ids.sparkSession.sparkContext.broadcast(np.unique(half))
-
-
-def passes(sieve: np.ndarray, ids: list[bytes]) -> np.ndarray:
-    """Which of *ids* the sieve lets pass."""
-    if not len(sieve) or not ids:
-        return np.zeros(len(ids), bool)
-    half = np.frombuffer(b"".join(ids), np.uint64)[::2]
-    at = np.minimum(np.searchsorted(sieve, half), len(sieve) - 1)
-    return sieve[at] == half

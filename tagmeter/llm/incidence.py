@@ -7,9 +7,10 @@ out once with a weight.  A key block sorts what all pieces sent, compares
 neighbours, adds up weights and returns the keys that two rows or more have.
 Back at the piece, its header says which rows have them.
 
-Keys travel as packed arrays, 8 bytes and 4 for the place; a key that a third
+Keys travel as packed arrays, 8 bytes and 8 for the place; a key that a third
 of all rows have costs one entry for each piece.  No task needs more than a
-key block or a piece.
+key block or a piece.  Where rows are known by fingerprints, these have 64 bits:
+two different rows that share a key seem one with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from .common import mix64, pieces
 #: Keys of a key block, about.
 BLOCK_KEYS = 4_000_000
 
-_ANY = np.uint32(0xFFFFFFFF)
+_ANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A count's highest bit says that the piece leads.
 _LEAD = np.uint32(1 << 31)
-_PAIR = np.dtype([("t", "<u8"), ("l", "<u4")])
+_PAIR = np.dtype([("t", "<u8"), ("l", "<u8")])
 _SENT = "bucket int, piece binary, kind int, a binary, b binary, c binary"
 _TYPES = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 _NAMES = ["bucket", "piece", "kind", "a", "b", "c"]
@@ -41,8 +42,9 @@ class Rows:
 
     A place tells the piece where a key stands.  Where rows of different
     pieces may be the same thing, it is instead a fingerprint of the row, and
-    keys are counted by distinct places (``fingerprints``).  ``head`` is what the piece will need to know later; ``name`` identifies
-    the piece by its content, so that a repeated task sends the same.
+    keys are counted by distinct places (``fingerprints``).  ``head`` is what
+    the piece will need to know later; ``name_of`` it names the piece, so that
+    a repeated task sends the same.
     """
 
     key: np.ndarray
@@ -66,13 +68,17 @@ class Shared:
     copies: int  # pieces of equal content
 
 
+def name_of(head: tuple[bytes, bytes]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(head[0] + b"\0" + head[1])
+
+
 def key_blocks(spark, keys: int) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BLOCK_KEYS, 1)
 
 
 def _send(rows: Rows, many: int) -> pa.RecordBatch:
-    import xxhash
-
     order = np.argsort(rows.key)
     key = rows.key[order]
     # only equal keys need an order among themselves
@@ -82,7 +88,7 @@ def _send(rows: Rows, many: int) -> pa.RecordBatch:
     if len(at):
         own = order[at]
         order[at] = own[np.lexsort((rows.place[own], rows.row[own], rows.key[own]))]
-    place, row = rows.place[order].astype(np.uint32), rows.row[order]
+    place, row = rows.place[order].astype(np.uint64), rows.row[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(key)))
@@ -94,7 +100,7 @@ def _send(rows: Rows, many: int) -> pa.RecordBatch:
     pairs = np.empty(int(several.sum()), _PAIR)
     pairs["t"], pairs["l"] = key[several], place[several]
     a, b = rows.head
-    name = xxhash.xxh3_128_digest(a + b"\0" + b)
+    name = name_of(rows.head)
     out = [(many + int.from_bytes(name[:4], "little") % many, name, 0, a, b, pairs.tobytes())]
     gram, who = key[first], np.where(single, place[first], _ANY)
     column = ((gram >> np.uint64(11)) % np.uint64(many)).astype(np.int32)
@@ -106,9 +112,9 @@ def _send(rows: Rows, many: int) -> pa.RecordBatch:
 
 
 def marks(ids: bytes, salt: int) -> np.ndarray:
-    """Four bytes for each 16-byte id."""
-    half = np.frombuffer(ids, np.uint64).reshape(-1, 2)[:, 0]
-    return np.minimum((mix64(half + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32), _ANY - np.uint32(1))
+    """Eight bytes for each 16-byte id."""
+    half = np.frombuffer(ids, np.uint64).reshape(-1, 2)
+    return np.minimum(mix64(half[:, 0] + mix64(half[:, 1] + np.uint64(salt))), _ANY - np.uint64(1))
 
 
 def fingerprints(ids: bytes) -> tuple[np.ndarray, int]:
@@ -131,7 +137,7 @@ def _count(top: int, distinct: bool):
         rows = [i for i, k in enumerate(kind) if k == 1]
         if rows:
             gram = np.concatenate([np.frombuffer(a[i], np.uint64) for i in rows])
-            who = np.concatenate([np.frombuffer(b[i], np.uint32) for i in rows])
+            who = np.concatenate([np.frombuffer(b[i], np.uint64) for i in rows])
             weight = np.ones(len(gram), np.int64)
             weight[who == _ANY] = np.concatenate([np.frombuffer(c[i], np.uint32) for i in rows])
             order = np.argsort(gram)
@@ -141,7 +147,7 @@ def _count(top: int, distinct: bool):
                 tie[:-1] |= ~new[1:]
                 at = order[np.flatnonzero(tie)]
                 at = at[np.lexsort((who[at], gram[at]))]
-                same = (np.diff(gram[at]) == 0) & (np.diff(who[at].astype(np.int64)) == 0) & (who[at[1:]] != _ANY)
+                same = (gram[at[1:]] == gram[at[:-1]]) & (who[at[1:]] == who[at[:-1]]) & (who[at[1:]] != _ANY)
                 weight[at[1:][same]] = 0
             begin, group = np.flatnonzero(new), np.cumsum(new) - 1
             total = np.empty(len(gram), np.int64)
@@ -169,6 +175,13 @@ def _count(top: int, distinct: bool):
     return run
 
 
+def row_pieces(batches):
+    """Each row is a piece."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
 def _gather(block: pa.Table) -> Shared | None:
     kind, a, b, c = (block.column(i).to_pylist() for i in range(1, 5))
     heads = [i for i, k in enumerate(kind) if k == 0]
@@ -179,7 +192,7 @@ def _gather(block: pa.Table) -> Shared | None:
         return np.concatenate([np.frombuffer(values[i], dtype) for i in range(len(kind)) if kind[i] == of] or [np.empty(0, dtype)])
 
     pairs = np.frombuffer(c[heads[0]], _PAIR)
-    key, place, count = joined(a, 1, 0, np.uint64), joined(b, 1, 0, np.uint32), joined(c, 1, 0, np.uint32)
+    key, place, count = joined(a, 1, 0, np.uint64), joined(b, 1, 0, np.uint64), joined(c, 1, 0, np.uint32)
     several = place == _ANY
     if len(pairs) and several.any():
         g, d = key[several], count[several]
@@ -195,23 +208,23 @@ def _gather(block: pa.Table) -> Shared | None:
         key, place, count = key[order], place[order], count[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])[: len(key)]
         key, place, count = key[new], place[new], count[new]
-    return Shared((a[heads[0]], b[heads[0]]), key, place, count & ~_LEAD, count >= _LEAD, joined(a, 2, 0, np.uint32), len(heads))
+    return Shared((a[heads[0]], b[heads[0]]), key, place, count & ~_LEAD, count >= _LEAD, joined(a, 2, 0, np.uint64), len(heads))
 
 
 def shared_keys(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], Rows | None], then: Callable[[Shared], dict], schema: str, many: int, top: int = 0, distinct: bool = False, column: str = "text"
+    df: DataFrame, rows: Callable[[pa.RecordBatch], Rows | None], then: Callable[[Shared], dict], schema: str, many: int, top: int = 0, distinct: bool = False, cut: Callable = pieces
 ) -> DataFrame:
     """Count the keys of *rows*, which a piece of *df* gives, and let *then*
     make columns of *schema* from what comes back to each piece.  *many*: key
     blocks; *top*: keys below it that no other row has are told too;
-    *distinct*: rows count by distinct places."""
+    *distinct*: rows count by distinct places; *cut*: makes pieces of batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def send(batches):
-        for piece in pieces(batches, column):
+        for piece in cut(batches):
             got = rows(piece)
             if got is not None:
                 yield _send(got, many)

@@ -1,15 +1,20 @@
 """Operator 7, n-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the document by n-gram incidence matrix come in blocks, one for each
-piece of text that a worker holds; columns come in blocks by n-gram hash.  A
-first product, of the incidence with its own column counts, gives for each
-document how many of its n-grams no other document has.  It needs only the
-columns whose hash lies below ``REGION``: a document with more unshared ones
-there than the bound n - ceil(t n) can't reach similarity t with any other, so
-it is discarded.  For the others, n-grams in ascending order of their counts
-form a prefix of n - ceil(t n) + 1; two documents that link share an n-gram of
-both prefixes.  Prefixes are the candidate buckets of ``linking``, which
-accumulates the overlap counts of candidate pairs and merges the links.
+piece of text; columns come in blocks by n-gram hash.  A first product, of the
+incidence with its own column counts, gives for each document how many of its
+n-grams no other document has.  It needs only the columns whose hash lies below
+``REGION``: a document with more unshared ones there than the bound
+n - ceil(t n) can't reach similarity t with any other, so it is discarded.  For
+the others, n-grams in ascending order of their counts form a prefix of
+n - ceil(t n) + 1; two documents that link share an n-gram of both prefixes,
+and the closer their sizes, the more (``shared_at_least``).
+
+Documents that share prefix columns are brought together in row blocks, and the
+product of these rows with themselves over all columns gives the overlaps, as
+``linking`` describes; pairs across row blocks add up their shared prefix
+columns, block of columns by block, and fall out below the bound that their
+sizes set.  What is left is multiplied too.
 
 Documents with equal sets are one class from the start, known by a 128-bit
 digest.  Within a block, n-grams that several documents have are counted and
@@ -28,12 +33,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, scratch, small, table, texts, window_hashes, word_hashes
-from .incidence import Rows, Shared, fingerprints, key_blocks, marks, shared_keys
-from .linking import link
+from .common import map_pieces, scratch, table, texts, window_hashes, word_hashes
+from .incidence import Rows, Shared, fingerprints, key_blocks, marks, name_of, row_pieces, shared_keys
+from .linking import PACKED, ask, asked_sets, id_rows, link, pack
 
 N, PERCENT = 5, 75
 #: Share of the hash range, in eighths, whose columns are counted.
@@ -70,43 +75,78 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest of each row."""
+def pieces_of(docs: DataFrame, n: int = N) -> DataFrame:
+    """Row blocks of the incidence matrix, one for each piece of text: its
+    distinct sets (ids, sizes, grams) and its rows (doc_id, text_hash, and
+    which set each has, -1 for an empty one)."""
 
     def make(piece: pa.RecordBatch) -> dict:
-        sets = shingles(texts(piece), n)
-        return {c: piece.column(c) for c in ("doc_id", "text_hash")} | {"n_shingles": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]}
+        rows: dict[bytes, int] = {}
+        kept, which = [], []
+        for grams in shingles(texts(piece), n):
+            if not len(grams):
+                which.append(-1)
+                continue
+            name = digest_of(grams)
+            if name not in rows:
+                rows[name] = len(rows)
+                kept.append(grams)
+            which.append(rows[name])
+        ids, size = b"".join(rows), [len(g) for g in kept]
+        salt = fingerprints(ids)[1] if kept else 0
+        sizes = np.array([salt, *size], np.int64).tobytes()
+        made = {"name": [name_of((ids, sizes))], "ids": [ids], "sizes": [sizes], "grams": [b"".join(g.tobytes() for g in kept)], "many": [sum(size)]}
+        return made | {c: [piece.column(c).to_pylist()] for c in ("doc_id", "text_hash")} | {"which": [which]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return map_pieces(rows, make, f"doc_id {kind}, text_hash long, n_shingles long, digest binary")
+    return map_pieces(rows, make, f"name binary, ids binary, sizes binary, grams binary, many long, doc_id array<{kind}>, text_hash array<long>, which array<int>")
+
+
+def classes(pieces: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and digest (null for an empty set) of
+    each row."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                which = batch.column("which")[i].values.to_numpy()
+                ids, size = id_rows(batch.column("ids")[i].as_py()), np.frombuffer(batch.column("sizes")[i].as_py(), np.int64)[1:]
+                size = np.append(size, 0)[which]
+                digest = [None if k < 0 else ids[k].tobytes() for k in which.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, batch.column("text_hash")[i].values, pa.array(size), pa.array(digest, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest"])
 
+    kind = pieces.schema["doc_id"].dataType.elementType.simpleString()
+    return pieces.select("ids", "sizes", "doc_id", "text_hash", "which").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, digest binary")
 
-def _block(n: int, percent: int):
+
+def _block(percent: int):
     """Rows of the incidence: a piece's distinct sets, with the columns that
     are counted, or where these don't fill the prefix the next ones too."""
 
     def run(piece: pa.RecordBatch) -> Rows | None:
-        rows: dict[bytes, np.ndarray] = {}
-        for grams in shingles(texts(piece), n):
-            if len(grams):
-                rows.setdefault(digest_of(grams), grams)
-        if not rows:
+        ids, sizes = piece.column("ids")[0].as_py(), piece.column("sizes")[0].as_py()
+        if not ids:
             return None
-        sent = [g[: max(int(np.searchsorted(g, _TOP)), min(len(g), prefix(len(g), percent)))] for g in rows.values()]
-        who = np.repeat(np.arange(len(sent)), [len(g) for g in sent])
-        mark, salt = fingerprints(b"".join(rows))
-        return Rows(np.concatenate(sent), mark[who], who, (b"".join(rows), np.array([salt, *(len(g) for g in rows.values())], np.int64).tobytes()))
+        size = np.frombuffer(sizes, np.int64)
+        salt, size = int(size[0]), size[1:]
+        grams = np.frombuffer(piece.column("grams")[0].as_py(), np.uint64)
+        who = np.repeat(np.arange(len(size)), size)
+        low = np.bincount(who[grams < _TOP], minlength=len(size))
+        sent = np.maximum(low, [prefix(int(k), percent) for k in size])
+        begin = np.cumsum(size) - size
+        keep = np.arange(len(grams)) - begin[who] < sent[who]
+        return Rows(grams[keep], marks(ids, salt)[who[keep]], who[keep], (ids, sizes))
 
     return run
 
 
-def _prefixes(percent: int):
+def _prefixes(percent: int, parts: int):
     """Prefix n-grams of the rows of a piece that the bound leaves."""
 
     def run(got: Shared) -> dict:
-        names, size = got.head[0], np.frombuffer(got.head[1], np.int64)
-        mark, size = marks(names, int(size[0])), size[1:]
+        ids, size = id_rows(got.head[0]), np.frombuffer(got.head[1], np.int64)
+        mark, size = marks(got.head[0], int(size[0])), size[1:]
         by_mark = np.argsort(mark)
         row = lambda places: by_mark[np.searchsorted(mark[by_mark], places)]
         alone = np.bincount(row(got.lone), minlength=len(size)) // got.copies
@@ -116,39 +156,47 @@ def _prefixes(percent: int):
         gram, who, count = got.key[fits], who[fits], got.count[fits]
         # counted columns first, by count; the others by hash
         order = np.lexsort((gram, np.where(gram < _TOP, count, 0), gram >= _TOP, who))
-        gram, who = gram[order], who[order]
+        gram, who, count = gram[order], who[order], count[order]
         take = np.arange(len(who)) - np.searchsorted(who, who) < room[who]
-        gram, who = gram[take], who[take]
-        return {"key": gram.view(np.int64), "id": [names[16 * i : 16 * i + 16] for i in who.tolist()], "n": size[who]}
+        gram, who, count = gram[take], who[take], count[take]
+        if not len(who):
+            return {c: [] for c in ("part", "key", "id", "n")}
+        made, asks = pack(gram, ids[who], size[who], count, parts), ask(name_of(got.head), ids[np.unique(who)])
+        return {c: made[c] + asks[c] for c in made}
 
     return run
 
 
+def shared_at_least(percent: int):
+    """How many prefix n-grams two sets of sizes a and b share at least if
+    they reach *percent*: prefixes leave at most n - p of each set out."""
+
+    def run(a: Column, b: Column) -> Column:
+        least = F.ceil((a + b) * percent / (100 + percent) - 1e-9)
+        room = [F.ceil(x * percent / 100 - 1e-9) for x in (a, b)]
+        return F.least(least - room[0], least - room[1]) + 1
+
+    return run
+
+
+def _stored(row: dict, wanted: np.ndarray) -> list[bytes]:
+    end = 8 * np.cumsum(np.frombuffer(row["sizes"], np.int64)[1:])
+    begin = np.concatenate([[0], end])
+    return [row["grams"][begin[i] : end[i]] for i in wanted.tolist()]
+
+
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (null for an empty set) and
     component_id of each row."""
     spark = docs.sparkSession
     with scratch() as s:
-        rows = s.keep(table(classes(docs, n), "classes"))
-        total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-        many = key_blocks(spark, total * REGION // 8)
-        buckets = table(shared_keys(docs.select("text"), _block(n, percent), _prefixes(percent), "key long, id binary, n long", many, int(_TOP), distinct=True), "prefixes")
-        reps = rows.groupBy("digest").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("digest", "r.text_hash", "r.doc_id")
-
-        def fetch(ids: DataFrame) -> DataFrame:
-            """The sets of a class each, from the text of one of its rows."""
-            want = small(ids.join(reps, ids["id"] == reps["digest"]).select(F.col("text_hash").alias("__tm_t"), F.col("doc_id").alias("__tm_d")), "wanted")
-            rows = docs.select("doc_id", "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-            rows = rows.join(want, (F.col("text_hash") == F.col("__tm_t")) & F.col("doc_id").eqNullSafe(F.col("__tm_d")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-
-            def make(piece: pa.RecordBatch) -> dict:
-                sets = shingles(texts(piece), n)
-                return {"id": [digest_of(s) for s in sets], "set": [s.tobytes() for s in sets]}
-
-            return map_pieces(rows.select("text"), make, "id binary, set binary")
-
-        found = link(buckets, fetch, percent)
-        named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
+        pieces = table(pieces_of(docs, n), "pieces", packed=True)
+        rows = s.keep(table(classes(pieces), "classes"))
+        total = pieces.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+        parts = key_blocks(spark, total * REGION // 8)
+        buckets = table(shared_keys(pieces.select("ids", "sizes", "grams"), _block(percent), _prefixes(percent, parts), PACKED, parts, int(_TOP), distinct=True, cut=row_pieces), "prefixes")
+        found = link(buckets, parts, asked_sets(buckets, pieces, ["sizes", "grams"], _stored), percent, sized=shared_at_least(percent))
+        named = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("own"))
         if found is None:
             named = named.select("digest", F.col("digest").alias("component"), F.col("own").alias("component_id"))
         else:
@@ -157,8 +205,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             least = named.groupBy("component").agg(F.min("own").alias("component_id"))
             named = named.join(least, "component").select("digest", "component", "component_id")
         named = s.keep(table(named.withColumnRenamed("digest", "__tm_digest"), "components"))
-    out = rows.join(named, (rows["digest"] == named["__tm_digest"]) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(named, rows["digest"] == named["__tm_digest"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("digest").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -195,28 +243,3 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 
 QUERIES = {"op7_jaccard": op7_jaccard}
 ORACLES = {"op7_jaccard": SQL}
-
-
-def brute(docs: list[tuple], n: int = N, percent: int = PERCENT) -> list[tuple]:
-    """Plain form, for tests: (doc_id, n_shingles, component_id)."""
-    sets = []
-    for _, text in docs:
-        w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
-        k = min(n, len(w))
-        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
-    root = list(range(len(docs)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(docs)):
-        for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    least: dict[int, int] = {}
-    for i, (doc, _) in enumerate(docs):
-        least[find(i)] = min(least.get(find(i), math.inf), doc)
-    return [(doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(docs)]

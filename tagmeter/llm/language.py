@@ -198,33 +198,3 @@ def op6_language(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_language": op6_language}
 ORACLES: dict[str, str] = {}
-
-
-def brute_bits(model_samples: list[bytes], text: bytes, contexts: set[bytes], order: int = 3) -> float:
-    """Code length by dictionaries, one byte at a time, for tests.
-
-    *contexts*: those of three bytes that the tree keeps."""
-    counts: dict[bytes, dict[int, int]] = {}
-    run = b"   " + b"   ".join(model_samples)
-    for i in range(3, len(run)):
-        for k in range(order + 1):
-            c = run[i - k : i]
-            if k < 3 or c in contexts:
-                counts.setdefault(c, {}).setdefault(run[i], 0)
-                counts[c][run[i]] += 1
-    total, padded = 0.0, b"   " + text
-    for i in range(3, len(padded)):
-        bits, b = 0.0, padded[i]
-        for k in range(order, -1, -1):
-            seen = counts.get(padded[i - k : i])
-            if not seen:
-                continue
-            whole = sum(seen.values()) + len(seen)
-            if b in seen:
-                bits -= math.log2(seen[b] / whole)
-                break
-            bits -= math.log2(len(seen) / whole)
-        else:
-            bits += 8
-        total += bits
-    return total

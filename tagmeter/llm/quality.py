@@ -257,9 +257,3 @@ FROM f"""
 
 QUERIES = {"op1_quality": op1_quality}
 ORACLES = {"op1_quality": _sql()}
-
-
-def brute_repeated(words: list) -> int:
-    """Plain form of repeated_words, for tests."""
-    count = Counter(zip(words, words[1:], words[2:], strict=False))
-    return len({i + j for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if count[g] > 1 for j in range(3)})

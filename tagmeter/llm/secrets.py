@@ -155,14 +155,3 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_secrets": op4_secrets}
 ORACLES: dict[str, str] = {}
-
-
-def brute_base(text: str | None) -> list[tuple[int, str, int]]:
-    """Base spans by plain patterns on code points, for tests."""
-    t, out = text or "", []
-    for m in re.finditer(ASSIGN.pattern.decode(), t, re.IGNORECASE | re.ASCII):
-        if len(m[2]) >= MIN_ASSIGN:
-            out.append((m.start(), "assign", m.end()))
-    out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= MIN_ACCESS]
-    out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= MIN_HEX]
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))

@@ -191,24 +191,3 @@ def op5_suffix(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op5_suffix": op5_suffix}
 ORACLES: dict[str, str] = {}
-
-
-def brute(docs: list[tuple]) -> dict:
-    """Plain form of the spans, for tests: {doc_id: [(start, end)]}."""
-    where: dict[tuple, set] = {}
-    words = {doc: [w for w in (text or "").encode().lower().split()] for doc, text in docs}
-    for doc, w in words.items():
-        for i in range(len(w) - LENGTH + 1):
-            where.setdefault(tuple(w[i : i + LENGTH]), set()).add(doc)
-    out = {}
-    for doc, w in words.items():
-        hit = sorted({i + j for i in range(len(w) - LENGTH + 1) if len(where[tuple(w[i : i + LENGTH])]) > 1 for j in range(LENGTH)})
-        runs: list[list[int]] = []
-        for p in hit:
-            if runs and runs[-1][1] == p:
-                runs[-1][1] = p + 1
-            else:
-                runs.append([p, p + 1])
-        if runs:
-            out[doc] = [tuple(r) for r in runs]
-    return out
