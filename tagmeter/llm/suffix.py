@@ -3,18 +3,28 @@
 A suffix of a document is retained where a minimiser of its words stands: of
 the GRAM-word prefixes in each window of LENGTH words the one with the least
 hash.  The choice depends on content alone, so two passages of LENGTH equal
-words retain the same suffixes.  Retained suffixes are sorted by prefix in key
-blocks, neighbours are compared, and only those with an equal neighbour in
-another document stay.  Matches are then extended left and right: every
-window of LENGTH words whose minimiser stayed is sorted and compared in turn.
-A word is repeated if it lies in such a window that two documents have; spans
-are maximal runs of repeated words.  Any passage of LENGTH words or more that
-two documents share is found, and none shorter.
+words retain the same suffixes.  A count of prefix hashes first drops suffixes
+whose prefix no other row has; it loses none.
+
+The others meet in blocks by prefix, as words: up to LENGTH to the right, and
+up to LENGTH - GRAM to the left in reverse.  A block sorts its suffixes by
+their words and compares neighbours, which gives common lengths, and sorts
+what stands left of them in the same way.  Suffixes whose right sides agree
+for LENGTH - o words stand in one interval of the one order, those whose left
+sides agree for o words in one of the other; where two suffixes of different
+documents share both, the match extends o words to the left and the rest to
+the right.  That is tested for each o, so every window of LENGTH words around a
+retained suffix that two documents have is found, by its words and not by a
+hash.  A word is repeated if it lies in such a window; spans are maximal runs
+of repeated words.
 
 Of the documents that share a window, one leads (that of the first piece by
 name, and in it the first place); the words of windows that it doesn't lead
 are what deduplication removes.
 
+A piece sends equal suffixes with equal surroundings once, so a passage that a
+third of all rows have costs a record for each piece and surrounding.
+
 Defined cases: words are split at ASCII white space and compared in lower case
 (A-Z); a null text or one of fewer than LENGTH words has no spans; a passage
 repeated inside one document only isn't counted; equal rows repeat each other
@@ -30,13 +40,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import map_pieces, mix64, table, texts, window_hashes, word_hashes
+from .common import map_pieces, pieces, scratch, table, texts, window_hashes, word_hashes
 from .incidence import Rows, Shared, key_blocks, shared_keys
 
 #: Words of a passage; words of a suffix's sorted prefix.
 LENGTH, GRAM = 50, 25
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Retained suffixes of a block, about.
+BLOCK_SUFFIXES = 50_000
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:
@@ -83,52 +96,167 @@ def _marks(got: Shared) -> dict:
     return {"hash": [int(names[i]) for i in own], "marks": [(p - start[i]).astype(np.int32).tobytes() for i, p in zip(own, parts, strict=True)]}
 
 
-def _windows(piece: pa.RecordBatch) -> Rows | None:
-    each, start = _documents(piece)
+_TYPES = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_NAMES = ["block", "piece", "kind", "a", "b", "c"]
+_RECORD = np.dtype([("number", "<u4"), ("doc", "<u4"), ("place", "<u8")])
+_SEVERAL = 0xFFFFFFFF
+
+
+def _contexts(piece: pa.RecordBatch, many: int) -> pa.RecordBatch | None:
+    """The retained suffixes of a piece with what stands around them, and a
+    header with their places."""
+    import xxhash
+
     marks = piece.column("marks").to_pylist()
-    keys, places, rows = [], [], []
-    for i, at, h in each:
-        m = minimisers(h)
-        stays = np.zeros(len(h), bool)
-        stays[np.frombuffer(marks[i], np.int32)] = True
-        w = np.flatnonzero(stays[m])
-        # a window is known by the grams at its ends, which cover it
-        keys.append(mix64(h[w] * _STEP + h[w + LENGTH - GRAM]))
-        places.append(w + at)
-        rows.append(np.full(len(w), i))
-    if not keys:
+    known: dict[tuple[bytes, bytes], int] = {}
+    block, doc_of, first, record, docs, places, sizes = [], [], [], [], [], [], []
+    begin = 0
+    for i, text in enumerate(texts(piece)):
+        words = text.lower().split()
+        sizes.append(len(words))
+        at = np.frombuffer(marks[i], np.int32)
+        h = window_hashes(word_hashes(words), GRAM)[at] if len(words) >= LENGTH else []
+        for p, g in zip(at.tolist(), (h % np.uint64(many)).tolist() if len(h) else (), strict=False):
+            key = b" ".join(words[p : p + LENGTH]), b" ".join(words[max(0, p - LENGTH + GRAM) : p][::-1])
+            k = known.setdefault(key, len(known))
+            if k == len(block):
+                block.append(g)
+                doc_of.append(i)
+                first.append(begin + p)
+            elif doc_of[k] != i:
+                doc_of[k] = _SEVERAL
+            record.append(k)
+            docs.append(i)
+            places.append(p)
+        begin += len(words)
+    if not known:
         return None
-    head = pickle.dumps((piece.column("doc_id").to_pylist(), piece.column("text_hash").to_pylist()), protocol=4)
-    return Rows(np.concatenate(keys), np.concatenate(places), np.concatenate(rows), (head, start.tobytes()))
+    head = pickle.dumps((piece.column("doc_id").to_pylist(), piece.column("text_hash").to_pylist(), sizes), protocol=4)
+    where = np.array([record, docs, places], np.int64).tobytes()
+    name = xxhash.xxh3_128_digest(np.array(piece.column("row").to_pylist(), np.int64).tobytes() + head)
+    out = [(many + int.from_bytes(name[:4], "little") % many, name, 0, head, where, b"")]
+    right, left = [k[0] for k in known], [k[1] for k in known]
+    block = np.array(block)
+    order = np.argsort(block, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        rows = np.empty(len(at), _RECORD)
+        rows["number"], rows["doc"], rows["place"] = at, np.array(doc_of)[at], np.array(first)[at]
+        out.append((int(block[at[0]]), name, 1, b"\n".join([right[k] for k in at.tolist()]), b"\n".join([left[k] for k in at.tolist()]), rows.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words two lists, joined by spaces, have in common from the start."""
+    if a == b:
+        return a.count(b" ") + 1 if a else 0
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the longest common prefix in bytes
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    ends = (low == len(a) or a[low : low + 1] == b" ") and (low == len(b) or b[low : low + 1] == b" ")
+    return a.count(b" ", 0, low) + (1 if ends and low else 0)
+
+
+def _sorted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order, and what each has in common with the one before it."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return np.array(order, np.int64), np.array([0, *(common_words(words[i], words[j]) for i, j in zip(order, order[1:], strict=False))], np.int64)
+
+
+def _intervals(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The interval of each suffix in which all agree for *least* words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < least)
+    return out
 
 
-def _runs(places: np.ndarray, n: int) -> list[dict]:
-    """Maximal runs of words covered by windows at *places*."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, places, 1)
-    np.add.at(step, places + LENGTH, -1)
+def _match(rows: pa.Table) -> pa.Table:
+    """For each suffix of a block, for which extensions to the left its window
+    stands in another document, and for which of these it leads; as bits."""
+    names, kind, a, b, c = (rows.column(i).to_pylist() for i in range(1, 6))
+    out = [(names[i], 0, a[i], b[i], c[i]) for i, k in enumerate(kind) if k == 0]
+    sent = [i for i, k in enumerate(kind) if k == 1]
+    if sent:
+        rank = {x: r for r, x in enumerate(sorted({names[i] for i in sent}))}
+        record = np.concatenate([np.frombuffer(c[i], _RECORD) for i in sent])
+        owner = np.repeat([rank[names[i]] for i in sent], [len(c[i]) // _RECORD.itemsize for i in sent])
+        right, left = ([x for i in sent for x in side[i].split(b"\n")] for side in (a, b))
+        to_right, to_left = _sorted(right), _sorted(left)
+        wide = [np.array([x.count(b" ") + bool(x) for x in side], np.int64) for side in (right, left)]
+        n = len(record)
+        doc = (owner.astype(np.uint64) << np.uint64(32)) + record["doc"]
+        place = (owner.astype(np.uint64) << np.uint64(40)) + record["place"]
+        several = record["doc"] == _SEVERAL
+        found, leads = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        for o in range(LENGTH - GRAM + 1):
+            group = _intervals(*to_right, LENGTH - o) * (n + 1) + (_intervals(*to_left, o) if o else 0)
+            order = np.argsort(group)
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+            each = np.cumsum(np.concatenate([[True], np.diff(group[order]) != 0])) - 1
+            shared = np.minimum.reduceat(doc[order], begin) != np.maximum.reduceat(doc[order], begin)
+            shared |= np.logical_or.reduceat(several[order], begin)
+            # what a text's end cuts off may be too short for the window
+            whole = (wide[0][order] >= LENGTH - o) & (wide[1][order] >= o)
+            bit = np.where(shared[each] & whole, np.uint32(1 << o), np.uint32(0))
+            first = np.minimum.reduceat(place[order], begin)[each] == place[order]
+            found[order] |= bit
+            leads[order] |= np.where(first, bit, np.uint32(0))
+        hit = found > 0
+        at = 0
+        for i in sent:
+            k = len(c[i]) // _RECORD.itemsize
+            own = slice(at, at + k)
+            at += k
+            if hit[own].any():
+                h = hit[own]
+                out.append((names[i], 1, record["number"][own][h].tobytes(), found[own][h].tobytes(), leads[own][h].tobytes()))
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(columns, _TYPES[1:], strict=True)], names=_NAMES[1:])
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, bits: np.ndarray, sizes: list[int]) -> dict[int, list[dict]]:
+    """Maximal runs of words, by document, that the windows cover which *bits*
+    tell around suffixes at *place*."""
+    begin = np.cumsum([0, *(n + 1 for n in sizes)])  # a gap after each document
+    step = np.zeros(int(begin[-1]) + 1, np.int32)
+    for o in range(LENGTH - GRAM + 1):
+        at = (begin[doc] + place - o)[(bits >> np.uint32(o)) & np.uint32(1) == 1]
+        np.add.at(step, at, 1)
+        np.add.at(step, at + LENGTH, -1)
     edge = np.diff(np.concatenate([[0], (np.cumsum(step[:-1]) > 0).astype(np.int8), [0]]))
-    return [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out: dict[int, list[dict]] = {}
+    for i, a, b in zip((np.searchsorted(begin, start, "right") - 1).tolist(), start.tolist(), end.tolist(), strict=True):
+        out.setdefault(i, []).append({"start": a - int(begin[i]), "end": b - int(begin[i])})
+    return out
 
 
-def _spans(got: Shared) -> dict:
-    (ids, hashes), start = pickle.loads(got.head[0]), np.frombuffer(got.head[1], np.int64)
-    order = np.lexsort((got.place, got.key))
-    key, place, lead = got.key[order], got.place[order].astype(np.int64), got.lead[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    again = ~(first & lead)
-    doc = np.searchsorted(start, place, "right") - 1
-    order = np.argsort(doc, kind="stable")
-    doc, place, again = doc[order], place[order], again[order]
+def _spans(rows: pa.Table) -> dict:
     out: dict = {c: [] for c in ("doc_id", "text_hash", "n_words", "spans", "removed")}
-    for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else ():
-        i = int(doc[part[0]])
-        n, p = int(start[i + 1] - start[i]), place[part] - start[i]
-        out["doc_id"].append(ids[i])
-        out["text_hash"].append(hashes[i])
-        out["n_words"].append(n)
-        out["spans"].append(_runs(p, n))
-        out["removed"].append(_runs(p[again[part]], n))
+    kind, a, b, c = (rows.column(i).to_pylist() for i in range(1, 5))
+    heads = [i for i, k in enumerate(kind) if k == 0]
+    told = [i for i, k in enumerate(kind) if k == 1]
+    if not heads or not told:
+        return out
+    ids, hashes, sizes = pickle.loads(a[heads[0]])
+    record, doc, place = np.frombuffer(b[heads[0]], np.int64).reshape(3, -1)
+    number = np.concatenate([np.frombuffer(a[i], np.uint32) for i in told]).astype(np.int64)
+    found, leads = np.zeros((2, int(record.max()) + 1), np.uint32)
+    found[number] = np.concatenate([np.frombuffer(b[i], np.uint32) for i in told])
+    leads[number] = np.concatenate([np.frombuffer(c[i], np.uint32) for i in told])
+    # the first place of a leading record leads
+    first = np.zeros(len(record), bool)
+    first[np.unique(record, return_index=True)[1]] = True
+    keep = found[record] > 0
+    record, doc, place, first = record[keep], doc[keep], place[keep], first[keep]
+    again = found[record] & ~np.where(first, leads[record], np.uint32(0))
+    spans, removed = _runs(doc, place, found[record], sizes), _runs(doc, place, again, sizes)
+    for i in sorted(spans):
+        for name, value in (("doc_id", ids[i]), ("text_hash", hashes[i]), ("n_words", sizes[i]), ("spans", spans[i]), ("removed", removed.get(i, []))):
+            out[name].append(value)
     return out
 
 
@@ -143,11 +271,28 @@ def repeated(docs: DataFrame) -> DataFrame:
     # about two words in GRAM carry a minimiser; a word has five bytes or so
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     marks = shared_keys(rows.select("text", "text_hash"), _suffixes, _marks, "hash long, marks binary", key_blocks(spark, size // 60))
-    marks = table(marks.dropDuplicates(["hash"]), "suffixes")
-    many = marks.agg(F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()[0] // 4 * (LENGTH - GRAM + 2) // 2
-    left = rows.join(marks, rows["text_hash"] == marks["hash"]).select("doc_id", "text", "text_hash", "marks")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return shared_keys(left, _windows, _spans, f"doc_id {kind}, text_hash long, n_words long, spans {SPANS}, removed {SPANS}", key_blocks(spark, many))
+    with scratch() as s:
+        marks = table(marks.dropDuplicates(["hash"]), "suffixes")
+        retained = marks.agg(F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()[0] // 4
+        many = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), retained // BLOCK_SUFFIXES)
+        left = rows.join(marks, rows["text_hash"] == marks["hash"]).select("doc_id", "text", "text_hash", "marks", F.monotonically_increasing_id().alias("row"))
+        left = table(left, "retained")  # a stable order, so pieces keep their names
+
+        def send(batches):
+            for piece in pieces(batches):
+                got = _contexts(piece, many)
+                if got is not None:
+                    yield got
+
+        def back(group: pa.Table) -> pa.Table:
+            made = _spans(group)
+            return pa.table([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        schema = f"doc_id {kind}, text_hash long, n_words long, spans {SPANS}, removed {SPANS}"
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+        matched = left.mapInArrow(send, "block int, piece binary, kind int, a binary, b binary, c binary").groupBy("block").applyInArrow(_match, "piece binary, kind int, a binary, b binary, c binary")
+        return s.keep(table(matched.groupBy("piece").applyInArrow(back, schema), "passages"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

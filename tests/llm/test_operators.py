@@ -272,6 +272,34 @@ def test_suffix(spark, docs, odd):
     assert {r.doc_id for r in suffix.repeated(odd).collect()} == set() and suffix.repeated(odd.limit(0)).count() == 0
 
 
+def test_suffix_orders():
+    """Common lengths and intervals of sorted word lists, by brute force."""
+    rng = random.Random(9)
+    lists = [[rng.choice(["a", "ab", "b", "é"]) for _ in range(rng.randrange(7))] for _ in range(60)]
+    joined = [" ".join(x).encode() for x in lists]
+    agree = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    assert all(suffix.common_words(joined[i], joined[j]) == agree(x, y) for i, x in enumerate(lists) for j, y in enumerate(lists))
+    order, common_ = suffix._sorted(joined)
+    for least in range(1, 7):
+        where = suffix._intervals(order, common_, least)
+        for i, j in itertools.combinations(range(len(lists)), 2):
+            assert (where[i] == where[j]) == (agree(lists[i], lists[j]) >= least)
+
+
+def test_suffix_repeated_rows(spark, monkeypatch):
+    """Repeated rows, passages inside one document, few suffixes in a block,
+    and a second run."""
+    monkeypatch.setattr(suffix, "BLOCK_SUFFIXES", 20)
+    d = read(spark, "documents").where("doc_id < 60")
+    twice = d.unionByName(d.where("doc_id % 7 = 0")).unionByName(d.where("doc_id = 3").selectExpr("doc_id + 1000 as doc_id", "concat(text, ' ', text) as text", "lang", "source", "n_chars"))
+    rows = suffix.repeated(twice.repartition(5)).collect()
+    pairs = pairs_of(twice)
+    want = brute.passages([(k, t) for k, (_, t) in enumerate(pairs)])
+    assert sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in rows) == sorted((pairs[k][0], v) for k, v in want.items())
+    again = suffix.repeated(twice).select("doc_id", "spans", "removed").collect()
+    assert sorted(map(str, again)) == sorted(map(str, suffix.repeated(twice).select("doc_id", "spans", "removed").collect()))
+
+
 # ---- 6 ----
 def test_language_codes_are_exact():
     samples = {"aa": [b"abracadabra abra " * 30, b"banana"], "bb": [b"mississippi miss " * 30, b"xyz"]}
