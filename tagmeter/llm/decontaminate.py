@@ -10,21 +10,21 @@ scanned in blocks, one pass over the documents for each, and the hits of the
 passes are merged by document, so the result is the same at any size.
 
 Defined cases: a null or wordless text has no words, no hits and no items; a
-benchmark row without words or without an item_id is ignored; rows that share
-an item_id are one item; repeated document rows are each judged.
+benchmark row without words is ignored; one without an item_id hits words, but
+is no item; rows that share an item_id are one item; repeated document rows are each judged.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, mix64, texts
+from .common import map_pieces, mix64, table, texts
 
 NGRAM = 8
 #: Windows in a broadcast: about 200 bytes each in a worker.
@@ -41,14 +41,14 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """A hash set of word windows, each with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int) -> None:
         self.ids: dict[bytes, int] = {}
         self.by_text: dict[bytes, tuple[str, ...]] = {}
         found: dict[tuple[bytes, ...], set[str]] = {}
         for item, words in items:
             m = min(n, len(words))
             for i in range(len(words) - m + 1):
-                found.setdefault(tuple(words[i : i + m]), set()).add(item)
+                found.setdefault(tuple(words[i : i + m]), set()).update([] if item is None else [item])
         for window, who in found.items():
             for w in window:
                 self.ids.setdefault(w, len(self.ids))
@@ -92,7 +92,7 @@ class Windows:
             where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             for i in at[hashes[where] == h].tolist():
                 who = self.by_text.get(b" ".join(words[i : i + m]))
-                if who:
+                if who is not None:
                     out.append((i, i + m, who))
         return out
 
@@ -108,31 +108,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, n: int, limit: int):
-    """The items, in blocks of at most *limit* windows (one item at least).
+    """The items, in blocks of at most *limit* windows.
 
     Rows come partition by partition, so the driver holds a block and a
     partition of the benchmark, never all of a large one.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null and text is not null")
-    block: list[tuple[str, list[bytes]]] = []
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    block: list[tuple[str | None, list[bytes]]] = []
     held = 0
     for row in rows.toLocalIterator():
         words = words_of(row.text.encode())
-        if not words:
-            continue
-        many = max(1, len(words) - n + 1)
-        if block and held + many > limit:
-            yield block
-            block, held = [], 0
-        block.append((row.item, words))
-        held += many
+        # an item of more windows comes in parts that share n - 1 words
+        for begin in range(0, max(1, len(words) - n + 1) if words else 0, limit):
+            part = words[begin : begin + limit + n - 1]
+            many = max(1, len(part) - n + 1)
+            if block and held + many > limit:
+                yield block
+                block, held = [], 0
+            block.append((row.item, part))
+            held += many
     yield block
 
 
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], n: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], n: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
 
     def make(piece: pa.RecordBatch) -> dict:
@@ -153,17 +154,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, block_windows: i
     """Per document row: doc_id, text_hash (xxhash64 of the text), n_words,
     spans (hit words, in word positions, end exclusive, merged) and items
     (ids of the items hit, sorted)."""
-    parts = [_scan(docs, block, n) for block in _blocks(benchmark, n, block_windows)]
-    if len(parts) == 1:
-        return parts[0]
+    return _scan_blocks(docs, _blocks(benchmark, n, block_windows), n)
+
+
+def _scan_blocks(docs: DataFrame, blocks, n: int) -> DataFrame:
+    first = next(blocks)
+    block = next(blocks, None)
+    if block is None:
+        return _scan(docs, first, n)
     # Repeated rows of the same id and text have the same hits, so a key of
-    # both joins the passes; only the sparse hits are shuffled.
+    # both joins the passes; only the sparse hits are kept and shuffled.  Each
+    # pass is written, so one block is held at a time.
     hits = None
-    for part in parts:
-        own = part.where("size(items) > 0").select("doc_id", "text_hash", "spans", "items").distinct()
-        hits = own if hits is None else hits.unionByName(own)
+    for own in chain([first, block], blocks):
+        part = table(_scan(docs, own, n).where("size(spans) > 0").select("doc_id", "text_hash", "spans", "items").distinct(), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    whole = _scan(docs, [], n)
     hits = hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("__tm_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
-    back = parts[0].select("doc_id", "text_hash", "n_words").alias("l").join(hits.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_hash = r.text_hash"), "left")
+    back = whole.select("doc_id", "text_hash", "n_words").alias("l").join(hits.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_hash = r.text_hash"), "left")
     step = "case when size(acc) > 0 and s.start <= element_at(acc, -1).end then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))) else concat(acc, array(s)) end"
     joined = f"aggregate(array_sort(coalesce(__tm_spans, cast(array() as {SPANS}))), cast(array() as {SPANS}), (acc, s) -> {step})"
     return back.selectExpr("l.doc_id as doc_id", "l.text_hash as text_hash", "n_words", f"{joined} as spans", "coalesce(_items, cast(array() as array<string>)) as items")
@@ -185,9 +193,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, n: int = NG
             out["n_chars"] = [o if t is None else len(t) for o, t in zip(old, out["text"], strict=True)]
         return out
 
-    blocks = list(_blocks(benchmark, n, block_windows))
-    if len(blocks) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(blocks[0], n))
+    blocks = _blocks(benchmark, n, block_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(first, n))
 
         def one_pass(piece: pa.RecordBatch) -> dict:
             windows, keep, new = shared.value, [], piece.column("text").to_pylist()
@@ -200,7 +209,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, n: int = NG
 
         return map_pieces(docs, one_pass, schema)
 
-    hits = scan(docs, benchmark, n, block_windows).where("size(items) > 0")
+    hits = _scan_blocks(docs, chain([first, second], blocks), n).where("size(spans) > 0")
     hits = hits.select(F.col("doc_id").alias("__tm_hit"), F.col("text_hash").alias("__tm_hit_text"), F.col("spans").alias("__tm_spans"), F.size("items").alias("__tm_many")).dropDuplicates(["__tm_hit", "__tm_hit_text"])
     joined = docs.join(hits, F.expr("doc_id <=> __tm_hit and xxhash64(text) = __tm_hit_text"), "left").select(*names, "__tm_spans", F.expr("coalesce(__tm_many, 0)").alias("__tm_many"))
 
@@ -249,14 +258,14 @@ WITH d AS (
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 bi AS (SELECT item, w, least(8, len(w)) AS m, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM bi),
 lens AS (SELECT DISTINCT m FROM win),
 di AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lens WHERE len(w) >= m),
 hit AS (SELECT rid, i, di.m, item FROM (SELECT rid, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM di) di JOIN win ON win.m = di.m AND win.g = di.g),
 cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM hit) GROUP BY rid),
-who AS (SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hit GROUP BY rid)
+who AS (SELECT rid, count(DISTINCT item) AS n_items, coalesce(array_to_string(list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)), ','), '') AS items FROM hit GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_items, 0) >= 2 AS contaminated

@@ -5,7 +5,7 @@ access keys, hex strings) and long mixed tokens.  A candidate is known by a
 hash of its value.  Hashes are then counted over the corpus by distinct
 documents (the repositories) and distinct sources (the owners), pre-aggregated
 on the map side.  Values that several owners hold are widely copied examples;
-values of one owner in few documents look live.  Base spans always stay;
+values of one owner look live, in however many of its documents.  Base spans always stay;
 mixed tokens become spans, of kind ``owned``, where they look live.
 
 Defined cases: a null text is empty and has no spans; an owner that is null
@@ -37,8 +37,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 MIN_TOKEN = 20
 TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 
-#: At most this many owners and documents hold a value that looks live.
-LIVE_OWNERS, LIVE_DOCS = 1, 8
+#: At most this many owners hold a value that looks live.
+LIVE_OWNERS = 1
 
 _HEX_MAP = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _HEX_RUN = b"h" * MIN_HEX
@@ -122,7 +122,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", live_owners: int = LIVE_OWNERS, live_docs: int = LIVE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base, spans, n_live, n_example.
 
     spans are the base spans and the owned ones, by start and kind; n_live and
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, owner: str = "source", live_owners: int = LIVE_OWNERS,
     found = table(candidates(docs, owner).withColumn("row", F.monotonically_increasing_id()), "secrets")
     counts = ownership(found)
     each = found.where("size(cands) > 0").select("row", F.explode("cands").alias("c")).select("row", "c.*")
-    live = (F.col("n_owners") <= live_owners) & (F.col("n_docs") <= live_docs)
+    live = F.col("n_owners") <= live_owners
     judged = each.join(counts, "value").withColumn("live", live)
     shown = F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end"))
     by_row = judged.groupBy("row").agg(

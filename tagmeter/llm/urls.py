@@ -1,18 +1,21 @@
 """Operator 8, URL filters: prefix rules, then a Bloom filter cascade of hosts.
 
-The cascade answers membership of a listed set exactly over the corpus's
-complete key universe: level 0 encodes the listed keys, level 1 the universe's
-keys that level 0 passes by mistake, level 2 the listed keys that level 1
-passes by mistake, and so on until a level passes none.  A key's verdict is
-the parity of the first level that stops it.  The levels are built by grouped
-bit_or over distinct keys, so only bit words reach the driver, and they go out
-as a broadcast of checked size; a list whose first level would be larger than
-``MAX_BITS`` is joined by key instead, with the same verdicts.
-
-Keys are hosts; the list is compiled from the universe by words in their labels.
+The list is a table of hosts; an entry stands for its host and all subdomains.
+Without one, a list is compiled from the corpus by words in host labels, as
+category lists are.  The cascade answers membership exactly over the corpus's
+complete key universe, its distinct hosts: level 0 encodes the listed keys,
+level 1 the universe's keys that level 0 passes by mistake, level 2 the listed
+keys that level 1 passes by mistake, and so on until a level passes none.  A
+key's verdict is the parity of the first level that stops it.
+
+Levels are built by grouped bit_or over distinct keys, so only bit words reach
+the driver, and they go out as a broadcast.  Keys are dealt to shards by hash,
+as many as keep each level below ``MAX_BITS``; pages pass through one shard's
+cascade after the other, so no join is needed at any size of the list.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits
-no rule and isn't listed; repeated rows get equal verdicts; an empty table
+no rule and isn't listed; repeated or null entries of a list count once or not
+at all; repeated rows get equal verdicts; an empty table
 gives an empty result.
 """
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, table
+from .common import map_pieces, scratch, table
 
 #: Rules as (verdict, host, path).
 RULES = (
@@ -58,9 +61,20 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def is_listed(words=LISTED_WORDS) -> Column:
-    """Whether a host's labels hold a listed word: how the list is compiled."""
-    return F.col("key").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)")
+def compiled_list(universe: DataFrame, words=LISTED_WORDS) -> DataFrame:
+    """(host): the hosts of *universe* (key) whose labels hold a listed word."""
+    return universe.where(F.col("key").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)")).select(F.col("key").alias("host"))
+
+
+def with_listed(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """*universe* (key) with ``listed``: whether the key or a parent of it is a
+    host of *listed*.  Only distinct keys and their parents are shuffled."""
+    hosts = listed.select(F.lower("host").alias("__host")).where("__host is not null and __host <> ''").distinct()
+    labels = F.split("key", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = universe.select("key", F.explode(parents).alias("__parent")).join(hosts, F.col("__parent") == F.col("__host"), "left_semi")
+    met = met.select(F.col("key").alias("__met")).distinct()
+    return universe.join(met, F.col("key") == F.col("__met"), "left").select("key", F.col("__met").isNotNull().alias("listed"))
 
 
 class Cascade:
@@ -95,9 +109,19 @@ class Cascade:
         return out
 
 
-def build(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> Cascade | None:
-    """A cascade for *universe* (distinct ``key``, boolean ``listed``); None if
-    a level would be larger than *max_bits*."""
+def shard_of(keys: list[str], shards: int) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(k.encode(), seed=1 << 20) % shards for k in keys], np.int64)
+
+
+#: Bit words that travel to the driver in one row.
+WORDS = 1 << 14
+
+
+def build(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, shard: int = 0, shards: int = 1) -> Cascade:
+    """A cascade for the keys of one shard of *universe* (distinct ``key``,
+    boolean ``listed``)."""
     levels: list[tuple[np.ndarray, int]] = []
     spark = universe.sparkSession
     while True:
@@ -108,6 +132,8 @@ def build(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int =
             for batch in batches:
                 keys, listed = batch.column("key").to_pylist(), np.array(batch.column("listed").to_pylist(), bool)
                 own = np.flatnonzero(listed == (level % 2 == 0))
+                if shards > 1 and len(own):
+                    own = own[shard_of([keys[i] for i in own.tolist()], shards) == shard]
                 for below in range(level):
                     if len(own):
                         own = own[cascade.value.passes([keys[i] for i in own.tolist()], below)]
@@ -118,8 +144,6 @@ def build(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int =
         if level and not many:
             return Cascade(levels)
         m = max(64, many * bits_per_key)
-        if m > max_bits:
-            return None
 
         def words(batches, level=level, m=m):
             for batch in batches:
@@ -129,33 +153,43 @@ def build(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int =
                 np.bitwise_or.at(bits, which, np.int64(1) << (at & 31))
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits, pa.int64())], ["word", "bits"])
 
+        def packed(rows: pa.Table) -> pa.Table:
+            block, out = rows.column("block")[0].as_py(), np.zeros(WORDS, np.uint32)
+            out[rows.column("word").to_numpy() - block * WORDS] = rows.column("bits").to_numpy().astype(np.uint32)
+            return pa.table({"block": pa.array([block], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
         got = todo.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        bits = np.zeros((m + 31) // 32, np.uint32)
+        got = got.withColumn("block", F.shiftright("word", 14)).groupBy("block").applyInArrow(packed, "block long, bits binary")
+        bits = np.zeros(-(-((m + 31) // 32) // WORDS) * WORDS, np.uint32)
         for row in got.toLocalIterator():
-            bits[row.word] = row.bits
+            bits[row.block * WORDS : (row.block + 1) * WORDS] = np.frombuffer(row.bits, np.uint32)
         levels.append((bits.view(np.uint8), m))
         if not many:
             return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules=RULES, words=LISTED_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed."""
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, words=LISTED_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed.  *listed*: hosts; without it
+    a list is compiled by *words*."""
     parts = with_parts(pages)
-    universe = table(parts.select(F.col("host").alias("key")).distinct().withColumn("listed", is_listed(words)), "hosts")
-    cascade = build(universe, max_bits=max_bits)
-    if cascade is None:
-        seen = parts.join(universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_listed")), F.col("host") == F.col("_key"), "left")
-        seen = seen.select("page_id", "host", "path", F.coalesce("_listed", F.lit(False)).alias("listed"))
-    else:
+    with scratch():
+        hosts = table(parts.select(F.col("host").alias("key")).distinct(), "hosts")
+        universe = table(with_listed(hosts, compiled_list(hosts, words) if listed is None else listed), "universe")
+        shards = max(1, -(-universe.where("listed").count() * BITS_PER_KEY // max_bits))
+        cascades = [build(universe, shard=k, shards=shards) for k in range(shards)]
+    seen = parts.select("page_id", "host", "path", F.lit(False).alias("listed"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    for k, cascade in enumerate(cascades):
         shared = pages.sparkSession.sparkContext.broadcast(cascade)
 
-        def make(piece: pa.RecordBatch) -> dict:
+        def make(piece: pa.RecordBatch, k=k, shared=shared) -> dict:
             hosts = piece.column("host").dictionary_encode()
-            known = shared.value.members(hosts.dictionary.to_pylist())
-            return {c: piece.column(c) for c in ("page_id", "host", "path")} | {"listed": pa.array(known[hosts.indices.to_numpy()])}
+            keys = hosts.dictionary.to_pylist()
+            known = shared.value.members(keys) & (shard_of(keys, shards) == k if shards > 1 else True)
+            had = piece.column("listed").to_numpy(zero_copy_only=False)
+            return {c: piece.column(c) for c in ("page_id", "host", "path")} | {"listed": pa.array(had | known[hosts.indices.to_numpy()])}
 
-        kind = pages.schema["page_id"].dataType.simpleString()
-        seen = map_pieces(parts.select("page_id", "host", "path"), make, f"page_id {kind}, host string, path string, listed boolean", "host")
+        seen = map_pieces(seen, make, f"page_id {kind}, host string, path string, listed boolean", "host")
     rule, verdict = rule_of(rules)
     return seen.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
@@ -173,7 +207,8 @@ def _sql() -> str:
 WITH r AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
-l AS (SELECT *, regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)') AS listed FROM p)
+c AS (SELECT DISTINCT host AS entry FROM p WHERE host <> '' AND regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)')),
+l AS (SELECT *, EXISTS (SELECT 1 FROM c WHERE host = entry OR ends_with(host, '.' || entry)) AS listed FROM p)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM l"""
 
 

@@ -94,14 +94,14 @@ def decontaminate(docs: list[tuple], items: list[tuple], n: int = NGRAM) -> list
     for item, text in items:
         w = words_of((text or "").encode())
         m = min(n, len(w))
-        for i in range(len(w) - m + 1) if w and item is not None else ():
-            windows.setdefault(tuple(w[i : i + m]), set()).add(str(item))
+        for i in range(len(w) - m + 1) if w else ():
+            windows.setdefault(tuple(w[i : i + m]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         w, hit, who = words_of((text or "").encode()), set(), set()
         for m in {len(x) for x in windows}:
             for i in range(len(w) - m + 1):
-                if got := windows.get(tuple(w[i : i + m])):
+                if (got := windows.get(tuple(w[i : i + m]))) is not None:
                     hit |= set(range(i, i + m))
                     who |= got
         out.append((doc, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), len(who) >= 2))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -245,6 +246,31 @@ def test_secrets(spark, docs, odd):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secret_owners_by_brute_force(spark, docs):
+    """Owned spans and the counts of live and copied candidates, with values
+    that repeat in a document, in documents of one owner and across owners."""
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choice("abcXYZ0189_") for _ in range(22)) + "aA1"
+    pool = [token() for _ in range(12)] + [f"password={token()}" for _ in range(6)] + ["AKIA" + "Q7" * 9, "0123456789abcdef" * 2]
+    rows = [(i, " é ".join(rng.choice(pool[: 12 if i % 3 else 20]) for _ in range(rng.randrange(6))), "en", rng.choice(["a", "b", None]) if i % 2 else "c") for i in range(80)]
+    want, owners = {}, {}
+    for doc, text, _, owner in rows:
+        base = brute.secret_spans(text)
+        found = [(a, k, b, re.sub(r"^.*=", "", text[a:b]) if k == "assign" else text[a:b]) for a, k, b in base]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text, re.ASCII):
+            t = m[0]
+            if re.search("[0-9]", t) and t != t.lower() and t != t.upper() and not any(x < m.end() and m.start() < y for x, _, y in base):
+                found.append((m.start(), "owned", m.end(), t))
+        want[doc] = found
+        for x in found:
+            owners.setdefault(x[3], set()).add(owner)
+    for r in secrets.scan(docs(*rows)).collect():
+        live = [x for x in want[r.doc_id] if len(owners[x[3]]) == 1]
+        shown = sorted(x[:3] for x in want[r.doc_id] if x[1] != "owned" or x in live)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, k, b in shown)
+        assert (r.n_live, r.n_example) == (len(live), len(want[r.doc_id]) - len(live))
+
+
 def test_secrets_by_brute_force():
     rng = random.Random(5)
     parts = ["password", "PASSWD", "api_key", "apikey", "token", "ſecret", "=", ":", " ", '"', "'", "abc", "abcdef1", "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "é", "\n", "="]
@@ -371,6 +397,21 @@ def test_urls(spark):
         got = urls.judge(clashing(df), max_bits=bits).orderBy("page_id").collect()
         assert [(r.host, r.path, r.rule, r.verdict) for r in got] == want
     assert urls.judge(df.limit(0)).count() == 0
+    assert sorted(r.verdict for r in urls.judge(df.unionByName(df)).collect()) == sorted([w[3] for w in want] * 2)
+    long = spark.createDataFrame([(1, "http://h.example/" + "a/" * 1_000_000), (2, "http://" + "h." * 500 + "net")], "page_id int, url string")
+    assert [len(r.path) for r in urls.judge(long).orderBy("page_id").collect()] == [2_000_001, 0]
+
+
+@pytest.mark.parametrize("bits", [urls.MAX_BITS, 4000])
+def test_a_list_of_hosts(spark, bits):
+    """An entry holds for its host and all subdomains, in one shard or many."""
+    names = [f"{s}h{i}.example{i % 3}.net" for i in range(1500) for s in ("", "www.")]
+    df = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(names)], "page_id int, url string")
+    entries = [f"h{i}.example{i % 3}.net" for i in range(0, 1500, 4)] + ["www.H1.example1.net", "unseen.net", "", None, "h0.example0.net", "xample2.net"]
+    listed = spark.createDataFrame([(e,) for e in entries], "host string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, listed, max_bits=bits).collect()}
+    low = {e.lower() for e in entries if e}
+    assert got == {i: "block" if any(h == e or h.endswith("." + e) for e in low if len(e) > 3) else "allow" for i, h in enumerate(names)}
 
 
 def test_cascade_is_exact(spark):
