@@ -188,14 +188,27 @@ def test_mixing_positions(spark, docs):
     """A source that falls over time comes early, one that rises late, and
     positions follow the inverted integral of the schedule."""
     df = docs(*[(i, "w " * 10, "en", s) for i, s in enumerate(["a", "b", "c"] * 300)])
-    seq = mixing.sequence(mixing.plan(df, keep=("source",)))
-    at = {}
-    for r in seq.collect():
-        at.setdefault(r.source, []).append(r.position)
+    planned = mixing.plan(df, keep=("source",))
+    at, when, total = {}, {}, 0
+    for r in mixing.sequence(planned).collect():
+        at.setdefault(r.source, []).append(r.time)
+        when.setdefault(r.source, []).append((r.time, r.words))
+        # positions count the words of the stream
+        assert r.position == pytest.approx(total + r.words / 2, abs=60)
+        total += r.words
     assert at["a"] == sorted(at["a"]) and np.mean(at["a"]) < np.mean(at["b"]) < np.mean(at["c"])
     half = {s: np.mean(np.array(p) < 0.5) for s, p in at.items()}
     assert half["a"] == pytest.approx(0.625, abs=0.01) and half["b"] == pytest.approx(0.5, abs=0.01) and half["c"] == pytest.approx(0.375, abs=0.01)
     assert all(0 <= x <= 1 for p in at.values() for x in p)
+    # in each tenth of the time a source gives what its schedule integrates to
+    for i, s in enumerate("abc"):
+        knots, words = mixing.SCHEDULES[i], sum(w for _, w in when[s])
+        weight = lambda x, k=knots: np.interp(x, [t for t, _ in k], [f for _, f in k])
+        whole = np.mean(weight(np.arange(0.0005, 1, 0.001)))
+        for tenth in range(10):
+            want = words * np.mean(weight(np.arange(tenth / 10 + 0.0005, tenth / 10 + 0.1, 0.001))) / 10 / whole
+            got = sum(w for t, w in when[s] if tenth / 10 <= t < (tenth + 1) / 10)
+            assert got == pytest.approx(want, abs=25)
 
 
 def test_mixing_odd(odd):
