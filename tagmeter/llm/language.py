@@ -7,14 +7,18 @@ statistics are frozen after training, and a text's score under a language is
 its exact code length in bits: every byte of the whole text is coded under the
 longest context in the tree.  The shortest code names the language.
 
-For speed the trees of all languages share one set of contexts, so that a
-table gives each three-byte history its longest context, and a second table
-gives each (context, symbol) its cost in every language.  Both are numpy
-arrays; scoring is a gather and a sum.
-
-Training: the models are fitted on a bounded sample of labelled rows, about
-``TRAIN_BYTES`` of text for each language, drawn by a hash of the id.  The
-tables' size is bounded by ``MAX_CONTEXTS`` and the number of languages.
+The trees keep every context that training met.  All languages share one
+numbering of contexts and of strings of up to four bytes; a string that no
+training text has costs its context's escape and what the shorter context
+says.  Scoring is a few gathers and a sum.
+
+Training: the models are fitted on a bounded sample of labelled rows, by least
+hash of the id: for each language about ``TRAIN_BYTES`` of text, or less where
+many languages would make their cost table (languages by distinct strings by
+four bytes) larger than ``MODEL_BYTES``; one row at least, and no more of a row
+than the language's bound.  Index tables have at most ``DENSE`` entries each,
+larger ones are searched.  So the broadcast is bounded however many rows the
+corpus has.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a
 table without labelled rows predicts ``und`` throughout; rows whose lang is
@@ -36,10 +40,10 @@ from .common import map_pieces, texts
 
 #: Bound of the training text for each language, in expectation.
 TRAIN_BYTES = 1_000_000
-#: Bound of the contexts of three bytes.
-MAX_CONTEXTS = 6000
-#: A context of three bytes is kept if training met it this often.
-MIN_CONTEXT = 32
+#: Bound of the cost table, whose strings are no more than the training bytes.
+MODEL_BYTES = 256 << 20
+#: Entries up to which an index is a table.
+DENSE = 16 << 20
 FOLDS = 5
 
 HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
@@ -49,6 +53,34 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == 0
 
 
+class _Index:
+    """Numbers of codes, -1 for others."""
+
+    def __init__(self, codes: np.ndarray, space: int) -> None:
+        self.codes = codes  # sorted, distinct
+        self.table = None
+        if space <= DENSE:
+            self.table = np.full(space, -1, np.int32)
+            self.table[codes] = np.arange(len(codes), dtype=np.int32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[codes]
+        if not len(self.codes):
+            return np.full(len(codes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1).astype(np.int32)
+
+
+def _costs(context: np.ndarray, count: np.ndarray, lower: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By method C: the cost in bits of each string (of *context*, met *count*
+    times; *lower*: what the shorter context says), and each context's escape."""
+    whole = np.maximum(total + kinds, 1)
+    escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / whole), 0.0)
+    cost = np.where(count > 0, -np.log2(np.maximum(count, 1) / whole[context]), escape[context] + lower)
+    return cost, escape
+
+
 class Model:
     """Cost tables of all languages."""
 
@@ -57,46 +89,48 @@ class Model:
         if not self.langs:
             return
         # a text starts and ends with a space, so histories don't cross texts
-        runs = {k: np.frombuffer(b"   " + b"   ".join(v), np.uint8) for k, v in samples.items()}
+        runs = [np.frombuffer(b"   " + b"   ".join(samples[k]), np.uint8) for k in self.langs]
         seen = np.zeros(256, np.int64)
-        for r in runs.values():
+        for r in runs:
             seen += np.bincount(r, minlength=256)
         used = np.flatnonzero(seen)
-        self.symbols = len(used) + 1  # the last is any byte not met in training
-        self.of_byte = np.full(256, self.symbols - 1, np.int32)
+        self.symbols = a = len(used) + 1  # the last is any byte not met in training
+        self.of_byte = np.full(256, a - 1, np.int64)
         self.of_byte[used] = np.arange(len(used))
-        a = self.symbols
-        coded = {k: self.of_byte[r].astype(np.int64) for k, r in runs.items()}
-        triple = sum(np.bincount((s[:-3] * a + s[1:-2]) * a + s[2:-1], minlength=a**3) for s in coded.values())
-        kept = np.flatnonzero(triple >= MIN_CONTEXT)
-        if len(kept) > MAX_CONTEXTS:
-            kept = np.sort(kept[np.argsort(-triple[kept], kind="stable")[:MAX_CONTEXTS]])
-        third = np.full(a**3, -1, np.int64)
-        third[kept] = np.arange(len(kept))
-        # contexts: 3 symbols, then 2; one table row each
-        n3 = len(kept)
-        self.state = np.where(third >= 0, third, n3 + np.tile(np.arange(a * a), a)).astype(np.int32)
-        self.cost = np.empty((len(self.langs), (n3 + a * a) * a), np.float32)
-        for i, lang in enumerate(self.langs):
-            s = coded[lang]
-            p0, p1, p2, b = s[:-3], s[1:-2], s[2:-1], s[3:]
+        coded = [self.of_byte[r] for r in runs]
+        pairs, contexts = [], []
+        for s in coded:
+            pairs.append((s[1:-2] * a + s[2:-1]) * a + s[3:])
+            contexts.append((s[:-3] * a + s[1:-2]) * a + s[2:-1])
+        distinct = lambda many: np.unique(np.concatenate(many))
+        self.strings3, self.contexts3 = _Index(distinct(pairs), a**3), _Index(distinct(contexts), a**3)
+        strings = [self.contexts3(c).astype(np.int64) * a + s[3:] for c, s in zip(contexts, coded, strict=True)]
+        self.strings4 = _Index(distinct(strings), len(self.contexts3.codes) * a)
+        u3, u4, c3 = self.strings3.codes, self.strings4.codes, self.contexts3.codes
+        n = len(self.langs)
+        self.cost1, self.escape2 = np.empty((n, a * a), np.float32), np.empty((n, a * a), np.float32)
+        self.cost3, self.cost4 = np.empty((n, len(u3)), np.float32), np.empty((n, len(u4)), np.float32)
+        self.escape3 = np.zeros((n, len(c3) + 1), np.float32)  # the last for contexts not met
+        for i, s in enumerate(coded):
+            p2, b = s[2:-1], s[3:]
             # below the empty context all 256 bytes are alike
-            low = np.full((1, a), math.log2(256))
-            low = self._escape(np.bincount(b, minlength=a).reshape(1, a), low)
-            low = self._escape(np.bincount(p2 * a + b, minlength=a * a).reshape(a, a), np.repeat(low, a, 0))
-            two = self._escape(np.bincount((p1 * a + p2) * a + b, minlength=a**3).reshape(a * a, a), np.tile(low, (a, 1)))
-            at = third[(p0 * a + p1) * a + p2]
-            count = np.bincount(at[at >= 0] * a + b[at >= 0], minlength=n3 * a).reshape(n3, a)
-            three = self._escape(count, two[kept % (a * a)])
-            self.cost[i] = np.concatenate([three, two]).ravel()
-
-    @staticmethod
-    def _escape(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Costs in bits of each symbol in each context, by method C."""
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        out = np.where(count > 0, -np.log2(np.maximum(count, 1) / whole), -np.log2(np.maximum(kinds, 1) / whole) + lower)
-        return np.where(total == 0, lower, out)
+            zero = np.bincount(b, minlength=a)
+            none = np.zeros(a, np.int64)
+            low, _ = _costs(none, zero, np.full(a, 8.0), zero.sum(keepdims=True), (zero > 0).sum(keepdims=True))
+            one = np.bincount(p2 * a + b, minlength=a * a)
+            square = one.reshape(a, a)
+            self.cost1[i], _ = _costs(np.repeat(np.arange(a), a), one, np.tile(low, a), square.sum(1), (square > 0).sum(1))
+            count = np.bincount(self.strings3(pairs[i]), minlength=len(u3))
+            two = u3 // a
+            kinds = np.bincount(two[count > 0], minlength=a * a)
+            self.cost3[i], self.escape2[i] = _costs(two, count, self.cost1[i][u3 % (a * a)], np.bincount(two, weights=count, minlength=a * a), kinds)
+            count = np.bincount(self.strings4(strings[i]), minlength=len(u4))
+            three, short = u4 // a, c3[u4 // a] % (a * a) * a + u4 % a
+            kinds = np.bincount(three[count > 0], minlength=len(c3))
+            # a string of four has its last three in the union
+            self.cost4[i], self.escape3[i, :-1] = _costs(three, count, self.cost3[i][self.strings3(short)], np.bincount(three, weights=count, minlength=len(c3)), kinds)
+        rate = [self.bits(v)[:, i].sum() / max(1, sum(map(len, v))) for i, v in enumerate(samples[k] for k in self.langs)]
+        self.usual = np.array(rate)  # bits a byte of each language's own sample
 
     def bits(self, many: list[bytes]) -> np.ndarray:
         """Code lengths, a row for each text and a column for each language."""
@@ -112,27 +146,43 @@ class Model:
             s = self.of_byte[np.frombuffer(raw, np.uint8)]
             size = np.array([len(t) + 3 for t in many[start:end]])
             if len(s) > 3:
-                history = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-                which = self.state[history] * a + s[3:]
                 begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+                two = s[1:-2] * a + s[2:-1]
+                context = self.contexts3(s[:-3] * a * a + two)
+                four = np.where(context >= 0, self.strings4(np.maximum(context, 0).astype(np.int64) * a + s[3:]), -1)
+                rare = np.flatnonzero(four < 0)
+                escaped, pair, symbol = context[rare], two[rare], s[3:][rare]
+                three = self.strings3(pair * a + symbol)
+                rarer = np.flatnonzero(three < 0)
                 for i in range(len(self.langs)):
+                    cost = self.cost4[i][four]
+                    short = self.cost3[i][three]
+                    short[rarer] = self.escape2[i][pair[rarer]] + self.cost1[i][pair[rarer] % a * a + symbol[rarer]]
+                    cost[rare] = self.escape3[i][escaped] + short
                     # total[j]: bits of the symbols before j, from the fourth on
-                    total = np.concatenate([np.zeros(4), np.cumsum(self.cost[i][which], dtype=np.float64)])
+                    total = np.concatenate([np.zeros(4), np.cumsum(cost, dtype=np.float64)])
                     out[start:end, i] = total[begin + size] - total[begin + 3]
             start = end
         return out
 
     def predict(self, many: list[bytes]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(many), [0.0] * len(many)
+        names, scores, _ = self.judge(many)
+        return names, scores
+
+    def judge(self, many: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+        """Names, scores, and bits a byte as a multiple of what the language's
+        own sample takes."""
+        names, scores, excess = ["und"] * len(many), [0.0] * len(many), [0.0] * len(many)
         at = [i for i, t in enumerate(many) if has_letter(t)]
         if not at or not self.langs:
-            return names, scores
+            return names, scores, excess
         got = self.bits([many[i] for i in at])
         best = got.argmin(1)
         share = 1 / np.exp2(np.minimum(got.min(1, keepdims=True) - got, 0)).sum(1)
         for j, i in enumerate(at):
             names[i], scores[i] = self.langs[best[j]], float(share[j])
-        return names, scores
+            excess[i] = float(got[j, best[j]] / len(many[i]) / self.usual[best[j]])
+        return names, scores, excess
 
 
 _ASCII_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
@@ -144,17 +194,19 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and any(map(str.isalpha, text.decode()))
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES, model_bytes: int = MODEL_BYTES) -> Model:
     """Fit on rows that aren't held out and have a lang."""
-    labelled = docs.where(f"not ({HELD_OUT}) and lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_bytes / max(n, 1)))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.lit(1 << 30)) < share * (1 << 30)
+    labelled = docs.where(f"not ({HELD_OUT}) and lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.lit(1 << 30)).alias("__h"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min("__h").alias("least")).collect()
+    if not sizes:
+        return Model({})
+    bound = max(1, min(train_bytes, model_bytes // (4 * len(sizes) ** 2)))
+    share = [(r.lang, min(1.0, bound / max(r["n"], 1)) * (1 << 30), r.least) for r in sizes]
+    limits = docs.sparkSession.createDataFrame([(k, max(float(x), float(least + 1))) for k, x, least in share], "__lang string, __most double")
+    drawn = labelled.join(F.broadcast(limits), labelled["lang"].cast("string") == F.col("__lang")).where("__h < __most")
     samples: dict[str, list[bytes]] = {}
-    for row in labelled.where(drawn).select("lang", "text").collect():
-        samples.setdefault(row.lang, []).append(row.text.encode())
+    for row in drawn.select("lang", F.substring(F.encode("text", "utf-8"), 1, bound).alias("t")).collect():
+        samples.setdefault(row.lang, []).append(bytes(row.t))
     return Model({k: sorted(v) for k, v in samples.items()})
 
 
@@ -171,19 +223,22 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     return map_pieces(docs.select(*dict.fromkeys([*names, "text"])), make, f"{schema}, lang_pred string, score double")
 
 
-#: A document is rejected below this share of probability.
-MIN_SCORE = 0.5
+#: A document is rejected below this share of probability, or where it has
+#: MIN_BYTES and takes MAX_EXCESS times the bits that its language usually does.
+MIN_SCORE, MIN_BYTES, MAX_EXCESS = 0.5, 200, 4.0
 
 
-def keep_known(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """*docs* without those that are ``und`` or score below *min_score*."""
+def keep_known(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE, max_excess: float = MAX_EXCESS) -> DataFrame:
+    """*docs* without those that are ``und``, score below *min_score*, or whose
+    code is so long that they are in no language the model knows."""
     model = model or train(docs)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(piece: pa.RecordBatch) -> dict:
-        lang, score = shared.value.predict(texts(piece))
-        mask = pa.array([x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_())
+        many = texts(piece)
+        got = zip(many, *shared.value.judge(many), strict=True)
+        mask = pa.array([x != "und" and s >= min_score and (e <= max_excess or len(t) < MIN_BYTES) for t, x, s, e in got], pa.bool_())
         return {c: piece.column(c).filter(mask) for c in names}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -119,18 +119,14 @@ def secret_spans(text: str | None) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def code_length(model_samples: list[bytes], text: bytes, contexts: set[bytes], order: int = 3) -> float:
-    """Code length by dictionaries, one byte at a time.
-
-    *contexts*: those of three bytes that the tree keeps."""
+def code_length(model_samples: list[bytes], text: bytes, order: int = 3) -> float:
+    """Code length by dictionaries, one byte at a time."""
     counts: dict[bytes, dict[int, int]] = {}
     run = b"   " + b"   ".join(model_samples)
     for i in range(3, len(run)):
         for k in range(order + 1):
-            c = run[i - k : i]
-            if k < 3 or c in contexts:
-                counts.setdefault(c, {}).setdefault(run[i], 0)
-                counts[c][run[i]] += 1
+            seen = counts.setdefault(run[i - k : i], {})
+            seen[run[i]] = seen.get(run[i], 0) + 1
     total, padded = 0.0, b"   " + text
     for i in range(3, len(padded)):
         bits, b = 0.0, padded[i]

@@ -340,17 +340,29 @@ def test_suffix_repeated_rows(spark, monkeypatch):
 
 
 # ---- 6 ----
-def test_language_codes_are_exact():
+@pytest.mark.parametrize("dense", [language.DENSE, 0])
+def test_language_codes_are_exact(monkeypatch, dense):
+    monkeypatch.setattr(language, "DENSE", dense)
     samples = {"aa": [b"abracadabra abra " * 30, b"banana"], "bb": [b"mississippi miss " * 30, b"xyz"]}
     m = language.Model(samples)
-    three = {}
-    for v in samples.values():
-        run = b"   " + b"   ".join(v)
-        for i in range(3, len(run)):
-            three[run[i - 3 : i]] = three.get(run[i - 3 : i], 0) + 1
-    kept = {c for c, n in three.items() if n >= language.MIN_CONTEXT}
-    for text in (b"abra", b"miss banana \xff!", b"", b"z" * 50):
-        assert m.bits([b"pad", text])[1] == pytest.approx([brute.code_length(samples[k], text, kept) for k in m.langs], rel=1e-5)
+    for text in (b"abra", b"miss banana \xff!", b"", b"z" * 50, b"aa bb cc mississippi abra"):
+        assert m.bits([b"pad", text])[1] == pytest.approx([brute.code_length(samples[k], text) for k in m.langs], rel=1e-5)
+
+
+def test_language_ties_and_long_rows(docs):
+    """Ties go to the first language; a language whose one text is far beyond
+    the bound is learned from its beginning."""
+    df = docs(*[(i, "same words here", lang) for i, lang in ((0, "zz"), (1, "aa"), (2, "zz"), (3, "aa"), (6, "zz"), (7, "aa")) if not language.held_out(i)], (400, "unique letters " * 40_000, "long"), (401, None, "none"))
+    assert not language.held_out(400)
+    m = language.train(df, train_bytes=1000)
+    assert m.langs == ["aa", "long", "zz"] and m.predict([b"same words"])[0] == ["aa"] and m.predict([b"unique letters"])[0] == ["long"]
+
+
+def test_unknown_languages_go(spark, docs):
+    m = language.train(read(spark, "documents", "/root/testdata/sf0.1"))
+    finnish = "Olipa kerran kaukaisessa metsässä pieni mökki, jossa asui vanha nainen kissansa kanssa ja keitti joka aamu puuroa. " * 3
+    df = docs((1, finnish), (2, "short words"), (3, "xq zvw kjq " * 40))
+    assert [r.doc_id for r in language.keep_known(df, m).collect()] == [2]
 
 
 def test_language(spark, docs, odd):
