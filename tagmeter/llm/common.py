@@ -79,6 +79,14 @@ class scratch:
                 _delete(spark, path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that nothing reads any more; other frames stay."""
+    path = getattr(df, "kept_at", None)
+    for entry in [x for x in _made if x[1] == path]:
+        _made.remove(entry)
+        _delete(*entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
