@@ -9,12 +9,10 @@ them in training order with size, target, taken and position.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tagmeter.llm import decontaminate, jaccard, language, lines, mixing
-from tagmeter.llm.common import shared_dir
+from tagmeter.llm.common import drop, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that nearly repeat an earlier one."""
+    """Documents without lines that nearly repeat an earlier one; what is left
+    of a torn copy goes."""
     return lines.dedup(docs)
 
 
@@ -54,11 +53,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  A stage's folder goes once the next one is
+    written, the last one's when the interpreter ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        with scratch() as s:
+            made = s.keep(table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        drop(docs)
+        docs = made
     return docs
 
 
