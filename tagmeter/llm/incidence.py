@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import mix64, pieces
 
 #: Keys of a key block, about.
-BLOCK_KEYS = 4_000_000
+BLOCK_KEYS = 2_000_000
 
 _ANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A count's highest bit says that the piece leads.
