@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker tokenises at a time.  It bounds the
 #: worker's memory; one longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Rows of a piece at most.
 PIECE_ROWS = 20_000
 
@@ -42,9 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def table(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
-    """Write *df* to the shared folder and read it back.  *packed*: its bytes
-    are blobs that no dictionary would shorten.
+_PACKED = {
+    "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4",
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4",
+}
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 8):
+    """While it lasts, Python workers get few rows at a time: a batch of rows
+    with blobs would else be as large as an input split."""
+    told = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, told)
+
+
+def table(df: DataFrame, name: str, packed: bool = False, blobs: bool = False) -> DataFrame:
+    """Write *df* to the shared folder and read it back.  *packed*: its rows
+    are blobs, which no dictionary would shorten and few of which make a page.
+    *blobs*: it is made from such rows.
 
     It cuts the lineage: losing an executor later costs a read, not a
     recomputation, and row positions become stable.  The folders are removed
@@ -53,8 +75,8 @@ def table(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    writer = df.write.option("parquet.enable.dictionary", "false") if packed else df.write
-    writer.parquet(path)
+    with small_batches(spark) if blobs else contextlib.nullcontext():
+        (df.write.options(**_PACKED) if packed else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

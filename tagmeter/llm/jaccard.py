@@ -191,10 +191,10 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     with scratch() as s:
         pieces = table(pieces_of(docs, n), "pieces", packed=True)
-        rows = s.keep(table(classes(pieces), "classes"))
+        rows = s.keep(table(classes(pieces), "classes", blobs=True))
         total = pieces.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
         parts = key_blocks(spark, total * REGION // 8)
-        buckets = table(shared_keys(pieces.select("ids", "sizes", "grams"), _block(percent), _prefixes(percent, parts), PACKED, parts, int(_TOP), distinct=True, cut=row_pieces), "prefixes")
+        buckets = table(shared_keys(pieces.select("ids", "sizes", "grams"), _block(percent), _prefixes(percent, parts), PACKED, parts, int(_TOP), distinct=True, cut=row_pieces), "prefixes", blobs=True)
         found = link(buckets, parts, asked_sets(buckets, pieces, ["sizes", "grams"], _stored), percent, sized=shared_at_least(percent))
         named = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("own"))
         if found is None:

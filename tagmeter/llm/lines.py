@@ -272,7 +272,7 @@ def judged(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         rows = s.keep(table(rows, "rows"))
         many = pieces.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 16
         parts = key_blocks(spark, many * (BANDS + 1))
-        buckets = table(shared_keys(pieces.select("ids", "sizes", "distinct"), _rows, _candidates(parts), PACKED, parts, distinct=True, cut=row_pieces), "bands")
+        buckets = table(shared_keys(pieces.select("ids", "sizes", "distinct"), _rows, _candidates(parts), PACKED, parts, distinct=True, cut=row_pieces), "bands", blobs=True)
         found = link(buckets, parts, asked_sets(buckets, pieces, ["distinct"], _lines), percent, shingles_of)
         placed = occurrences(pieces, buckets)
         if found is None:
@@ -280,7 +280,7 @@ def judged(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         else:
             found = small(found.select(F.col("id").alias("__id"), "component"), "linked")
             placed = placed.join(found, placed["id"] == F.col("__id"), "left").withColumn("g", F.coalesce("component", "id"))
-        placed = table(placed.select("g", F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line"), "placed")
+        placed = table(placed.select("g", F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line"), "placed", blobs=True)
         at = F.struct("none", "doc_id", "text_hash", "line")
         first = placed.groupBy("g").agg(F.min(at).alias("first"), F.count("*").alias("many")).where("many > 1")
         again = placed.join(small(first.select("g", "first"), "firsts"), "g")

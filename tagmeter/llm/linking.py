@@ -441,7 +441,7 @@ def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand:
     block = F.when(F.col("units").isNull(), F.pmod(F.xxhash64("lead"), F.lit(max(1, total // BLOCK)))).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("id"), F.ceil(F.col("units") / BLOCK))))
     placed = table(pairs.join(large, "lead", "left").select("id", "lead", "n", block.alias("block")), "placed")
     members = placed.select("id", "lead", "block").unionByName(placed.select(F.col("lead").alias("id"), "lead", "block").distinct())
-    sets = table(sets, "sets", packed=True)
+    sets = table(sets, "sets", packed=True, blobs=True)
     rows = members.join(sets, "id").select("block", "lead", "id", "set")
     edges = table(rows.groupBy("block").applyInArrow(_within(percent, expand), "a binary, b binary"), "links")
     names, left = _contract(edges)

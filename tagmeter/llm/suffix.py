@@ -22,8 +22,10 @@ Of the documents that share a window, one leads (that of the first piece by
 name, and in it the first place); the words of windows that it doesn't lead
 are what deduplication removes.
 
-A piece sends equal suffixes with equal surroundings once, so a passage that a
-third of all rows have costs a record for each piece and surrounding.
+A piece sends equal suffixes with equal surroundings once.  A prefix that more
+than ``HOT`` rows have would still fill a block with surroundings, so its
+windows are counted one by one, each known by 128 bits and sent once by a
+piece; what both ways find is merged.
 
 Defined cases: words are split at ASCII white space and compared in lower case
 (A-Z); a null text or one of fewer than LENGTH words has no spans; a passage
@@ -43,13 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import map_pieces, pieces, scratch, table, texts, window_hashes, word_hashes
+from .common import map_pieces, mix64, pieces, scratch, table, texts, window_hashes, word_hashes
 from .incidence import Rows, Shared, key_blocks, shared_keys
 
 #: Words of a passage; words of a suffix's sorted prefix.
 LENGTH, GRAM = 50, 25
-#: Retained suffixes of a block, about.
-BLOCK_SUFFIXES = 50_000
+#: Retained suffixes of a block, about; rows beyond which a prefix is hot.
+BLOCK_SUFFIXES, HOT = 50_000, 512
+_HOT = 1 << 30
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:
@@ -86,14 +89,50 @@ def _suffixes(piece: pa.RecordBatch) -> Rows | None:
 
 
 def _marks(got: Shared) -> dict:
-    """The retained places of each document, from its start."""
+    """The retained places of each document, from its start; those of hot
+    prefixes with a bit set."""
     names, start = np.frombuffer(got.head[0], np.int64), np.frombuffer(got.head[1], np.int64)
-    place = np.unique(got.place).astype(np.int64)
+    place, first = np.unique(got.place, return_index=True)
+    place, hot = place.astype(np.int64), got.count[first] > HOT
     doc = np.searchsorted(start, place, "right") - 1
     cuts = np.flatnonzero(np.diff(doc)) + 1
-    parts = np.split(place, cuts) if len(place) else []
+    parts = np.split(np.where(hot, _HOT, 0) + place - start[doc], cuts) if len(place) else []
     own = doc[np.concatenate([[0], cuts])].tolist() if len(place) else []
-    return {"hash": [int(names[i]) for i in own], "marks": [(p - start[i]).astype(np.int32).tobytes() for i, p in zip(own, parts, strict=True)]}
+    return {"hash": [int(names[i]) for i in own], "marks": [p.astype(np.int32).tobytes() for p in parts]}
+
+
+def _hot_windows(piece: pa.RecordBatch) -> Rows | None:
+    """The windows around suffixes of hot prefixes, known by the hashes of the
+    grams at their ends, which cover them."""
+    each, start = _documents(piece)
+    marks = piece.column("marks").to_pylist()
+    keys, places, rows = [], [], []
+    for i, at, h in each:
+        mark = np.frombuffer(marks[i], np.int32)
+        hot = mark[mark >= _HOT] - _HOT
+        w = np.unique((hot[:, None] - np.arange(LENGTH - GRAM + 1)).ravel())
+        w = w[(w >= 0) & (w + LENGTH - GRAM < len(h))]
+        keys.append(mix64(h[w] + mix64(h[w + LENGTH - GRAM])))
+        places.append(w + at)
+        rows.append(np.full(len(w), i))
+    if not sum(map(len, keys)):
+        return None
+    head = pickle.dumps([piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")], protocol=4)
+    return Rows(np.concatenate(keys), np.concatenate(places), np.concatenate(rows), (head, start.tobytes()))
+
+
+def _hot_spans(got: Shared) -> dict:
+    (row, ids, hashes), start = pickle.loads(got.head[0]), np.frombuffer(got.head[1], np.int64)
+    order = np.lexsort((got.place, got.key))
+    key, place, lead = got.key[order], got.place[order].astype(np.int64), got.lead[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    again = ~(first & lead)
+    doc = np.searchsorted(start, place, "right") - 1
+    sizes = np.diff(start).tolist()
+    one = np.ones(len(doc), np.uint32)
+    spans, removed = _runs(doc, place - start[doc], one, sizes), _runs(doc, place - start[doc], again.astype(np.uint32), sizes)
+    found = sorted(spans)
+    return {"row": [row[i] for i in found], "doc_id": [ids[i] for i in found], "text_hash": [hashes[i] for i in found], "n_words": [sizes[i] for i in found], "spans": [spans[i] for i in found], "removed": [removed.get(i, []) for i in found]}
 
 
 _TYPES = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -115,6 +154,7 @@ def _contexts(piece: pa.RecordBatch, many: int) -> pa.RecordBatch | None:
         words = text.lower().split()
         sizes.append(len(words))
         at = np.frombuffer(marks[i], np.int32)
+        at = at[at < _HOT]
         h = window_hashes(word_hashes(words), GRAM)[at] if len(words) >= LENGTH else []
         for p, g in zip(at.tolist(), (h % np.uint64(many)).tolist() if len(h) else (), strict=False):
             key = b" ".join(words[p : p + LENGTH]), b" ".join(words[max(0, p - LENGTH + GRAM) : p][::-1])
@@ -131,9 +171,9 @@ def _contexts(piece: pa.RecordBatch, many: int) -> pa.RecordBatch | None:
         begin += len(words)
     if not known:
         return None
-    head = pickle.dumps((piece.column("doc_id").to_pylist(), piece.column("text_hash").to_pylist(), sizes), protocol=4)
+    head = pickle.dumps(([piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")], sizes), protocol=4)
     where = np.array([record, docs, places], np.int64).tobytes()
-    name = xxhash.xxh3_128_digest(np.array(piece.column("row").to_pylist(), np.int64).tobytes() + head)
+    name = xxhash.xxh3_128_digest(head)
     out = [(many + int.from_bytes(name[:4], "little") % many, name, 0, head, where, b"")]
     right, left = [k[0] for k in known], [k[1] for k in known]
     block = np.array(block)
@@ -235,13 +275,13 @@ def _runs(doc: np.ndarray, place: np.ndarray, bits: np.ndarray, sizes: list[int]
 
 
 def _spans(rows: pa.Table) -> dict:
-    out: dict = {c: [] for c in ("doc_id", "text_hash", "n_words", "spans", "removed")}
+    out: dict = {c: [] for c in ("row", "doc_id", "text_hash", "n_words", "spans", "removed")}
     kind, a, b, c = (rows.column(i).to_pylist() for i in range(1, 5))
     heads = [i for i, k in enumerate(kind) if k == 0]
     told = [i for i, k in enumerate(kind) if k == 1]
     if not heads or not told:
         return out
-    ids, hashes, sizes = pickle.loads(a[heads[0]])
+    (row, ids, hashes), sizes = pickle.loads(a[heads[0]])
     record, doc, place = np.frombuffer(b[heads[0]], np.int64).reshape(3, -1)
     number = np.concatenate([np.frombuffer(a[i], np.uint32) for i in told]).astype(np.int64)
     found, leads = np.zeros((2, int(record.max()) + 1), np.uint32)
@@ -255,7 +295,7 @@ def _spans(rows: pa.Table) -> dict:
     again = found[record] & ~np.where(first, leads[record], np.uint32(0))
     spans, removed = _runs(doc, place, found[record], sizes), _runs(doc, place, again, sizes)
     for i in sorted(spans):
-        for name, value in (("doc_id", ids[i]), ("text_hash", hashes[i]), ("n_words", sizes[i]), ("spans", spans[i]), ("removed", removed.get(i, []))):
+        for name, value in (("row", row[i]), ("doc_id", ids[i]), ("text_hash", hashes[i]), ("n_words", sizes[i]), ("spans", spans[i]), ("removed", removed.get(i, []))):
             out[name].append(value)
     return out
 
@@ -289,10 +329,22 @@ def repeated(docs: DataFrame) -> DataFrame:
             return pa.table([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, text_hash long, n_words long, spans {SPANS}, removed {SPANS}"
+        schema = f"row long, doc_id {kind}, text_hash long, n_words long, spans {SPANS}, removed {SPANS}"
         arrow = to_arrow_schema(_parse_datatype_string(schema))
         matched = left.mapInArrow(send, "block int, piece binary, kind int, a binary, b binary, c binary").groupBy("block").applyInArrow(_match, "piece binary, kind int, a binary, b binary, c binary")
-        return s.keep(table(matched.groupBy("piece").applyInArrow(back, schema), "passages"))
+        found = matched.groupBy("piece").applyInArrow(back, schema)
+        hot = shared_keys(left.select("row", "doc_id", "text", "text_hash", "marks"), _hot_windows, _hot_spans, schema, key_blocks(spark, retained * (LENGTH - GRAM + 1) // 2))
+        found = found.unionByName(hot).groupBy("row").agg(
+            *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words")), *(F.expr(_joined(c)).alias(c) for c in ("spans", "removed"))
+        ).drop("row")
+        return s.keep(table(found, "passages"))
+
+
+def _joined(column: str) -> str:
+    """SQL of the union of lists of spans."""
+    last = "element_at(acc, -1)"
+    step = f"case when size(acc) > 0 and s.start <= {last}.end then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, s.end)))) else concat(acc, array(s)) end"
+    return f"aggregate(array_sort(flatten(collect_list({column}))), cast(array() as {SPANS}), (acc, s) -> {step})"
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -295,7 +295,9 @@ def test_secrets_by_brute_force():
 
 
 # ---- 5 ----
-def test_suffix(spark, docs, odd):
+@pytest.mark.parametrize("hot", [suffix.HOT, 0, 5])
+def test_suffix(spark, docs, odd, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     d = read(spark, "documents")
     rows = suffix.repeated(clashing(d)).collect()
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in rows} == brute.passages(pairs_of(d))
