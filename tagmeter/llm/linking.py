@@ -22,9 +22,13 @@ Pairs are never listed whole:
 5. Links are merged by distributed union-find.
 
 So every pair of a bucket is verified, below a bound, or already in one
-component, and components are exact for the buckets.  A key that more than
-``HEAVY`` rows have doesn't stay in one task: its entries travel as rows whose
-counts and minima are combined on the map side, and it is handled as in 4.
+component, and components are exact for the buckets.
+
+A key that more than ``HEAVY`` rows have doesn't stay in one task: its ids are
+dealt to sub-buckets with leaders of their own, and these leaders join the
+cluster of one of them.  What is left of it is told by row blocks, not by ids:
+each two row blocks that share the key, but for those that hold its largest
+component alone, are multiplied.
 """
 
 from __future__ import annotations
@@ -56,9 +60,15 @@ Expand = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 # ---- packed entries ----
 def pack(key: np.ndarray, ids: np.ndarray, n: np.ndarray, count: np.ndarray, parts: int) -> dict:
     """Columns of PACKED: *key*, *ids* (rows of two uint64), *n* (the size of
-    the id's set, or a bound of it) and how many rows have the key."""
-    part = ((mix64(key) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    part[count > HEAVY] = -1
+    the id's set, or a bound of it) and how many rows have the key.  Entries of
+    heavy keys have parts from *parts* on; a key is two numbers, its own or its
+    sub-bucket's and its own."""
+    heavy = count > HEAVY
+    # an id of a heavy key goes to one of its sub-buckets
+    sub = ids[:, 0] % (count.astype(np.uint64) // np.uint64(max(1, HEAVY)) + np.uint64(1))
+    own = np.where(heavy, mix64(key + mix64(sub + np.uint64(1))), key)
+    part = ((mix64(own) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64) + np.where(heavy, parts, 0)
+    key = np.stack([own, key], axis=1)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     groups = np.split(order, cuts) if len(order) else []
@@ -148,21 +158,23 @@ def as_ids(ids: np.ndarray) -> pa.Array:
 
 class _Entries:
     """A block's entries without repeats, sorted by key, of the keys that two
-    ids or more have."""
+    ids or more have; ``whole`` is the key that a sub-bucket belongs to."""
 
     def __init__(self, rows: pa.Table) -> None:
-        key, ids, n = _joined(rows.column("key"), np.uint64), _joined(rows.column("id"), np.uint64).reshape(-1, 2), _joined(rows.column("n"), np.int64)
+        pair = _joined(rows.column("key"), np.uint64).reshape(-1, 2)
+        key, ids, n = pair[:, 0], _joined(rows.column("id"), np.uint64).reshape(-1, 2), _joined(rows.column("n"), np.int64)
         self.ids, who = _numbered(ids)
         self.n = np.zeros(len(self.ids), np.int64)
         self.n[who] = n
         order = np.lexsort((who, key))
-        key, who = key[order], who[order]
+        key, who, whole = key[order], who[order], pair[order, 1]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])[: len(key)]
-        key, who = key[new], who[new]
+        key, who, whole = key[new], who[new], whole[new]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         many = np.diff(np.append(begin, len(key)))
-        several = np.repeat(many > 1, many)
-        self.key, self.who = key[several], who[several]
+        # a sub-bucket of one id is part of a larger bucket
+        several = np.repeat(many > 1, many) | (key != whole)
+        self.key, self.who, self.whole = key[several], who[several], whole[several]
         self.many = np.repeat(many, many)[several]
 
     def bucket(self) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +209,8 @@ def _propose(parts: int):
             for at in _by_id(e.ids[who], parts):
                 i = who[at]
                 out.append((_part_of(e.ids, i, parts), src, e.ids[i].tobytes(), e.ids[to[at]].tobytes(), votes[at].astype(np.int32).tobytes(), e.n[i].tobytes()))
+            if src >= parts:  # leaders of sub-buckets meet under the whole key
+                out.append((-1, src, e.ids[lead].tobytes(), e.whole[begin].tobytes(), b"", e.n[lead].tobytes()))
             # leaders without a leader ask for their component too
             asks = np.setdiff1d(lead, who)
             for at in _by_id(e.ids[asks], parts):
@@ -425,12 +439,12 @@ def link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand:
 
 
 def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand: Expand, sized: Callable | None) -> DataFrame | None:
-    votes = buckets.where("part >= 0").groupBy("part").applyInArrow(_propose(parts), _VOTES)
-    heavy = None if buckets.where("part = -1").isEmpty() else table(_exploded(buckets.where("part = -1")).dropDuplicates(["key", "id"]), "heavy")
-    if heavy is not None:
-        votes = votes.unionByName(_heavy_votes(heavy, parts))
-    votes = table(votes, "votes")
-    pairs = table(votes.where("octet_length(lead) > 0").groupBy("part").applyInArrow(_best, "id binary, lead binary, n long"), "pairs")
+    votes = table(buckets.where("part >= 0").groupBy("part").applyInArrow(_propose(parts), _VOTES), "votes")
+    heavy = not buckets.where(F.col("part") >= parts).isEmpty()
+    chosen = votes.where("part >= 0 and octet_length(lead) > 0")
+    if heavy:
+        chosen = chosen.unionByName(_tops(votes, parts))
+    pairs = table(chosen.groupBy("part").applyInArrow(_best, "id binary, lead binary, n long"), "pairs")
 
     units = F.col("n") / UNIT + 1
     clusters = pairs.groupBy("lead").agg(F.sum(units).cast("long").alias("units"))
@@ -446,57 +460,54 @@ def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand:
     edges = table(rows.groupBy("block").applyInArrow(_within(percent, expand), "a binary, b binary"), "links")
     names, left = _contract(edges)
 
-    # what the entries need to know of their ids
-    known = placed.select("id", "lead", "block").join(names, placed["id"] == names["a"], "full")
-    known = known.select(F.coalesce("id", "a").alias("id"), F.coalesce("p", "id").alias("c"), F.coalesce("lead", "id", "a").alias("lead"), F.coalesce("block", F.lit(0)).alias("block"))
-    asked = votes.where("src >= 0").select("part", F.lit(0).alias("kind"), "src", "id", F.lit(b"").alias("c"), F.lit(b"").alias("lead"), F.lit(b"").alias("block"))
+    # what the entries need to know of their ids; a leader that follows none stands in its own cluster
+    known = placed.select("id", "lead", "block")
+    alone = members.join(placed.select("id"), "id", "left_anti").groupBy("id").agg(F.min("block").alias("block"))
+    known = known.unionByName(alone.select("id", F.col("id").alias("lead"), "block")).join(names.withColumnRenamed("a", "__a"), F.col("id") == F.col("__a"), "left")
+    known = table(known.select("id", F.coalesce("p", "id").alias("c"), "lead", "block"), "known")
+    asked = votes.where("part >= 0").select("part", F.lit(0).alias("kind"), "src", "id", F.lit(b"").alias("c"), F.lit(b"").alias("lead"), F.lit(b"").alias("block"))
     answers = asked.unionByName(known.mapInArrow(_packed_known(parts), _KNOWN)).groupBy("part").applyInArrow(_answer, _KNOWN)
     nothing = F.lit(b"")
     entries = buckets.where("part >= 0").select("part", F.lit(0).alias("kind"), "key", "id", "n", nothing.alias("c"), nothing.alias("lead"), nothing.alias("block"))
     told = answers.select(F.col("src").alias("part"), F.lit(1).alias("kind"), nothing.alias("key"), "id", nothing.alias("n"), "c", "lead", "block")
-    open_ = table(entries.unionByName(told).groupBy("part").applyInArrow(_open(percent, sized is not None), _OPEN), "open")
+    open_ = table(entries.unionByName(told).groupBy("part").applyInArrow(_open(percent, sized is not None, parts), _OPEN), "open")
 
     counted = open_.where("kind = 0").groupBy("a", "b").agg(F.sum("x").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     if sized is not None:
         counted = counted.where(F.col("common") >= sized(F.col("na"), F.col("nb")))
     more = verify(counted.select("a", "b"), sets, percent, expand)
     wide = open_.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("c"), F.col("na").alias("n"))
-    if heavy is not None:
-        named = heavy.join(names.select(F.col("a").alias("id"), "p"), "id", "left")
-        wide = wide.unionByName(named.select("key", "id", F.coalesce("p", "id").alias("c"), "n"))
     if not wide.isEmpty():
         more = more.unionByName(_large(wide, sets, percent, expand, sized is not None))
+    if heavy:
+        more = more.unionByName(_heavy(open_.where("kind = 2"), members, known, sets, percent, expand, sized is not None))
     more = table(more, "links")
     left = table(left.unionByName(renamed(more, names)).distinct(), "edges") if not more.isEmpty() else left
     return components(edges, (names, left))
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    """Packed entries as rows (key, id, n)."""
+def _tops(votes: DataFrame, parts: int) -> DataFrame:
+    """Votes of the leaders of a heavy key's sub-buckets for one of them."""
 
-    def run(batches):
+    def listed(batches):
         for batch in batches:
-            for k, i, n in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "n")), strict=True):
+            for k, i, n in zip(*(batch.column(c).to_pylist() for c in ("lead", "id", "n")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), as_ids(id_rows(i)), pa.array(np.frombuffer(n, np.int64))], ["key", "id", "n"])
 
-    return rows.select("key", "id", "n").mapInArrow(run, "key long, id binary, n long")
-
-
-def _heavy_votes(heavy: DataFrame, parts: int) -> DataFrame:
-    """Votes of the buckets that no single task holds, packed like the others."""
-    score = heavy.groupBy("id").agg(F.count("*").alias("score"))
-    lead = heavy.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("lead"))
-    votes = heavy.join(lead, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
+    leads = votes.where("part = -1").select("lead", "id", "n").mapInArrow(listed, "key long, id binary, n long")
+    top = leads.groupBy("key").agg(F.max_by("id", F.struct("n", "id")).alias("lead"))
+    met = leads.join(top, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
 
     def run(batches):
         for batch in batches:
             ids, lead = (id_rows(b"".join(batch.column(c).to_pylist())) for c in ("id", "lead"))
+            # a leader that all others of its sub-bucket follow had no vote so far
             votes, n = batch.column("votes").to_numpy().astype(np.int32), batch.column("n").to_numpy()
             out = [(_part_of(ids, at, parts), -1, ids[at].tobytes(), lead[at].tobytes(), votes[at].tobytes(), n[at].tobytes()) for at in _by_id(ids, parts)]
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["part", "src", "id", "lead", "votes", "n"])
 
-    return votes.select("id", "lead", "votes", "n").mapInArrow(run, _VOTES)
+    return met.select("id", "lead", "votes", "n").mapInArrow(run, _VOTES)
 
 
 _KNOWN = "part int, kind int, src int, id binary, c binary, lead binary, block binary"
@@ -545,7 +556,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 _OPEN = "kind int, key long, a binary, b binary, x long, na long, nb long"
 
 
-def _open(percent: int, sized: bool):
+def _open(percent: int, sized: bool, parts: int):
     """Of a block's entries, what no step has settled yet: pairs of small
     buckets (a, b, shared keys x, sizes), kind 0, and the ids of larger ones (a
     with component b), kind 1."""
@@ -563,6 +574,22 @@ def _open(percent: int, sized: bool):
         comp, led, block = comp[own], led[own], block[own]
         begin, bucket = e.bucket()
         out = []
+        if len(e.key) and rows.column("part")[0].as_py() >= parts:
+            # entries by whole key, block and component
+            order = np.lexsort((comp[e.who], block[e.who], e.whole))
+            who, key = e.who[order], e.whole[order]
+            new = lambda *x: np.concatenate([[True], np.any([v[1:] != v[:-1] for v in x], axis=0)])
+            group = np.flatnonzero(new(key, block[who]))
+            share = np.flatnonzero(new(key, block[who], comp[who]))
+            of = np.searchsorted(group, share, "right") - 1
+            times = np.diff(np.append(share, len(who)))
+            by_size = np.lexsort((times, of))
+            most = by_size[np.append(np.flatnonzero(np.diff(of[by_size])), len(of) - 1)]
+            pure = np.bincount(of) == 1
+            sizes = [f(e.n[who], group) for f in (np.minimum.reduceat, np.maximum.reduceat)]
+            a = names[comp[who[share[most]]]]
+            b = pa.array([b"" if p else b"x" for p in pure], pa.binary())
+            return pa.table([pa.array(np.full(len(group), 2, np.int32)), pa.array(key[group].view(np.int64)), as_ids(a), b, pa.array(block[who[group]]), pa.array(sizes[0]), pa.array(sizes[1])], names=["kind", "key", "a", "b", "x", "na", "nb"])
         if len(e.key):
             mixed = np.maximum.reduceat(comp[e.who], begin) != np.minimum.reduceat(comp[e.who], begin)
             keep = mixed[bucket]
@@ -626,6 +653,25 @@ def _large(rows: DataFrame, sets: DataFrame, percent: int, expand: Expand, sized
     return one.unionByName(two).groupBy("task").applyInArrow(_between(percent, expand), "a binary, b binary")
 
 
+def _heavy(rows: DataFrame, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, expand: Expand, sized: bool) -> DataFrame:
+    """Links between different components of heavy keys, *rows* (key, row block
+    x, its component a, b, sizes na to nb): row blocks that don't hold the
+    key's most frequent component alone, against all that have the key."""
+    rows = rows.groupBy("key", "x").agg(F.count("*").alias("subs"), F.min("a").alias("low"), F.max("a").alias("high"), F.max(F.octet_length("b")).alias("mixed"), F.min("na").alias("na"), F.max("nb").alias("nb"))
+    rows = rows.withColumn("c", F.when((F.col("low") == F.col("high")) & (F.col("mixed") == 0), F.col("low")))
+    major = rows.where("c is not null").groupBy("key", "c").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("c", F.struct("many", "c")).alias("major"))
+    rows = rows.join(major, "key", "left").withColumn("odd", ~F.coalesce(F.col("c") == F.col("major"), F.lit(False)))
+    odd = rows.where("odd").select("key", F.col("x").alias("own"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
+    near = (F.col("nb") * 100 >= F.col("na2") * percent) & (F.col("nb2") * 100 >= F.col("na") * percent) if sized else F.lit(True)
+    tasks = odd.join(rows.select("key", F.col("x").alias("block"), "na", "nb"), "key").where(near)
+    tasks = tasks.select(F.least("own", "block").alias("own"), F.greatest("own", "block").alias("block")).distinct()
+    tasks = table(tasks.withColumn("task", F.xxhash64("own", "block")), "tasks")
+    whole = members.select("id", "block").distinct().join(known.select("id", "c"), "id").join(sets, "id")
+    one = tasks.join(whole.withColumnRenamed("block", "own"), "own").select("task", F.lit(0).alias("side"), "id", "c", "set")
+    two = tasks.join(whole, "block").select("task", F.lit(1).alias("side"), "id", "c", "set")
+    return one.unionByName(two).groupBy("task").applyInArrow(_between(percent, expand), "a binary, b binary")
+
+
 def _between(percent: int, expand: Expand):
     """All overlaps of two blocks by a sparse product of their incidences;
     links come back as a spanning forest over the components known so far."""
