@@ -88,47 +88,54 @@ class Model:
         self.langs = sorted(samples)
         if not self.langs:
             return
-        # a text starts and ends with a space, so histories don't cross texts
-        runs = [np.frombuffer(b"   " + b"   ".join(samples[k]), np.uint8) for k in self.langs]
         seen = np.zeros(256, np.int64)
-        for r in runs:
-            seen += np.bincount(r, minlength=256)
+        for v in samples.values():
+            for t in (b" ", *v):
+                seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
         used = np.flatnonzero(seen)
         self.symbols = a = len(used) + 1  # the last is any byte not met in training
-        self.of_byte = np.full(256, a - 1, np.int64)
+        self.of_byte = np.full(256, a - 1, np.int32)
         self.of_byte[used] = np.arange(len(used))
-        coded = [self.of_byte[r] for r in runs]
-        pairs, contexts = [], []
-        for s in coded:
-            pairs.append((s[1:-2] * a + s[2:-1]) * a + s[3:])
-            contexts.append((s[:-3] * a + s[1:-2]) * a + s[2:-1])
-        distinct = lambda many: np.unique(np.concatenate(many))
-        self.strings3, self.contexts3 = _Index(distinct(pairs), a**3), _Index(distinct(contexts), a**3)
-        strings = [self.contexts3(c).astype(np.int64) * a + s[3:] for c, s in zip(contexts, coded, strict=True)]
-        self.strings4 = _Index(distinct(strings), len(self.contexts3.codes) * a)
+        # strings of four, three, two symbols and one, with counts, a language at a time
+        met = []
+        for k in self.langs:
+            # a text starts and ends with a space, so histories don't cross texts
+            s = self.of_byte[np.frombuffer(b"   " + b"   ".join(samples[k]), np.uint8)].astype(np.int64)
+            code, levels = s[3:], []
+            for n in range(1, 4):
+                levels.append(np.unique(code, return_counts=True))
+                code = s[3 - n : -n] * a**n + code
+            met.append([*levels, np.unique(code, return_counts=True)])
+            del s, code
+        union = lambda many: np.unique(np.concatenate(many))
+        self.strings3, self.contexts3 = _Index(union([m[2][0] for m in met]), a**3), _Index(union([m[3][0] // a for m in met]), a**3)
+        short4 = lambda codes: self.contexts3(codes // a).astype(np.int64) * a + codes % a
+        self.strings4 = _Index(union([short4(m[3][0]) for m in met]), len(self.contexts3.codes) * a)
         u3, u4, c3 = self.strings3.codes, self.strings4.codes, self.contexts3.codes
         n = len(self.langs)
         self.cost1, self.escape2 = np.empty((n, a * a), np.float32), np.empty((n, a * a), np.float32)
         self.cost3, self.cost4 = np.empty((n, len(u3)), np.float32), np.empty((n, len(u4)), np.float32)
         self.escape3 = np.zeros((n, len(c3) + 1), np.float32)  # the last for contexts not met
-        for i, s in enumerate(coded):
-            p2, b = s[2:-1], s[3:]
+
+        def spread(at: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+            out = np.zeros(size, np.int64)
+            out[at] = count
+            return out
+
+        for i, (zero, one, two, three) in enumerate(met):
             # below the empty context all 256 bytes are alike
-            zero = np.bincount(b, minlength=a)
-            none = np.zeros(a, np.int64)
-            low, _ = _costs(none, zero, np.full(a, 8.0), zero.sum(keepdims=True), (zero > 0).sum(keepdims=True))
-            one = np.bincount(p2 * a + b, minlength=a * a)
+            zero, one = spread(*zero, a), spread(*one, a * a)
+            low, _ = _costs(np.zeros(a, np.int64), zero, np.full(a, 8.0), zero.sum(keepdims=True), (zero > 0).sum(keepdims=True))
             square = one.reshape(a, a)
             self.cost1[i], _ = _costs(np.repeat(np.arange(a), a), one, np.tile(low, a), square.sum(1), (square > 0).sum(1))
-            count = np.bincount(self.strings3(pairs[i]), minlength=len(u3))
-            two = u3 // a
-            kinds = np.bincount(two[count > 0], minlength=a * a)
-            self.cost3[i], self.escape2[i] = _costs(two, count, self.cost1[i][u3 % (a * a)], np.bincount(two, weights=count, minlength=a * a), kinds)
-            count = np.bincount(self.strings4(strings[i]), minlength=len(u4))
-            three, short = u4 // a, c3[u4 // a] % (a * a) * a + u4 % a
-            kinds = np.bincount(three[count > 0], minlength=len(c3))
+            count, context = spread(self.strings3(two[0]), two[1], len(u3)), u3 // a
+            kinds = np.bincount(context[count > 0], minlength=a * a)
+            self.cost3[i], self.escape2[i] = _costs(context, count, self.cost1[i][u3 % (a * a)], np.bincount(context, weights=count, minlength=a * a), kinds)
+            count, context = spread(self.strings4(short4(three[0])), three[1], len(u4)), u4 // a
+            kinds = np.bincount(context[count > 0], minlength=len(c3))
             # a string of four has its last three in the union
-            self.cost4[i], self.escape3[i, :-1] = _costs(three, count, self.cost3[i][self.strings3(short)], np.bincount(three, weights=count, minlength=len(c3)), kinds)
+            lower = self.cost3[i][self.strings3(c3[context] % (a * a) * a + u4 % a)]
+            self.cost4[i], self.escape3[i, :-1] = _costs(context, count, lower, np.bincount(context, weights=count, minlength=len(c3)), kinds)
         rate = [self.bits(v)[:, i].sum() / max(1, sum(map(len, v))) for i, v in enumerate(samples[k] for k in self.langs)]
         self.usual = np.array(rate)  # bits a byte of each language's own sample
 
@@ -143,7 +150,7 @@ class Model:
                 held += len(many[end]) + 3
                 end += 1
             raw = b"".join(b"   " + t for t in many[start:end])
-            s = self.of_byte[np.frombuffer(raw, np.uint8)]
+            s = self.of_byte[np.frombuffer(raw, np.uint8)].astype(np.int64)
             size = np.array([len(t) + 3 for t in many[start:end]])
             if len(s) > 3:
                 begin = np.concatenate([[0], np.cumsum(size)[:-1]])

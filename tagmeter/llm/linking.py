@@ -26,9 +26,8 @@ component, and components are exact for the buckets.
 
 A key that more than ``HEAVY`` rows have doesn't stay in one task: its ids are
 dealt to sub-buckets with leaders of their own, and these leaders join the
-cluster of one of them.  What is left of it is told by row blocks, not by ids:
-each two row blocks that share the key, but for those that hold its largest
-component alone, are multiplied.
+cluster of one of them.  Where a row block has many ids of one component under the
+key, what is left of it is told by that row block and not by ids.
 """
 
 from __future__ import annotations
@@ -48,6 +47,8 @@ LARGE, HEAVY = 16, 1024
 #: A row block holds this many units; an id has one for each UNIT elements,
 #: and one for itself.
 BLOCK, UNIT = 1000, 512
+#: Ids of a heavy key, a row block and a component from which on they are told as one.
+TOLD = 32
 #: Ids of a cluster up to which its overlaps are added pair by pair.
 SPARSE = 16
 
@@ -476,11 +477,10 @@ def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand:
     if sized is not None:
         counted = counted.where(F.col("common") >= sized(F.col("na"), F.col("nb")))
     more = verify(counted.select("a", "b"), sets, percent, expand)
-    wide = open_.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("c"), F.col("na").alias("n"))
-    if not wide.isEmpty():
-        more = more.unionByName(_large(wide, sets, percent, expand, sized is not None))
-    if heavy:
-        more = more.unionByName(_heavy(open_.where("kind = 2"), members, known, sets, percent, expand, sized is not None))
+    wide = open_.where("kind in (1, 3)").select("key", F.col("a").alias("id"), F.col("b").alias("c"), F.col("na").alias("n"))
+    groups = open_.where("kind = 2").select("key", F.col("x").alias("block"), F.col("a").alias("c"), "na", "nb") if heavy else None
+    if not open_.where("kind > 0").isEmpty():
+        more = more.unionByName(_large(wide, groups, members, known, sets, percent, expand, sized is not None))
     more = table(more, "links")
     left = table(left.unionByName(renamed(more, names)).distinct(), "edges") if not more.isEmpty() else left
     return components(edges, (names, left))
@@ -575,22 +575,19 @@ def _open(percent: int, sized: bool, parts: int):
         begin, bucket = e.bucket()
         out = []
         if len(e.key) and rows.column("part")[0].as_py() >= parts:
-            # entries by whole key, block and component
+            # entries by whole key, block and component; those of many ids are told as one
             order = np.lexsort((comp[e.who], block[e.who], e.whole))
             who, key = e.who[order], e.whole[order]
-            new = lambda *x: np.concatenate([[True], np.any([v[1:] != v[:-1] for v in x], axis=0)])
-            group = np.flatnonzero(new(key, block[who]))
-            share = np.flatnonzero(new(key, block[who], comp[who]))
-            of = np.searchsorted(group, share, "right") - 1
-            times = np.diff(np.append(share, len(who)))
-            by_size = np.lexsort((times, of))
-            most = by_size[np.append(np.flatnonzero(np.diff(of[by_size])), len(of) - 1)]
-            pure = np.bincount(of) == 1
-            sizes = [f(e.n[who], group) for f in (np.minimum.reduceat, np.maximum.reduceat)]
-            a = names[comp[who[share[most]]]]
-            b = pa.array([b"" if p else b"x" for p in pure], pa.binary())
-            return pa.table([pa.array(np.full(len(group), 2, np.int32)), pa.array(key[group].view(np.int64)), as_ids(a), b, pa.array(block[who[group]]), pa.array(sizes[0]), pa.array(sizes[1])], names=["kind", "key", "a", "b", "x", "na", "nb"])
-        if len(e.key):
+            differ = [v[1:] != v[:-1] for v in (key, block[who], comp[who])]
+            group = np.flatnonzero(np.concatenate([[True], differ[0] | differ[1] | differ[2]]))
+            times = np.diff(np.append(group, len(who)))
+            least, most = (f(e.n[who], group) for f in (np.minimum.reduceat, np.maximum.reduceat))
+            g = group[times >= TOLD]
+            big = np.repeat(times >= TOLD, times)
+            out.append((np.full(len(g), 2, np.int32), key[g].view(np.int64), names[comp[who[g]]], e.ids[who[g]], block[who[g]], least[times >= TOLD], most[times >= TOLD]))
+            k, w = key[~big], who[~big]
+            out.append((np.full(len(k), 3, np.int32), k.view(np.int64), e.ids[w], names[comp[w]], block[w], e.n[w], e.n[w]))
+        elif len(e.key):
             mixed = np.maximum.reduceat(comp[e.who], begin) != np.minimum.reduceat(comp[e.who], begin)
             keep = mixed[bucket]
             key, who, many = e.key[keep], e.who[keep], e.many[keep]
@@ -624,52 +621,43 @@ def _cut(members: DataFrame, name: str) -> DataFrame:
     """*members* (label, band, id, c, n) with a block of bounded units."""
     units = F.ceil(F.sum(F.col("n") / UNIT + 1) / BLOCK)
     parts = members.groupBy("label", "band").agg(units.alias("parts"))
-    return members.join(parts, ["label", "band"]).select("id", "c", "band", F.xxhash64("label", "band", F.pmod(F.xxhash64("id"), "parts")).alias(name))
+    return members.join(parts, ["label", "band"]).select("id", "c", "n", F.xxhash64("label", "band", F.pmod(F.xxhash64("id"), "parts")).alias(name))
 
 
-def _large(rows: DataFrame, sets: DataFrame, percent: int, expand: Expand, sized: bool) -> DataFrame:
+def _large(rows: DataFrame, groups: DataFrame | None, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, expand: Expand, sized: bool) -> DataFrame:
     """Links between different components of large buckets, *rows* (key, id, c,
-    n): the ids outside a bucket's largest component, in blocks, against all
-    blocks of the bucket.  Where sizes are exact, blocks hold a band of them,
-    and only equal and neighbouring bands meet."""
-    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rows = rows.join(split, "key")
-    shares = rows.groupBy("key", "c").agg(F.count("*").alias("own"))
-    major = shares.groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("major"), F.sum("own").alias("many"))
-    heavy = table(rows.join(major, "key"), "split")
+    n) and *groups* (key, row block, c, sizes na to nb): what is outside a
+    bucket's largest component against the whole bucket, block by block.  Ids
+    are cut into blocks anew, where sizes are exact by bands of them; only
+    blocks whose sizes are within reach meet."""
+    share = rows.groupBy("key", "c").agg(F.count("*").alias("own"))
+    if groups is not None:
+        share = share.unionByName(groups.groupBy("key", "c").agg((F.count("*") * TOLD).alias("own"))).groupBy("key", "c").agg(F.sum("own").alias("own"))
+    # keys of one component are settled
+    major = share.groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("major"), F.sum("own").alias("many"), F.count("*").alias("kinds")).where("kinds > 1")
+    split = table(rows.join(major, "key"), "split")
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if sized else F.lit(0)
     # ids whose largest bucket has the same largest component lie in the same blocks
-    members = heavy.groupBy("id", "c").agg(F.max_by("major", F.struct("many", "key")).alias("label"), F.max("n").alias("n")).withColumn("band", band)
-    members = table(members, "members")
-    every = table(_cut(members, "block"), "blocks")
-    odd = heavy.where("c <> major")
-    minor = table(_cut(members.join(odd.select("id").distinct(), "id", "left_semi"), "own"), "blocks")
-    left = odd.select("key", "id").join(minor.select("id", "own", F.col("band").alias("other")), "id").select("key", "own", "other").distinct()
-    right = heavy.select("key", "id").join(every.select("id", "block", "band"), "id").select("key", "block", "band").distinct()
-    near = F.abs(F.col("band") - F.col("other")) <= 1
-    tasks = table(left.join(right, "key").where(near).select("own", "block").distinct().withColumn("task", F.xxhash64("own", "block")), "tasks")
-    one = tasks.join(minor.join(sets, "id"), "own").select("task", F.lit(0).alias("side"), "id", "c", "set")
-    two = tasks.join(every.join(sets, "id"), "block").select("task", F.lit(1).alias("side"), "id", "c", "set")
-    return one.unionByName(two).groupBy("task").applyInArrow(_between(percent, expand), "a binary, b binary")
-
-
-def _heavy(rows: DataFrame, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, expand: Expand, sized: bool) -> DataFrame:
-    """Links between different components of heavy keys, *rows* (key, row block
-    x, its component a, b, sizes na to nb): row blocks that don't hold the
-    key's most frequent component alone, against all that have the key."""
-    rows = rows.groupBy("key", "x").agg(F.count("*").alias("subs"), F.min("a").alias("low"), F.max("a").alias("high"), F.max(F.octet_length("b")).alias("mixed"), F.min("na").alias("na"), F.max("nb").alias("nb"))
-    rows = rows.withColumn("c", F.when((F.col("low") == F.col("high")) & (F.col("mixed") == 0), F.col("low")))
-    major = rows.where("c is not null").groupBy("key", "c").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("c", F.struct("many", "c")).alias("major"))
-    rows = rows.join(major, "key", "left").withColumn("odd", ~F.coalesce(F.col("c") == F.col("major"), F.lit(False)))
-    odd = rows.where("odd").select("key", F.col("x").alias("own"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
+    own = split.groupBy("id", "c").agg(F.max_by("major", F.struct("many", "key")).alias("label"), F.max("n").alias("n")).withColumn("band", band)
+    own = table(_cut(table(own, "members"), "unit"), "blocks")
+    reach = own.groupBy("unit").agg(F.min("n").alias("na"), F.max("n").alias("nb"))
+    parts = split.select("key", "id", (F.col("c") != F.col("major")).alias("odd")).join(own.select("id", "unit"), "id").groupBy("key", "unit").agg(F.max("odd").alias("odd")).join(reach, "unit")
+    content = own.select("unit", "id", "c")
+    if groups is not None:
+        told = groups.join(major, "key").groupBy("key", F.xxhash64(F.lit("row block"), "block").alias("unit")).agg(F.max(F.col("c") != F.col("major")).alias("odd"), F.min("na").alias("na"), F.max("nb").alias("nb"))
+        parts = parts.unionByName(told.select(*parts.columns))
+    parts = table(parts, "parts")
+    left = parts.where("odd").select("key", F.col("unit").alias("one"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
     near = (F.col("nb") * 100 >= F.col("na2") * percent) & (F.col("nb2") * 100 >= F.col("na") * percent) if sized else F.lit(True)
-    tasks = odd.join(rows.select("key", F.col("x").alias("block"), "na", "nb"), "key").where(near)
-    tasks = tasks.select(F.least("own", "block").alias("own"), F.greatest("own", "block").alias("block")).distinct()
-    tasks = table(tasks.withColumn("task", F.xxhash64("own", "block")), "tasks")
-    whole = members.select("id", "block").distinct().join(known.select("id", "c"), "id").join(sets, "id")
-    one = tasks.join(whole.withColumnRenamed("block", "own"), "own").select("task", F.lit(0).alias("side"), "id", "c", "set")
-    two = tasks.join(whole, "block").select("task", F.lit(1).alias("side"), "id", "c", "set")
-    return one.unionByName(two).groupBy("task").applyInArrow(_between(percent, expand), "a binary, b binary")
+    tasks = left.join(parts.select("key", "unit", "na", "nb"), "key").where(near).select(F.least("one", "unit").alias("one"), F.greatest("one", "unit").alias("two")).distinct()
+    tasks = table(tasks.withColumn("task", F.xxhash64("one", "two")), "tasks")
+    if groups is not None:
+        wanted = parts.select("unit").distinct()
+        whole = members.select(F.xxhash64(F.lit("row block"), "block").alias("unit"), "id").distinct().join(wanted, "unit", "left_semi")
+        content = content.unionByName(whole.join(known.select("id", "c"), "id").select("unit", "id", "c"))
+    content = content.join(sets, "id")
+    sides = [tasks.select(F.col(c).alias("unit"), "task", F.lit(k).alias("side")) for k, c in enumerate(("one", "two"))]
+    return sides[0].unionByName(sides[1]).join(content, "unit").select("task", "side", "id", "c", "set").groupBy("task").applyInArrow(_between(percent, expand), "a binary, b binary")
 
 
 def _between(percent: int, expand: Expand):

@@ -84,7 +84,7 @@ def test_components(spark):
 @pytest.mark.parametrize("large,heavy,block,sparse", [(2, 10**6, 8, 2), (4, 10**6, 7, 16), (1000, 10**6, 1000, 16), (16, 20, 40, 3), (16, 0, 1000, 1000)])
 def test_link_is_exact_for_its_buckets(spark, monkeypatch, large, heavy, block, sparse):
     """Near copies of a few bases, far enough apart that leaders often fail."""
-    for name, value in (("LARGE", large), ("HEAVY", heavy), ("BLOCK", block), ("SPARSE", sparse)):
+    for name, value in (("LARGE", large), ("HEAVY", heavy), ("BLOCK", block), ("SPARSE", sparse), ("TOLD", 3 if heavy < 100 else 32)):
         monkeypatch.setattr(linking, name, value)
     rng = random.Random(large + block)
     sets = []
