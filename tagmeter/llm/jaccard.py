@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, scratch, table, texts, window_hashes, word_hashes
+from .common import drop, map_pieces, scratch, table, texts, window_hashes, word_hashes
 from .incidence import Rows, Shared, fingerprints, key_blocks, marks, name_of, row_pieces, shared_keys
 from .linking import PACKED, ask, asked_sets, id_rows, link, pack
 
@@ -195,7 +195,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         total = pieces.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
         parts = key_blocks(spark, total * REGION // 8)
         buckets = table(shared_keys(pieces.select("ids", "sizes", "grams"), _block(percent), _prefixes(percent, parts), PACKED, parts, int(_TOP), distinct=True, cut=row_pieces), "prefixes", blobs=True)
-        found = link(buckets, parts, asked_sets(buckets, pieces, ["sizes", "grams"], _stored), percent, sized=shared_at_least(percent))
+        found = link(buckets, parts, asked_sets(buckets, pieces, ["sizes", "grams"], _stored), percent, sized=shared_at_least(percent), done=lambda: drop(pieces))
         named = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("own"))
         if found is None:
             named = named.select("digest", F.col("digest").alias("component"), F.col("own").alias("component_id"))

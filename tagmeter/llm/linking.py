@@ -46,7 +46,7 @@ from .common import SMALL_ROWS, mix64, scratch, table
 LARGE, HEAVY = 16, 1024
 #: A row block holds this many units; an id has one for each UNIT elements,
 #: and one for itself.
-BLOCK, UNIT = 1000, 512
+BLOCK, UNIT = 3000, 512
 #: Ids of a heavy key, a row block and a component from which on they are told as one.
 TOLD = 32
 #: Ids of a cluster up to which its overlaps are added pair by pair.
@@ -426,20 +426,20 @@ def components(edges: DataFrame, begun: tuple[DataFrame, DataFrame] | None = Non
 
 
 # ---- the whole ----
-def link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand: Expand = as_stored, sized: Callable[[int, int], int] | None = None) -> DataFrame | None:
+def link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand: Expand = as_stored, sized: Callable[[int, int], int] | None = None, done: Callable[[], None] = lambda: None) -> DataFrame | None:
     """(id, component) of all ids that link with another; None if none may.
 
     *buckets*: rows of ``pack``, entries may repeat.  *sets*: (id, set) of the
     ids, as bytes that *expand* takes apart.  *sized*: where sizes are exact,
     how many keys two sets of given sizes share at least if they link; else
-    None.
+    None.  *done* is called once *sets* isn't read any more.
     """
     with scratch() as s:
-        found = _link(buckets, parts, sets, percent, expand, sized)
+        found = _link(buckets, parts, sets, percent, expand, sized, done)
         return found if found is None else s.keep(found)
 
 
-def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand: Expand, sized: Callable | None) -> DataFrame | None:
+def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand: Expand, sized: Callable | None, done: Callable[[], None]) -> DataFrame | None:
     votes = table(buckets.where("part >= 0").groupBy("part").applyInArrow(_propose(parts), _VOTES), "votes")
     heavy = not buckets.where(F.col("part") >= parts).isEmpty()
     chosen = votes.where("part >= 0 and octet_length(lead) > 0")
@@ -457,6 +457,7 @@ def _link(buckets: DataFrame, parts: int, sets: DataFrame, percent: int, expand:
     placed = table(pairs.join(large, "lead", "left").select("id", "lead", "n", block.alias("block")), "placed")
     members = placed.select("id", "lead", "block").unionByName(placed.select(F.col("lead").alias("id"), "lead", "block").distinct())
     sets = table(sets, "sets", packed=True, blobs=True)
+    done()
     rows = members.join(sets, "id").select("block", "lead", "id", "set")
     edges = table(rows.groupBy("block").applyInArrow(_within(percent, expand), "a binary, b binary"), "links")
     names, left = _contract(edges)
