@@ -24,11 +24,10 @@ def nearest_rank(column: str | Column, p: float) -> Column:
 
 def latency_summary(df: DataFrame, *by: str) -> DataFrame:
     """L1: count, p50, p95, p99, average and maximum in milliseconds."""
-    df.createOrReplaceTempView("_latency")
     keys = "".join(f"{b}, " for b in by)
     disc = ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_us) / 1000 AS p{int(p * 100)}_ms" for p in (0.5, 0.95, 0.99))
     tail = f" GROUP BY {', '.join(by)}" if by else ""
-    return df.sparkSession.sql(f"SELECT {keys}count(*) AS n, {disc}, avg(latency_us) / 1000 AS avg_ms, max(latency_us) / 1000 AS max_ms FROM _latency{tail}")
+    return df.sparkSession.sql(f"SELECT {keys}count(*) AS n, {disc}, avg(latency_us) / 1000 AS avg_ms, max(latency_us) / 1000 AS max_ms FROM {{rows}}{tail}", rows=df)
 
 
 def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -37,17 +36,27 @@ def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(m.alias("median"), ((F.max(value) - F.min(value)) / m * 100).alias("spread_pct"))
 
 
-def near_boundary(df: DataFrame, interval_us: int, margin_us: int) -> DataFrame:
-    """L3: marks log rows that end within *margin* of a bucket boundary."""
+def near_boundary(df: DataFrame, interval_us: int, margin_us: int, offset_us: int | None = None) -> DataFrame:
+    """L3: marks log rows that run, widened by *margin* on both sides, over a
+    bucket boundary."""
     from .store import EPOCH_US
 
-    off = F.pmod(F.col("end_us") - F.lit(EPOCH_US), F.lit(interval_us))
-    return df.withColumn("near", (off < margin_us) | (off >= interval_us - margin_us)).withColumn("bucket", ((F.col("end_us") - EPOCH_US - off) / interval_us).cast("long"))
+    offset = F.lit(EPOCH_US if offset_us is None else offset_us)
+    low, high = F.col("end_us") - F.col("latency_us") - margin_us - offset, F.col("end_us") + margin_us - offset
+    return df.withColumn("near", high - F.pmod(high, F.lit(interval_us)) >= low)
 
 
-def boundary_split(df: DataFrame, interval_us: int, margin_us: int) -> DataFrame:
-    marked = near_boundary(df, interval_us, margin_us)
-    return marked.groupBy("near").agg(F.count("*").alias("n"), F.avg("latency_us").alias("avg_us"), F.max("latency_us").alias("max_us")).crossJoin(marked.agg((F.max("bucket") - F.min("bucket")).alias("boundaries")))
+def boundary_split(df: DataFrame, interval_us: int, margin_us: int, offset_us: int | None = None) -> DataFrame:
+    """L3: rows near a boundary and others, and how many boundaries lie after
+    the first start and up to the last end."""
+    from .store import EPOCH_US
+
+    offset = F.lit(EPOCH_US if offset_us is None else offset_us)
+    marked = near_boundary(df, interval_us, margin_us, offset_us)
+    first, last = F.min(F.col("end_us") - F.col("latency_us")) - offset, F.max("end_us") - offset
+    interval = F.lit(interval_us)
+    crossed = ((last - F.pmod(last, interval) - first + F.pmod(first, interval)) / interval).cast("long")
+    return marked.groupBy("near").agg(F.count("*").alias("n"), F.avg("latency_us").alias("avg_us"), F.max("latency_us").alias("max_us")).crossJoin(marked.agg(crossed.alias("boundaries")))
 
 
 def t_quantile(level: float, df: int) -> float:

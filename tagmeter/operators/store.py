@@ -83,6 +83,29 @@ def oldest_live(slots: DataFrame, current: int, count: int) -> DataFrame:
     return slots.where(live(current, count)).agg(F.min("bucket_id").alias("oldest_bucket"))
 
 
+def bounded(placed: DataFrame, settings) -> tuple[tuple[DataFrame, DataFrame], dict]:
+    """((slots, entries), counters) of a store that *placed* executions fill
+    beyond ``max_entries`` (E9, E10, E13).  Which entries go depends on all
+    arrivals before, so the sequential model runs over the whole log in order;
+    its state and its result are bounded by the settings, and rows are read
+    partition by partition."""
+    from ..functions.model import BoundedStore
+
+    spark = placed.sparkSession
+    model = BoundedStore(settings.max_entries, settings.bucket_count)
+    rows = placed.withColumn("toplevel", F.col("nesting_level") == 0).select("seq", *KEY, "bucket_id", "elapsed_ms", F.unix_micros("end_ts").alias("at"))
+    for r in rows.orderBy("seq").toLocalIterator(prefetchPartitions=True):
+        model.record(tuple(r[k] for k in KEY), r.bucket_id, r.elapsed_ms, r.at)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*KEY).schema)
+    slots = [(*k, b, c, ms, e.stats_since) for k, e in model.entries.items() for b, (c, ms) in e.slots.items()]
+    found = [(*k, e.calls_total, e.exec_time_total, e.stats_since, e.last_bucket) for k, e in model.entries.items()]
+    moment = F.timestamp_micros
+    slots = spark.createDataFrame(slots, f"{kind}, bucket_id long, calls long, total_exec_time double, first_us long")
+    found = spark.createDataFrame(found, f"{kind}, calls_total long, exec_time_total double, since_us long, last_bucket long")
+    slots = slots.select(*KEY, "bucket_id", "calls", "total_exec_time", moment("first_us").alias("first_ts"))
+    return (slots, found.select(*KEY, "calls_total", "exec_time_total", moment("since_us").alias("stats_since"), "last_bucket")), dict(model.counters)
+
+
 def evict_candidates(found: DataFrame, current: int, count: int, max_entries: int) -> DataFrame:
     """The entries that one eviction pass would free (E9, E11): the dead, then
     the least by (last_bucket, usage, tags) up to the target.  The live part is

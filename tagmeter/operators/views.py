@@ -48,6 +48,7 @@ class Store:
     found: DataFrame
     latest: DataFrame
     current: int | None
+    evictions: dict | None = None  # counters of a store that had to evict
 
     @classmethod
     def build(cls, executions: DataFrame, settings, fast: bool = True, clamp: bool = True) -> Store:
@@ -62,7 +63,14 @@ class Store:
         slots = store.aggregate(placed).persist()
         found = store.entries(slots)
         latest = store.exemplars(placed) if settings.parsed["exemplars"] else None
-        return cls(settings, tagged, slots, found, latest, store.current_bucket(slots))
+        current = store.current_bucket(slots)
+        if found.count() <= settings.max_entries:
+            return cls(settings, tagged, slots, found, latest, current)
+        slots.unpersist()
+        kept, evictions = store.bounded(placed, settings)
+        slots, found = kept
+        latest = latest.join(found.select(*KEY), KEY, "left_semi") if latest is not None else None
+        return cls(settings, tagged, slots, found, latest, current, evictions)
 
     def stats(self, showtags: bool = True, merge_buckets: bool = False, last_only: bool = False, caller: int | None = None, see_all: bool = True) -> DataFrame:
         """Rows of live buckets, or one for each entry, or of the last
@@ -80,6 +88,8 @@ class Store:
         rows = rows.withColumn("bucket_start", store.bucket_start(F.col("bucket_id"), s.bucket_interval))
         shown = visible(caller, see_all)
         tags = shown if showtags else F.lit(False)
+        if not merge_buckets and not last_only:  # an entry's buckets, oldest first
+            rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "bucket_id")
         out = rows.withColumn("queryid", F.when(shown, F.col("queryid")))
         out = out.withColumn("tags_json", F.when(tags, F.col("tags_json"))).withColumn("exemplars_json", F.when(tags, F.col("exemplars_json")))
         return out.select(*COLUMNS)
@@ -111,13 +121,14 @@ class Store:
         start = store.bucket_start(F.lit(current), s.bucket_interval)
         closed = store.bucket_start(F.lit(current - 1), s.bucket_interval)
         zero = F.lit(0).cast("long")
+        evicted = [F.lit((self.evictions or {}).get(c, 0)).cast("long").alias(c) for c in ("dealloc", "reclaimed_entries", "evicted_entries", "dropped_records")]
         head = self.found.agg(F.count("*").alias("entries"), F.min("stats_since").alias("stats_reset"))
         capped = caps.with_caps(self.executions, s).agg(F.coalesce(F.sum("capped_tags"), zero).alias("capped_tags"))
         return head.crossJoin(counts).crossJoin(capped).select(
             F.col("entries"), F.lit(s.max_entries).cast("long").alias("max_entries"), F.lit(s.bucket_count).cast("long").alias("buckets"), F.lit(s.bucket_interval).cast("long").alias("bucket_seconds"),
             start.alias("current_bucket_start"), closed.alias("last_closed_bucket_start"), F.col("stats_reset"), F.floor(F.unix_micros("stats_reset") / 1_000_000).alias("stats_reset_epoch"),
             F.lit(sizing.store_bytes(s.max_entries, s.max_tagset_bytes, s.bucket_count)).alias("shmem_bytes"), F.lit(s.exemplar_value_bytes).cast("long").alias("exemplar_value_bytes"),
-            zero.alias("dealloc"), zero.alias("reclaimed_entries"), zero.alias("evicted_entries"), zero.alias("dropped_records"),
+            *evicted,
             "invalid_tags", "dropped_tags", "heuristic_scans", "normalized_tags", zero.alias("regex_compile_failures"), "utility_missing_queryid",
             "capped_tags", zero.alias("cap_table_full"), "exemplar_values_dropped", F.lit(s.server_major).cast("long").alias("server_major"),
         )

@@ -197,6 +197,16 @@ _add(
 )
 
 
+def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of 100 entries: how many stay, what stays, and what the counters say."""
+    s = _store(spark, sf_dir, max_entries=100)
+    out = s.counters().select("entries", "max_entries", "dealloc", "reclaimed_entries", "evicted_entries", "dropped_records")
+    return out.withColumn("kept_calls", F.lit(s.found.agg(F.sum("calls_total")).first()[0]))
+
+
+_add("bounded_store", _bounded)
+
+
 def _exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, exemplar_keys="traceparent", nested_tags="scan")
     return s.totals().select("userid", "dbid", "queryid", "toplevel", "tags_json", "exemplars_json").where("exemplars_json is not null")
@@ -210,10 +220,17 @@ _add(
 
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir)
-    return store.ring_violations(s.slots, s.found, s.current, 12)
+    # planted: buckets of the future, empty slots, and slots that occur twice
+    q = F.col("queryid")
+    bad = s.slots.withColumn("bucket_id", F.when(q == 1, F.lit(s.current + 5)).otherwise(F.col("bucket_id"))).withColumn("calls", F.when(q == 2, 0).otherwise(F.col("calls")))
+    return store.ring_violations(bad.unionByName(s.slots.where(q == 3)), s.found, s.current, 12)
 
 
-_add("ring_violations", _violations, _sql("SELECT dbid, userid, queryid, toplevel, tags_json, b AS bucket_id, 'none' AS reason FROM slots WHERE calls <= 0"))
+_ROW = "dbid, userid, queryid, toplevel, tags_json"
+_add(
+    "ring_violations", _violations,
+    _sql(f"SELECT {_ROW}, c + 5 AS bucket_id, 'bucket after the watermark' AS reason FROM slots, cur WHERE queryid = 1 UNION ALL SELECT {_ROW}, b, 'empty or negative slot' FROM slots WHERE queryid = 2 UNION ALL SELECT {_ROW}, b, 'two live buckets in a slot' FROM live WHERE queryid = 3"),
+)
 
 
 # ---- caps (2.H) ----
@@ -316,7 +333,7 @@ _add("resolve_roots", _roots, "SELECT event_id AS seq, least(event_id + 3 - even
 # ---- offline statistics (2.L) ----
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("event_type").alias("scenario"), F.unix_micros(F.col("ts").cast("timestamp")).alias("end_us"), F.round(F.col("value") * 1000).cast("long").alias("latency_us"))
+    return e.select("event_id", F.col("event_type").alias("scenario"), F.unix_micros(F.col("ts").cast("timestamp")).alias("end_us"), F.round(F.col("value") * 1000).cast("long").alias("latency_us"))
 
 
 def _latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,17 +341,19 @@ def _latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("avg_ms", F.round("avg_ms", 6))
 
 
-_LOG = "lg AS (SELECT event_type AS scenario, epoch_us(ts) AS end_us, CAST(round(value * 1000) AS BIGINT) AS latency_us FROM events)"
+_LOG = "lg AS (SELECT event_id, event_type AS scenario, epoch_us(ts) AS end_us, CAST(round(value * 1000) AS BIGINT) AS latency_us FROM events)"
 _add("latency_percentiles", _latency, f"WITH {_LOG} SELECT scenario, count(*) AS n, quantile_disc(latency_us, 0.5) / 1000 AS p50_ms, quantile_disc(latency_us, 0.95) / 1000 AS p95_ms, quantile_disc(latency_us, 0.99) / 1000 AS p99_ms, round(avg(latency_us) / 1000, 6) AS avg_ms, max(latency_us) / 1000 AS max_ms FROM lg GROUP BY 1")
 _add("median_and_spread", lambda spark, d: benchstats.spread(_log(spark, d), "latency_us", "scenario").withColumn("spread_pct", F.round("spread_pct", 6)), f"WITH {_LOG} SELECT scenario, median(latency_us) AS median, round((max(latency_us) - min(latency_us)) / median(latency_us) * 100, 6) AS spread_pct FROM lg GROUP BY 1")
 _add(
     "boundary_split", lambda spark, d: benchstats.boundary_split(_log(spark, d), 3_600_000_000, 60_000_000).withColumn("avg_us", F.round("avg_us", 4)),
-    f"WITH {_LOG}, b AS (SELECT *, (end_us - 946684800000000) % 3600000000 AS o, (end_us - 946684800000000) // 3600000000 AS b FROM lg) SELECT (o < 60000000 OR o >= 3540000000) AS near, count(*) AS n, round(avg(latency_us), 4) AS avg_us, max(latency_us) AS max_us, (SELECT max(b) - min(b) FROM b) AS boundaries FROM b GROUP BY 1",
+    f"WITH {_LOG}, b AS (SELECT *, CAST(ceil((end_us - latency_us - 60000000 - 946684800000000) / 3600000000.0) AS BIGINT) * 3600000000 + 946684800000000 AS first FROM lg) "
+    "SELECT first <= end_us + 60000000 AS near, count(*) AS n, round(avg(latency_us), 4) AS avg_us, max(latency_us) AS max_us, "
+    "(SELECT (max(end_us) - 946684800000000) // 3600000000 - min(end_us - latency_us - 946684800000000) // 3600000000 FROM lg) AS boundaries FROM b GROUP BY 1",
 )
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _log(spark, sf_dir).withColumn("block", (F.col("end_us") % 10).cast("int")).withColumn("config", F.when(F.col("latency_us") % 2 == 0, "ext").otherwise("base"))
+    e = _log(spark, sf_dir).withColumn("block", (F.col("event_id") % 10).cast("int")).withColumn("config", F.when(F.floor(F.col("event_id") / 10) % 2 == 0, "ext").otherwise("base"))
     runs = e.groupBy("scenario", "block", "config").agg(F.avg("latency_us").alias("us"))
     return runs.withColumn("baseline", F.when(F.col("config") == "ext", "base"))
 
@@ -346,14 +365,14 @@ def _ci(log: bool) -> Callable:
     return run
 
 
-_PAIR = f"""WITH {_LOG}, r AS (SELECT scenario, end_us % 10 AS block, CASE WHEN latency_us % 2 = 0 THEN 'ext' ELSE 'base' END AS config, avg(latency_us) AS us FROM lg GROUP BY ALL),
+_PAIR = f"""WITH {_LOG}, r AS (SELECT scenario, event_id % 10 AS block, CASE WHEN event_id // 10 % 2 = 0 THEN 'ext' ELSE 'base' END AS config, avg(latency_us) AS us FROM lg GROUP BY ALL),
 p AS (SELECT a.scenario, %X% AS x FROM r a JOIN r b ON a.scenario = b.scenario AND a.block = b.block WHERE a.config = 'ext' AND b.config = 'base'),
 t AS (SELECT * FROM (VALUES {", ".join(f"({n}, {benchstats.t_quantile(0.95, n - 1)!r}::DOUBLE)" for n in range(2, 11))}) AS t(n, q)),
 s AS (SELECT scenario, avg(x) AS mean, stddev_samp(x) AS sd, count(*) AS n FROM p GROUP BY 1)
 SELECT scenario, 'ext' AS config, s.n, %F%"""
 _add("paired_interval", _ci(False), _PAIR.replace("%X%", "a.us - b.us").replace("%F%", "round(mean, 6) AS mean, round(mean - q * sd / sqrt(s.n), 6) AS low, round(mean + q * sd / sqrt(s.n), 6) AS high FROM s LEFT JOIN t USING (n)"))
 _add("paired_ratio", _ci(True), _PAIR.replace("%X%", "ln(a.us / b.us)").replace("%F%", "round(exp(mean), 6) AS mean, round(exp(mean - q * sd / sqrt(s.n)), 6) AS low, round(exp(mean + q * sd / sqrt(s.n)), 6) AS high FROM s LEFT JOIN t USING (n)"))
-_add("absolute_medians", lambda spark, d: benchstats.absolute(_runs(spark, d), "us").withColumn("us", F.round("us", 6)), f"WITH {_LOG}, r AS (SELECT scenario, end_us % 10 AS block, CASE WHEN latency_us % 2 = 0 THEN 'ext' ELSE 'base' END AS config, avg(latency_us) AS us FROM lg GROUP BY ALL) SELECT scenario, config, round(median(us), 6) AS us FROM r GROUP BY 1, 2")
+_add("absolute_medians", lambda spark, d: benchstats.absolute(_runs(spark, d), "us").withColumn("us", F.round("us", 6)), f"WITH {_LOG}, r AS (SELECT scenario, event_id % 10 AS block, CASE WHEN event_id // 10 % 2 = 0 THEN 'ext' ELSE 'base' END AS config, avg(latency_us) AS us FROM lg GROUP BY ALL) SELECT scenario, config, round(median(us), 6) AS us FROM r GROUP BY 1, 2")
 
 
 def _exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
