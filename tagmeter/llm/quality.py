@@ -8,10 +8,13 @@ neither reads a text again.
 Toxic vocabulary can also be learned from labels: ``learn`` weighs words and
 their beginnings by how much more often toxic documents hold them, and
 ``ledger`` then adds a document's score and one more bit, which policy v3
-uses.  The registered query stays with v2, the list alone, since its SQL does.
+uses.  Weights are whole thousandths, so that sums don't depend on their order.
+The registered query learns from ``labels`` and applies v3; its SQL learns the
+same terms on its own.
 
 Defined cases: a null or empty text measures 0 throughout and fails the
-word-count rule; repeated rows are judged alike; no value is clipped.
+word-count rule; repeated rows are judged alike; no value is clipped; without a toxic and
+a clean labelled document nothing is learned and the score's bit stays 0.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v2": tuple(name for name, _ in RULES),
     "v3": (*(name for name, _ in RULES), LEARNED),
 }
-LATEST = "v2"
+LATEST = "v3"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_toxic", "n_shouted")
 
@@ -113,7 +116,7 @@ def measure(text: bytes, toxic: frozenset[bytes]) -> tuple[int, ...]:
     )
 
 
-#: Labelled documents that ``learn`` reads at most, by least hash of the id.
+#: Labelled documents that ``learn`` reads at most, by least MD5 of the id.
 LEARN_DOCS = 20_000
 #: Toxic documents that must hold a term, how many times more often than clean
 #: ones, and the terms kept at most.
@@ -131,25 +134,26 @@ def terms(text: bytes) -> set[str]:
 class Vocabulary:
     """Weights of toxic terms and the score from which a text is toxic."""
 
-    def __init__(self, weights: dict[str, float], least: float = math.inf) -> None:
+    def __init__(self, weights: dict[str, int], least: float = math.inf) -> None:
         self.weights, self.least = weights, least
 
-    def score(self, text: bytes) -> float:
-        # fsum doesn't depend on the order of the set
-        return math.fsum(self.weights[t] for t in terms(text) if t in self.weights) if self.weights else 0.0
+    def score(self, text: bytes) -> int:
+        return sum(self.weights[t] for t in terms(text) if t in self.weights) if self.weights else 0
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = LEARN_DOCS) -> Vocabulary:
     """Fit on documents that *labels* (doc_id, toxic) covers.
 
-    A term's weight is the logarithm of its lift; the least score is the one
-    with the best F1 on the sample.  Without a toxic and a clean document
-    nothing is learned.
+    A term's weight is a thousand times the logarithm of its lift; the least
+    score is the one with the best F1 on the sample.  Of rows that repeat an id
+    the least text counts, and a toxic label before a clean one.
     """
     told = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    told = told.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_docs)
     with scratch():
-        sample = table(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(told), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")), "labelled")
+        # the join comes first, so that only labelled texts are shuffled
+        found = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        sample = table(found.select("text", F.col("toxic").cast("long").alias("toxic")), "labelled")
         many = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not many.get(1) or not many.get(0):
             return Vocabulary({})
@@ -162,12 +166,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = LEARN_DOCS) -> Voc
         held = map_pieces(sample, listed, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         lift = F.col("a") / many[1] / ((F.col("b") + 0.5) / many[0])
         kept = held.where((F.col("a") >= TERM_DOCS) & (lift >= TERM_LIFT)).orderBy(F.desc("a"), "term").limit(MAX_TERMS).select("term", lift.alias("lift"))
-        found = Vocabulary({r.term: math.log(r.lift) for r in kept.collect()})
+        found = Vocabulary({r.term: round(1000 * math.log(r.lift)) for r in kept.collect()})
 
         def scored(piece: pa.RecordBatch) -> dict:
             return {"score": [found.score(t) for t in texts(piece)], "toxic": piece.column("toxic")}
 
-        got = map_pieces(sample, scored, "score double, toxic long").where("score > 0").groupBy("score").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+        got = map_pieces(sample, scored, "score long, toxic long").where("score > 0").groupBy("score").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
         best = hit = seen = 0
         for r in sorted(got.collect(), key=lambda r: -r.score):
             hit, seen = hit + r.a, seen + r["n"]
@@ -187,7 +191,7 @@ def ledger(docs: DataFrame, toxic: tuple[str, ...] = TOXIC, learned: Vocabulary
         return {"doc_id": piece.column("doc_id")} | {m: pa.array(got[:, i]) for i, m in enumerate(MEASURES)} | score
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES) + (f", {LEARNED} double" if learned else "")
+    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES) + (f", {LEARNED} long" if learned else "")
     measured = map_pieces(docs.select("doc_id", "text"), make, schema)
     failed = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     if learned:
@@ -224,13 +228,17 @@ def ablation(rows: DataFrame, policy: str = LATEST) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = apply_policy(ledger(docs, learned=learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 def _sql() -> str:
     lexicon = ", ".join(f"'{w}'" for w in TOXIC)
-    failing = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+    rules = (*RULES, (LEARNED, f"{LEARNED} >= least"))
+    failing = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(rules))
+    words = r"regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+')"
+    begun = ", ".join(map(str, PREFIXES))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -238,6 +246,21 @@ tri AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SEL
 rep AS (SELECT rid, i FROM tri QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
 ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
+each AS (SELECT rid, unnest(list_distinct({words})) AS word FROM d),
+term AS (SELECT rid, word AS term FROM each
+         UNION SELECT rid, left(word, k) || '*' FROM each, (SELECT unnest([{begun}]) AS k) WHERE length(word) > k),
+told AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id
+         ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {LEARN_DOCS}),
+sample AS (SELECT arg_min(rid, t) AS rid, toxic FROM d JOIN told USING (doc_id) GROUP BY doc_id, toxic),
+many AS (SELECT count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic = 0) AS n0 FROM sample),
+held AS (SELECT term, sum(toxic) AS a, sum(1 - toxic) AS b FROM sample JOIN term USING (rid) GROUP BY term),
+weight AS (SELECT term, CAST(round(1000 * ln(lift)) AS BIGINT) AS w
+           FROM (SELECT term, a, CAST(a AS DOUBLE) / n1 / ((CAST(b AS DOUBLE) + CAST(0.5 AS DOUBLE)) / n0) AS lift FROM held, many WHERE n1 > 0 AND n0 > 0)
+           WHERE a >= {TERM_DOCS} AND lift >= {TERM_LIFT} ORDER BY a DESC, term LIMIT {MAX_TERMS}),
+scored AS (SELECT rid, sum(w) AS {LEARNED} FROM term JOIN weight USING (term) GROUP BY rid),
+level AS (SELECT {LEARNED} AS score, sum(toxic) AS a, count(*) AS n FROM sample JOIN scored USING (rid) WHERE {LEARNED} > 0 GROUP BY 1),
+best AS (SELECT score, 2 * sum(a) OVER up / (sum(n) OVER up + n1) AS f1 FROM level, many WINDOW up AS (ORDER BY score DESC)),
+chosen AS (SELECT max(score) AS least FROM (SELECT score FROM best WHERE f1 > 0 ORDER BY f1 DESC, score DESC LIMIT 1)),
 li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
@@ -245,9 +268,10 @@ m AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+'), lambda x: x IN ({lexicon}))) AS n_toxic,
+         len(list_filter({words}, lambda x: x IN ({lexicon}))) AS n_toxic,
+         coalesce({LEARNED}, 0) AS {LEARNED}, least,
          len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_shouted
-  FROM d LEFT JOIN cover USING (rid) LEFT JOIN li USING (rid)),
+  FROM d LEFT JOIN cover USING (rid) LEFT JOIN li USING (rid) LEFT JOIN scored USING (rid), chosen),
 f AS (SELECT *, CAST({failing} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & {bits(BASE)}) <> 0 AS base_failed,
