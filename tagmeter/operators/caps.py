@@ -5,13 +5,18 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.tagset import Pipeline, Result, to_json
 
-TAGS = "map<string,string>"
+TAGS, PAIRS = "map<string,string>", "array<array<string>>"
+#: Columns that the fold makes anew.
+FOLDED = ("tags_json", "capped_tags", "dropped_tags", "cap_table_full")
+#: Slots up to which the admitted values are broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def scope_of(settings) -> Column:
@@ -46,81 +51,140 @@ def admitted(df: DataFrame, settings, known: DataFrame | None = None) -> DataFra
         first = first.unionByName(known.select("scope", "key", "value", F.lit(-1).cast("long").alias("first_seq"))).groupBy("scope", "key", "value").agg(F.min("first_seq").alias("first_seq"))
     rank = F.row_number().over(Window.partitionBy("scope", "key").orderBy("first_seq", "value"))
     ranked = first.withColumn("rank", rank).where(F.col("rank") <= _most(settings)).where((F.col("rank") <= cap_of(settings)) | (F.col("first_seq") < 0)).drop("rank")
-    return ranked.orderBy("first_seq", "scope", "key", "value").limit(settings.cardinality_cap_slots)
+    return ranked.orderBy("first_seq", _rank_of(settings), "scope", "value").limit(settings.cardinality_cap_slots)
 
 
 def _most(settings) -> int:
     return max([settings.cardinality_cap, *settings.parsed["caps"].values(), 1])
 
 
-def with_caps(df: DataFrame, settings, known: DataFrame | None = None) -> DataFrame:
-    """*df* with tags_json and capped_tags after caps, set-based.
+def capping(settings) -> bool:
+    return bool(settings.cardinality_cap or settings.parsed["caps"])
+
 
-    Exact whenever no tag is dropped for want of room, which ``overflowed``
-    tells; a capped null is smaller than its value, so it always fits."""
-    if not settings.cardinality_cap and not settings.parsed["caps"]:
-        return df
-    ok = admitted(df, settings, known).select(F.col("scope").alias("_s"), F.col("key").alias("_k"), F.col("value").alias("_v"), F.lit(True).alias("_ok"))
-    each = df.select("seq", scope_of(settings).alias("_scope"), F.explode(F.from_json("tags_json", TAGS)).alias("key", "value"))
-    kept = each.join(ok, (F.col("_scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("value") == F.col("_v")), "left")
-    value = F.when((cap_of(settings) == 0) | F.col("_ok"), F.col("value"))
-    packed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", value.alias("v")))))
-    again = kept.groupBy("seq").agg(F.to_json(packed).alias("_tags"), F.sum(value.isNull().cast("long")).alias("_capped"))
-    names = [c for c in df.columns if c not in ("tags_json", "capped_tags")]
-    return df.join(again.withColumnRenamed("seq", "_seq"), df["seq"] == F.col("_seq"), "left").select(*(df[c] for c in names), F.coalesce("_tags", "tags_json").alias("tags_json"), F.coalesce("_capped", F.lit(0)).alias("capped_tags"))
+def _rank_of(settings) -> Column:
+    """The order in which the keys of one execution ask for slots."""
+    keys = settings.parsed["tags"]
+    return F.col("key") if keys == ("*",) else F.array_position(F.array(*map(F.lit, keys)), F.col("key"))
 
 
-def overflowed(df: DataFrame) -> Column:
-    return F.sum("dropped_tags") > 0
+def with_caps(df: DataFrame, settings, known: DataFrame | None = None) -> DataFrame:
+    """*df* with tags_json, capped_tags and cap_table_full after caps, set-based.
+
+    Exact where no tag was dropped for want of room (``dropped``).  The admitted values,
+    at most ``cardinality_cap_slots``, meet the executions by scope and tag
+    sets are rewritten in place, so the log itself isn't shuffled where they
+    can be broadcast."""
+    if not capping(settings):
+        return df.withColumn("cap_table_full", F.lit(0).cast("long"))
+    ok = admitted(df, settings, known).groupBy("scope", "key").agg(F.collect_list("value").alias("v"))
+    ok = ok.groupBy(F.col("scope").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("_ok"))
+    if settings.cardinality_cap_slots <= MAX_BROADCAST:
+        ok = F.broadcast(ok)
+    none = F.array().cast("array<string>")
+
+    def held(k: Column) -> Column:
+        return F.coalesce(F.col("_ok")[k], none)
+
+    tags = F.from_json("tags_json", TAGS)
+    new = F.transform_values(tags, lambda k, v: F.when((cap_of(settings, k) == 0) | F.array_contains(held(k), v), v))
+    lost = F.size(F.filter(F.map_values("_new"), lambda v: v.isNull()))
+    # a key below its cap loses values only to a full table
+    short = F.size(F.filter(F.map_entries("_new"), lambda e: e["value"].isNull() & (F.size(held(e["key"])) < cap_of(settings, e["key"]))))
+    rows = df.withColumn("_scope", scope_of(settings)).join(ok, F.col("_scope") == F.col("_s"), "left").withColumn("_new", new)
+    rows = rows.withColumn("capped_tags", F.coalesce(lost, F.lit(0)).cast("long")).withColumn("cap_table_full", F.coalesce(short, F.lit(0)).cast("long"))
+    return rows.withColumn("tags_json", F.when(F.col("capped_tags") > 0, F.to_json("_new")).otherwise(F.col("tags_json"))).drop("_scope", "_s", "_ok", "_new")
+
+
+def dropped(settings) -> Column:
+    """Whether an execution has tags that found no room, or may not find any
+    once they are null, which takes a byte more than an empty value."""
+    less = F.size(F.from_json("candidates_json", PAIRS)) > F.size(F.from_json("tags_json", TAGS))
+    tight = F.col("tags_json").contains(':""') & (F.octet_length("tags_json") > settings.max_tagset_bytes)
+    return F.coalesce(less, F.lit(False)) | tight
+
+
+def applied(df: DataFrame, settings) -> DataFrame:
+    """*df* (with candidates_json) after caps and limits on size, as a server
+    applies them one execution after the other (D-8, D-10, H4, H5).
+
+    Scopes in which every tag found room take ``with_caps``; the others are
+    folded in order.  Scopes depend on each other only through the slots, so
+    the fold runs by scope unless the slots could run out, and else over the
+    whole log."""
+    if not capping(settings):
+        return with_caps(df, settings).drop("candidates_json")
+    over = df.where(dropped(settings)).select(scope_of(settings).alias("_over")).distinct()
+    if over.isEmpty():
+        return with_caps(df, settings).drop("candidates_json")
+    asked = df.select(scope_of(settings).alias("scope"), F.explode(F.coalesce(F.from_json("candidates_json", PAIRS), F.array().cast(PAIRS))).alias("p"))
+    plain = df.where("candidates_json is null").select(scope_of(settings).alias("scope"), F.explode(F.map_entries(F.from_json("tags_json", TAGS))).alias("e"))
+    asked = asked.select("scope", F.col("p")[0].alias("key"), F.col("p")[1].alias("value")).unionByName(plain.select("scope", "e.key", "e.value"))
+    most = asked.distinct().groupBy("scope", "key").count().agg(F.sum(F.least(F.col("count"), cap_of(settings)))).first()[0] or 0
+    if most > settings.cardinality_cap_slots:
+        return with_caps_exact(df, settings, whole=True).drop("candidates_json")
+    mine = scope_of(settings) == F.col("_over")
+    rest, bad = df.join(over, mine, "left_anti"), df.join(over, mine, "left_semi")
+    return with_caps(rest, settings).unionByName(with_caps_exact(bad, settings)).drop("candidates_json")
 
 
 class Admission:
-    """Sequential admission within one scope (H1, H4, H7)."""
+    """Sequential admission (H1, H4, H5, H7); the slots are common to all
+    scopes.  A call tells whether the caps let a value be, and admits it if
+    *admit*; ``was_full`` tells whether the last one lacked a slot."""
 
-    def __init__(self, settings, slots: int | None = None) -> None:
-        self.cap = settings.cardinality_cap
-        self.caps = settings.parsed["caps"]
-        self.values: dict[str, set[str]] = {}
-        self.slots, self.used, self.full = slots or settings.cardinality_cap_slots, 0, 0
+    def __init__(self, settings) -> None:
+        self.cap, self.caps, self.slots = settings.cardinality_cap, settings.parsed["caps"], settings.cardinality_cap_slots
+        self.values: dict[tuple[str, str], set[str]] = {}
+        self.scope, self.used, self.was_full = "", 0, False
 
     def __call__(self, key: str, value: str, admit: bool = True) -> bool:
+        self.was_full = False
         cap = self.caps.get(key, self.cap)
         if not cap:
             return True
-        known = self.values.setdefault(key, set())
+        known = self.values.setdefault((self.scope, key), set())
         if value in known:
             return True
         if len(known) >= cap:
             return False
         if self.used >= self.slots:
-            self.full += 1
+            self.was_full = True
             return False
         if admit:
             known.add(value)
             self.used += 1
-        return admit
+        return True
 
 
-def with_caps_exact(df: DataFrame, settings) -> DataFrame:
-    """As with_caps, as a fold over each scope in order of arrival, where caps
-    and limits on size interact.  A scope's rows meet in one task: narrow rows
-    only, and only where ``overflowed``."""
+def with_caps_exact(df: DataFrame, settings, whole: bool = False) -> DataFrame:
+    """As with_caps, as a fold in order of arrival, where caps and limits on
+    size interact; dropped_tags is counted anew.  A task sorts its scopes
+    (*whole*: the log) on disk if need be and reads them batch by batch; it
+    holds no more than the admitted values of one scope (*whole*: of all)."""
     pipeline = Pipeline(settings)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        cap, tags, capped, dropped = Admission(settings), [], [], []
-        for text in rows["candidates_json"]:
-            r = Result(candidates=[tuple(x) for x in json.loads(text or "[]")])
-            pipeline.place(r, cap)
-            tags.append(to_json(r.tags))
-            capped.append(r.counts.get("capped_tags", 0))
-            dropped.append(r.counts.get("dropped_tags", 0))
-        return pd.DataFrame({"_seq": rows["seq"], "_tags": tags, "_capped": capped, "_dropped": dropped})
-
-    again = df.withColumn("_scope", scope_of(settings)).select("_scope", "seq", "candidates_json").groupBy("_scope").applyInPandas(fold, "_seq long, _tags string, _capped long, _dropped long")
-    names = [c for c in df.columns if c not in ("tags_json", "capped_tags", "dropped_tags")]
-    return df.join(again, df["seq"] == again["_seq"]).select(*(df[c] for c in names), F.col("_tags").alias("tags_json"), F.col("_capped").alias("capped_tags"), F.col("_dropped").alias("dropped_tags"))
+    names = [c for c in df.columns if c not in FOLDED]
+    out = StructType([df.schema[c] for c in names] + [StructField("tags_json", StringType())] + [StructField(c, LongType()) for c in FOLDED[1:]])
+
+    def fold(batches):
+        cap = Admission(settings)
+        for rows in batches:
+            got = []
+            for scope, tags, text in zip(*(rows.column(c).to_pylist() for c in ("_scope", "tags_json", "candidates_json")), strict=True):
+                if scope != cap.scope:
+                    cap.scope = scope
+                    if not whole:
+                        cap.values.clear()
+                r = Result(candidates=list(json.loads(tags).items()) if text is None else [tuple(x) for x in json.loads(text)])
+                pipeline.place(r, cap)
+                got.append((to_json(r.tags), r.counts.get("capped_tags", 0), r.counts.get("dropped_tags", 0), r.counts.get("cap_table_full", 0)))
+            cols = list(zip(*got, strict=True)) or [()] * 4
+            more = [pa.array(cols[0], pa.string())] + [pa.array(c, pa.int64()) for c in cols[1:]]
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in names] + more, names=[*names, *FOLDED])
+
+    rows = df.withColumn("_scope", scope_of(settings))
+    order = rows.repartition(1).sortWithinPartitions("seq") if whole else rows.repartition("_scope").sortWithinPartitions("_scope", "seq")
+    return order.mapInArrow(fold, out)
 
 
 def combinations(cap: int, keys: int, capped: bool = False, absent: bool = False) -> int:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGS = ["tags_json", "exemplars_json"]
+#: What a nested statement takes from its root, and what it has without one.
+TAGS = {"tags_json": "{}", "exemplars_json": "{}", "candidates_json": "[]"}
 
 
 def resolve_roots(df: DataFrame, rounds: int = 32) -> DataFrame:
@@ -29,11 +30,14 @@ def with_nesting(df: DataFrame, mode: str = "inherit") -> DataFrame:
     run while another is planned have no active one and keep their own."""
     if mode == "scan":
         return df
+    own = [c for c in TAGS if c in df.columns]
     nested = (F.col("nesting_level") > 0) & ~F.col("during_planning")
     if mode == "none":
-        return df.withColumn("tags_json", F.when(nested, F.lit("{}")).otherwise(F.col("tags_json"))).withColumn("exemplars_json", F.when(nested, F.lit("{}")).otherwise(F.col("exemplars_json")))
+        return df.withColumns({c: F.when(nested, F.lit(TAGS[c])).otherwise(F.col(c)) for c in own})
     # only roots that nested statements name are joined
     wanted = df.where(nested).select(F.col("root_seq").alias("_w")).distinct()
-    roots = df.join(wanted, df["seq"] == F.col("_w"), "left_semi").select(F.col("seq").alias("_root"), *(F.col(c).alias(f"_{c}") for c in TAGS))
+    roots = df.join(wanted, df["seq"] == F.col("_w"), "left_semi").select(F.col("seq").alias("_root"), *(F.col(c).alias(f"_{c}") for c in own))
     joined = df.withColumn("_key", F.when(nested, F.col("root_seq"))).join(roots, F.col("_key") == F.col("_root"), "left")
-    return joined.select(*(F.when(nested, F.coalesce(f"_{c}", F.lit("{}"))).otherwise(F.col(c)).alias(c) if c in TAGS else F.col(c) for c in df.columns))
+    # a root whose tags were read plainly has no candidates of its own
+    taken = {c: F.when(F.col("_root").isNull(), F.lit(TAGS[c])).otherwise(F.col(f"_{c}")) for c in own}
+    return joined.select(*(F.when(nested, taken[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in df.columns))

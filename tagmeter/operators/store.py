@@ -19,7 +19,8 @@ def bucket_id(ts: Column, interval: int) -> Column:
 
 
 def bucket_start(bucket: Column, interval: int) -> Column:
-    return F.timestamp_micros(bucket * F.lit(interval * 1_000_000) + F.lit(EPOCH_US))
+    # a small bucket and a short interval are both int literals
+    return F.timestamp_micros(bucket.cast("long") * F.lit(interval * 1_000_000) + F.lit(EPOCH_US))
 
 
 def clamped(df: DataFrame, interval: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def visible(caller: int | None, see_all: bool) -> Column:
 
 
 #: Columns of a log that only extraction reads.
-TEXT = ("query_string", "stmt_location", "stmt_len", "scs", "application_name", "tags_override", "candidates_json")
+TEXT = ("query_string", "stmt_location", "stmt_len", "scs", "application_name", "tags_override")
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -49,15 +50,18 @@ class Store:
     latest: DataFrame
     current: int | None
     evictions: dict | None = None  # counters of a store that had to evict
+    kept: DataFrame | None = None  # recorded executions after caps
+    reset_at: object = None  # when the store was last emptied
 
     @classmethod
     def build(cls, executions: DataFrame, settings, fast: bool = True, clamp: bool = True) -> Store:
         """Tags, caps, nesting, filters, buckets and aggregation of a log."""
         from ..sources.executions import recorded
 
-        own = once(extract.with_tags(executions, settings, fast).drop(*TEXT))
+        text = TEXT if caps.capping(settings) else (*TEXT, "candidates_json")
+        own = once(extract.with_tags(executions, settings, fast).drop(*text))
         tagged = nesting.with_nesting(own, settings.nested_tags)
-        kept = caps.with_caps(tagged.where(recorded(settings)), settings)
+        kept = caps.applied(tagged.where(recorded(settings)), settings)
         placed = store.clamped(kept, settings.bucket_interval) if clamp else kept.withColumn("bucket_id", store.bucket_id(F.col("end_ts"), settings.bucket_interval))
         # the slots are small beside the log, and every view starts from them
         slots = store.aggregate(placed).persist()
@@ -65,12 +69,11 @@ class Store:
         latest = store.exemplars(placed) if settings.parsed["exemplars"] else None
         current = store.current_bucket(slots)
         if found.count() <= settings.max_entries:
-            return cls(settings, tagged, slots, found, latest, current)
+            return cls(settings, tagged, slots, found, latest, current, kept=kept)
         slots.unpersist()
-        kept, evictions = store.bounded(placed, settings)
-        slots, found = kept
+        (slots, found), evictions = store.bounded(placed, settings)
         latest = latest.join(found.select(*KEY), KEY, "left_semi") if latest is not None else None
-        return cls(settings, tagged, slots, found, latest, current, evictions)
+        return cls(settings, tagged, slots, found, latest, current, evictions, kept)
 
     def stats(self, showtags: bool = True, merge_buckets: bool = False, last_only: bool = False, caller: int | None = None, see_all: bool = True) -> DataFrame:
         """Rows of live buckets, or one for each entry, or of the last
@@ -111,26 +114,32 @@ class Store:
         return last.withColumn("queryid", F.when(shown, F.col("queryid"))).withColumn("tags_json", F.when(shown, F.col("tags_json")))
 
     def counters(self) -> DataFrame:
-        """One row of counters, without a scan of the slots."""
+        """One row of counters, from the executions and the entries.  Patterns
+        are compiled when settings are read, so none fails later."""
         s = self.settings
         current = self.current if self.current is not None else 0
         from ..sources.executions import utility_missing_queryid
 
+        capped = ["capped_tags", "cap_table_full", "dropped_tags"] if caps.capping(s) else []
         missing = F.coalesce(F.sum(utility_missing_queryid(s)), F.lit(0)).alias("utility_missing_queryid")
-        counts = self.executions.agg(missing, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invalid_tags", "dropped_tags", "heuristic_scans", "exemplar_values_dropped", "normalized_tags")))
+        counts = self.executions.agg(missing, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invalid_tags", *([] if capped else ["dropped_tags"]), "heuristic_scans", "exemplar_values_dropped", "normalized_tags")))
         start = store.bucket_start(F.lit(current), s.bucket_interval)
         closed = store.bucket_start(F.lit(current - 1), s.bucket_interval)
         zero = F.lit(0).cast("long")
         evicted = [F.lit((self.evictions or {}).get(c, 0)).cast("long").alias(c) for c in ("dealloc", "reclaimed_entries", "evicted_entries", "dropped_records")]
-        head = self.found.agg(F.count("*").alias("entries"), F.min("stats_since").alias("stats_reset"))
-        capped = caps.with_caps(self.executions, s).agg(F.coalesce(F.sum("capped_tags"), zero).alias("capped_tags"))
-        return head.crossJoin(counts).crossJoin(capped).select(
+        since = F.min("stats_since") if self.reset_at is None else F.lit(self.reset_at)
+        head = self.found.agg(F.count("*").alias("entries"), since.alias("stats_reset")).crossJoin(counts)
+        if capped:
+            head = head.crossJoin(self.kept.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in capped)))
+        else:
+            head = head.withColumns({"capped_tags": zero, "cap_table_full": zero})
+        return head.select(
             F.col("entries"), F.lit(s.max_entries).cast("long").alias("max_entries"), F.lit(s.bucket_count).cast("long").alias("buckets"), F.lit(s.bucket_interval).cast("long").alias("bucket_seconds"),
             start.alias("current_bucket_start"), closed.alias("last_closed_bucket_start"), F.col("stats_reset"), F.floor(F.unix_micros("stats_reset") / 1_000_000).alias("stats_reset_epoch"),
             F.lit(sizing.store_bytes(s.max_entries, s.max_tagset_bytes, s.bucket_count)).alias("shmem_bytes"), F.lit(s.exemplar_value_bytes).cast("long").alias("exemplar_value_bytes"),
             *evicted,
             "invalid_tags", "dropped_tags", "heuristic_scans", "normalized_tags", zero.alias("regex_compile_failures"), "utility_missing_queryid",
-            "capped_tags", zero.alias("cap_table_full"), "exemplar_values_dropped", F.lit(s.server_major).cast("long").alias("server_major"),
+            "capped_tags", "cap_table_full", "exemplar_values_dropped", F.lit(s.server_major).cast("long").alias("server_major"),
         )
 
     def info(self) -> DataFrame:
@@ -153,10 +162,12 @@ class Store:
         self.info().createOrReplaceTempView(f"{prefix}_info")
         self.counters().createOrReplaceTempView(f"{prefix}_counters")
 
-    def reset(self) -> Store:
-        """An empty store of the same watermark."""
+    def reset(self, at: datetime | None = None) -> Store:
+        """An empty store of the same watermark, without counters and
+        admitted values; ``stats_reset`` is *at* (else the present)."""
         none = F.lit(False)
-        return Store(self.settings, self.executions.where(none), self.slots.where(none), self.found.where(none), self.latest.where(none) if self.latest is not None else None, self.current)
+        latest, kept = (None if df is None else df.where(none) for df in (self.latest, self.kept))
+        return Store(self.settings, self.executions.where(none), self.slots.where(none), self.found.where(none), latest, self.current, kept=kept, reset_at=at or datetime.now(UTC))
 
 
 def has_tag(key: str, value: str | None = None) -> Column:

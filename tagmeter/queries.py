@@ -242,12 +242,12 @@ def _capped(scope: str) -> Callable:
     return run
 
 
-def _capped_sql(scope: str) -> str:
-    base = "WITH " + _EX.replace("%TAGS%", "o.own_tags")
+def _capped_sql(scope: str, tags: str = "o.own_tags", cap: int = 2) -> str:
+    base = "WITH " + _EX.replace("%TAGS%", tags)
     return (
         base
         + f""", ks AS (SELECT seq, {scope} AS sc, k2, json_extract_string(tags_json, '$.' || k2) AS v FROM (SELECT *, unnest(json_keys(tags_json)) AS k2 FROM tg)),
-adm AS (SELECT sc, k2, v FROM (SELECT sc, k2, v, min(seq) AS f FROM ks GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sc, k2 ORDER BY f, v) <= 2),
+adm AS (SELECT sc, k2, v FROM (SELECT sc, k2, v, min(seq) AS f FROM ks GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sc, k2 ORDER BY f, v) <= {cap}),
 new AS (SELECT seq, '{{' || string_agg('"' || k2 || '":' || CASE WHEN a.v IS NULL THEN 'null' ELSE '"' || ks.v || '"' END, ',' ORDER BY k2) || '}}' AS nt FROM ks LEFT JOIN adm a USING (sc, k2, v) GROUP BY seq)"""
         + _SLOTS.replace("FROM tg WHERE %KEEP%", "FROM (SELECT * REPLACE (coalesce(nt, tags_json) AS tags_json) FROM tg LEFT JOIN new USING (seq)) WHERE tags_json <> '{}'")
         + "SELECT userid, dbid, queryid, toplevel, tags_json, calls FROM tot WHERE contains(tags_json, ':null')"
@@ -259,6 +259,29 @@ _add("cap_scope_database", _capped("database"), _capped_sql("CAST(dbid AS VARCHA
 _add("cap_scope_server", _capped("server"), _capped_sql("'server'"))
 
 
+def _cap_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tag and one value a key: tags that find no room aren't admitted."""
+    return reports.report(spark, "capped_rows", _store(spark, sf_dir, cardinality_cap=1, max_tags=1, nested_tags="scan"))
+
+
+_ONE_TAG = "CASE WHEN o.m IN (1, 2) THEN '{\"action\":\"show\"}' ELSE o.own_tags END"
+_add("cap_with_size_limits", _cap_limits, _capped_sql("userid || '/' || dbid", _ONE_TAG, 1))
+
+
+def _cap_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More values than slots: what is lost to the full table."""
+    s = _store(spark, sf_dir, tags="traceparent, controller", exclude_tags="", cardinality_cap=1_000_000, cardinality_cap_slots=256, cardinality_cap_scope="server", max_tags=2, nested_tags="scan")
+    return s.counters().select("capped_tags", "cap_table_full", "dropped_tags")
+
+
+_add(
+    "cap_table_full", _cap_counters,
+    "WITH " + _EX.replace("%TAGS%", "o.own_tags") + """, ks AS (SELECT seq, 'controller' AS key, 2 AS p, e AS v FROM tg WHERE m IN (1, 2, 3) UNION ALL SELECT seq, 'traceparent', 1, '00-' || seq || '-01' FROM tg WHERE m = 3),
+adm AS (SELECT key, v FROM (SELECT key, p, v, min(seq) AS f FROM ks GROUP BY ALL) ORDER BY f, p LIMIT 256)
+SELECT count(*) FILTER (a.v IS NULL) AS capped_tags, count(*) FILTER (a.v IS NULL) AS cap_table_full, CAST(0 AS BIGINT) AS dropped_tags FROM ks LEFT JOIN adm a USING (key, v)""",
+)
+
+
 # ---- extraction (2.B, 2.C, 2.D) ----
 def _tags(appname: str | None = None, override: str | None = None, **changes) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

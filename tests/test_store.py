@@ -1,6 +1,7 @@
 """Store, caps, nesting, snapshots, streaming, sizing and statistics."""
 
 import itertools
+import json
 import math
 import random
 
@@ -116,6 +117,57 @@ def test_caps_keep_known_values_and_overrides(spark):
     assert caps.with_caps(df, s, known).where(has_tag("action")).count() == 5
 
 
+def in_turn(rows, keys, cap, slots, room):
+    """Caps and the limit on size, one execution after the other: (tags, nulls, lost to a full table, dropped)."""
+    seen, used, out = {}, 0, []
+    for user, tags in rows:
+        left, kept, null, full, gone = room, {}, 0, 0, 0
+        for k in [k for k in keys if k in tags]:
+            v, known = tags[k], seen.setdefault((user, k), set())
+            over, none_left = v not in known and len(known) >= cap, v not in known and len(known) < cap and used >= slots
+            need = len(k) + 2 + (1 if over or none_left else len(v))
+            if over or none_left:
+                if len(k) + 3 > left:
+                    gone += 1
+                    continue
+                null, full = null + 1, full + none_left
+            elif need > left:
+                gone += 1
+                continue
+            elif v not in known:
+                known.add(v)
+                used += 1
+            left -= len(k) + 3 if over or none_left else need
+            kept[k] = None if over or none_left else v
+        out.append((kept, null, full, gone))
+    return out
+
+
+@pytest.mark.parametrize(("cap", "values", "users"), [(3, 6, (0, 1, 2)), (900, 700, (0, 1))])
+def test_caps_meet_limits_on_size(spark, log, cap, values, users):
+    """In one scope all tags fit, in the others many don't; at 900 the slots run out."""
+    rng = random.Random(cap)
+    rows = []
+    for _ in range(900):
+        user = rng.choice(users)
+        longest = 20 if user == 2 else 70
+        rows.append((user, {k: f"{rng.randrange(values)}".ljust(rng.randrange(4, longest), "x") for k in ("job", "action", "controller") if rng.random() < 0.8}))
+    text = [(i, u, "SELECT 1 /*" + ",".join(f"{k}:{v}" for k, v in t.items()) + "*/") for i, (u, t) in enumerate(rows)]
+    one = log.limit(1).drop("seq", "userid", "query_string", "nesting_level", "dbid")
+    df = one.crossJoin(spark.createDataFrame(text, "seq long, userid long, query_string string")).withColumns({"nesting_level": F.lit(0), "dbid": F.lit(1).cast("long")})
+    keys = ("action", "controller", "job")
+    s = Settings(track="all", untagged="record", cardinality_cap=cap, cardinality_cap_slots=256, max_tagset_bytes=128, max_tag_value_len=128)
+    want = in_turn(rows, keys, cap, 256, 128)
+    built = Store.build(df, s)
+    got = built.kept.orderBy("seq").collect()
+    assert [json.loads(r.tags_json) for r in got] == [w[0] for w in want]
+    assert [(r.capped_tags, r.cap_table_full, r.dropped_tags) for r in got] == [w[1:] for w in want]
+    c, total = built.counters().first(), [sum(w[i] for w in want) for i in (1, 2, 3)]
+    assert [c.capped_tags, c.cap_table_full, c.dropped_tags] == total and total[0] and total[2] and bool(total[1]) == (cap == 900)
+    empty = built.reset().counters().first()
+    assert (empty.entries, empty.capped_tags, empty.dropped_tags) == (0, 0, 0) and empty.stats_reset is not None
+
+
 def test_exact_and_plain_paths_agree(spark, log):
     s = Settings(track="all")
     a = extract.with_tags(log, s, fast=True).select("seq", "tags_json")
