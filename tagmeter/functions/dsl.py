@@ -50,9 +50,15 @@ def check_key(key: str) -> str:
 _FOREIGN = re.compile(r"\\[mMyYcBZ]|\(\?[bceiklmnpqstwx]+\)|\[\[[.=]")
 
 
+#: Escapes and bracket expressions, in which no character is an operator.
+_QUOTED = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL)
+
+
 def compile_pattern(pattern: str, what: str = "pattern") -> re.Pattern:
     """A pattern of the common subset: no back-references, no constructs that
-    only one dialect knows."""
+    only one dialect knows.  Of alternatives the longest match counts, not the
+    first; beside non-greedy quantifiers they are rejected.  Which of several
+    equally long matches fills the groups is left open."""
     if not 1 <= len(pattern.encode()) <= MAX_PATTERN:
         raise ValueError(f"{what} must have 1 to {MAX_PATTERN} bytes")
     if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern) or "(?P=" in pattern:
@@ -65,11 +71,20 @@ def compile_pattern(pattern: str, what: str = "pattern") -> re.Pattern:
     elif _FOREIGN.search(pattern):
         raise ValueError(f"{what} uses a construct outside the common regex subset")
     pattern = re.sub(r"\[\[:(\w+):\]\]", lambda m: {"alpha": "[A-Za-z]", "digit": "[0-9]", "alnum": "[A-Za-z0-9]", "space": r"\s", "upper": "[A-Z]", "lower": "[a-z]"}.get(m[1], m[0]), pattern)
+    if not flags & re.MULTILINE:  # a dot matches newlines and $ only the very end
+        pattern, flags = re.sub(r"(?<!\\)\$(?=$|\))", r"\\Z", pattern), flags | re.DOTALL
     try:
-        # without n, a dot matches newlines and $ only the very end
-        return re.compile(re.sub(r"(?<!\\)\$(?=$|\))", r"\\Z", pattern) if not flags & re.MULTILINE else pattern, flags | (0 if flags & re.MULTILINE else re.DOTALL))
+        made = re.compile(pattern, flags)
     except re.error as e:
         raise ValueError(f"invalid {what}: {e}") from None
+    bare = _QUOTED.sub("", pattern)
+    if "|" not in bare:
+        return made
+    if re.search(r"[*+?}]\?", bare):
+        raise ValueError(f"{what} has alternatives beside non-greedy quantifiers")
+    import regex
+
+    return regex.compile(pattern, int(flags) | regex.POSIX)
 
 
 _TOKEN = re.compile(rf"[{SPACE}]*(?:('(?:[^']|'')*')|([,()=])|([^{SPACE},()='\"]+)|(.))", re.DOTALL)

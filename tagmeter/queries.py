@@ -242,7 +242,7 @@ def _capped(scope: str) -> Callable:
     return run
 
 
-def _capped_sql(scope: str, tags: str = "o.own_tags", cap: int = 2) -> str:
+def _capped_sql(scope: str, tags: str = "o.own_tags", cap: int | str = 2) -> str:
     base = "WITH " + _EX.replace("%TAGS%", tags)
     return (
         base
@@ -268,6 +268,14 @@ _ONE_TAG = "CASE WHEN o.m IN (1, 2) THEN '{\"action\":\"show\"}' ELSE o.own_tags
 _add("cap_with_size_limits", _cap_limits, _capped_sql("userid || '/' || dbid", _ONE_TAG, 1))
 
 
+def _cap_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: one controller, any action, two jobs."""
+    return reports.report(spark, "capped_rows", _store(spark, sf_dir, cardinality_cap=2, cardinality_cap_overrides="controller:1, action:0", nested_tags="scan"))
+
+
+_add("cap_overrides", _cap_overrides, _capped_sql("userid || '/' || dbid", "o.own_tags", "CASE k2 WHEN 'controller' THEN 1 WHEN 'action' THEN 1000000 ELSE 2 END"))
+
+
 def _cap_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More values than slots: what is lost to the full table."""
     s = _store(spark, sf_dir, tags="traceparent, controller", exclude_tags="", cardinality_cap=1_000_000, cardinality_cap_slots=256, cardinality_cap_scope="server", max_tags=2, nested_tags="scan")
@@ -318,6 +326,58 @@ _add("appname_tags", _tags(appname="controller:app,job:nightly", extractors="sql
 _add("override_tags", _tags(override="controller='forced'"), _tags_sql("CASE WHEN m IN (1, 2) THEN '{\"action\":\"show\",\"controller\":\"forced\"}' WHEN m = 4 THEN CAST(json_object('controller', 'forced', 'job', e) AS VARCHAR) ELSE '{\"controller\":\"forced\"}' END"))
 
 
+_add(
+    "normalize_longest", _tags(tags="route", normalize=r"route: '/(u|users|us)' => '/x'"),
+    _tags_sql("CASE WHEN m = 3 THEN CAST(json_object('route', '/x/' || k) AS VARCHAR) ELSE '{}' END"),
+)
+
+
+def _constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements whose literals, names and comments hide a false comment (B2-B9,
+    B12), that never end (B5), or whose value is no text or too long (C4, D-2, D-7)."""
+    df = _events(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "event_type")
+    fake, own = "/*controller:fake*/", F.concat(F.lit(" /*controller:"), F.col("event_type"), F.lit("*/"))
+    hidden = [
+        f"SELECT 'it''s {fake}'", f"SELECT E'\\'{fake}'", f'SELECT 1 AS "a""{fake}"', f"SELECT $q$ {fake} $q$", f"SELECT 1 -- {fake}\n+ 1",
+        f"SELECT /* a {fake} b */ 1 + 1", f"SELECT E'a'\n'\\'{fake}'", f"SELECT U&'{fake}'", f"SELECT $1, $$ ' {fake} $$",
+    ]
+    shape, text = F.col("seq") % 13, F.lit(None).cast("string")
+    for i, t in enumerate(hidden):
+        text = F.when(shape == i, F.concat(F.lit(t), own)).otherwise(text)
+    text = F.when(shape == 9, F.concat(F.lit("SELECT 'open"), own)).when(shape == 10, F.concat(F.lit("SELECT 1 /*controller:"), F.col("event_type"))).otherwise(text)
+    text = F.when(shape == 11, F.lit("SELECT 1 /*controller='%FF'*/")).when(shape == 12, F.lit(f"SELECT 1 /*controller:{'x' * 100}*/")).otherwise(text)
+    return extract.with_tags(df.join(e, "seq").withColumn("query_string", text), Settings(**BASE)).select("seq", "tags_json", "invalid_tags")
+
+
+_add(
+    "lexer_constructs", _constructs,
+    "SELECT event_id AS seq, CASE WHEN event_id % 13 < 9 THEN CAST(json_object('controller', event_type) AS VARCHAR) WHEN event_id % 13 = 12 THEN CAST(json_object('controller', repeat('x', 64)) AS VARCHAR) ELSE '{}' END AS tags_json, "
+    "CAST(CASE WHEN event_id % 13 = 11 THEN 1 ELSE 0 END AS BIGINT) AS invalid_tags FROM events",
+)
+
+
+def _recorded_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recorded of utilities, failures, unknown statements and parallel workers (A3, P2, P4), before and from 17."""
+    seq = F.col("seq")
+    df = _events(spark, sf_dir).withColumns({
+        "command_tag": F.element_at(F.array(*map(F.lit, _KINDS)), (seq % 5 + 1).cast("int")), "is_utility": seq % 5 != 0, "status": F.when(seq % 7 == 0, "error").otherwise("ok"),
+        "queryid": F.when(seq % 11 == 0, 0).otherwise(F.col("queryid")), "is_parallel_worker": seq % 13 == 0, "tags_json": F.lit("{}"),
+    })
+    s = Settings(**BASE, untagged="record", track_utility=True)
+    counts = [F.sum(executions.recorded(s.but(server_major=v)).cast("long")).alias(f"recorded_{v}") for v in (16, 18)]
+    return df.groupBy("command_tag").agg(*counts, F.sum(executions.utility_missing_queryid(s)).alias("missing_queryid"))
+
+
+_KINDS = ("SELECT", "EXECUTE", "PREPARE", "DEALLOCATE", "CREATE TABLE")
+_GOOD = "event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0"
+_add(
+    "recorded_kinds", _recorded_kinds,
+    f"SELECT {list(_KINDS)!r}[event_id % 5 + 1] AS command_tag, count(*) FILTER ({_GOOD} AND event_id % 5 IN (0, 4)) AS recorded_16, count(*) FILTER ({_GOOD} AND event_id % 5 IN (0, 3, 4)) AS recorded_18, "
+    "count(*) FILTER (event_id % 11 = 0 AND event_id % 5 IN (3, 4)) AS missing_queryid FROM events GROUP BY 1",
+)
+
+
 def _merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _events(spark, sf_dir).withColumn("query_string", F.concat("query_string", F.lit(" /*job:nightly*/")))
     return extract.with_tags(df, Settings(**BASE, extractors="sqlcommenter, marginalia(merge=on)")).select("seq", "tags_json")

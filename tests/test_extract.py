@@ -273,3 +273,17 @@ def test_session_tags_and_precedence():
     assert run("SELECT 1", appname=name) == {"action": "loop", "job": "worker"}
     assert run("SELECT 1 /*job='call'*/", appname=name) == {"action": "loop", "job": "call"}
     assert run("SELECT 1 /*job='call'*/", appname=name, override=b"job='set'")["job"] == "set"
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "want"),
+    [("a|ab", "ab", "ab"), ("(a|ab)(c|bcd)", "abcd", "abcd"), ("/(v|v1|v12)", "/v12/", "/v12"), ("[|a]+", "a|a", "a|a"), ("cat|dog", "hotdog", "dog"), (r"\|+", "||", "||"), ("[0-9]+|[0-9a-f]+", "12ab", "12ab")],
+)
+def test_the_longest_alternative_counts(pattern, text, want):
+    assert dsl.compile_pattern(pattern).search(text).group() == want
+
+
+def test_alternatives_beside_non_greedy_quantifiers():
+    with pytest.raises(ValueError, match="non-greedy"):
+        dsl.compile_pattern("(a|ab)+?c")
+    assert dsl.compile_pattern("a+?b").search("aab").group() == "aab"

@@ -202,8 +202,19 @@ def test_snapshot(spark, log, tmp_path):
     slots, current = snapshot.load(spark, s, built.current, path)
     alive = built.found.where(F.col("last_bucket") >= current - 11).count()
     assert store.entries(slots).count() == alive and current == built.current
+    assert snapshot.load(spark, s, built.current, path)[0] is None  # loaded once
+    snapshot.save(built.slots, s, built.current, path)
     few, _ = snapshot.load(spark, s.but(max_entries=100), built.current, path, unlink=False)
     assert store.entries(few).count() == 100
+    (tmp_path / "snap").rename(tmp_path / "snap.old")  # as if saving had ended there
+    assert snapshot.load(spark, s, built.current, path, unlink=False)[0] is not None
+    (manifest,) = (tmp_path / "snap" / "manifest").glob("part-*.txt")
+    told = manifest.read_text()
+    for crc in (tmp_path / "snap" / "manifest").glob(".*.crc"):
+        crc.unlink()
+    manifest.write_text(told.replace('"rows": ', '"rows": 1'))
+    assert snapshot.load(spark, s, built.current, path)[0] is None and not (tmp_path / "snap").exists()
+    snapshot.save(built.slots, s, built.current, path)
     assert snapshot.load(spark, s.but(bucket_count=3), built.current, path)[0] is None
     assert snapshot.load(spark, s, built.current, path)[0] is None  # discarded above
 
