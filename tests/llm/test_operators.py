@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -147,6 +148,12 @@ def test_quality_learns_toxic_terms(spark, docs):
     none = quality.learn(d.limit(0), l)
     assert none.weights == {} and quality.ledger(docs((1, "a b")), learned=none).first().fail_bits & quality.bits((quality.LEARNED,)) == 0
     assert quality.learn(docs((None, None), (1, "x")), l.limit(0)).weights == {}
+    rows = [(i, "vile word" if i < 4 else "fine word") for i in range(84)]
+    told = spark.createDataFrame([(i, int(i < 4)) for i, _ in rows] + [(5, None), (None, 1), (0, 0), (900, 1)], "doc_id long, toxic int")
+    got = quality.learn(clashing(docs(*rows, (0, "vile word"), (None, "vile"), (5, None))), told)
+    # 4 of 4 toxic documents hold it and none of 80 clean ones
+    assert got.weights == {"vile": round(1000 * math.log(160))} and got.least == got.weights["vile"]
+    assert quality.learn(docs(*rows), told, max_docs=0).weights == {}
 
 
 # ---- 2 ----

@@ -45,7 +45,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     want = c.sql(registry.oracles()[name])
