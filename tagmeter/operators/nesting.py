@@ -13,11 +13,15 @@ def resolve_roots(df: DataFrame, rounds: int = 32) -> DataFrame:
     """*df* with root_seq from parent_seq, by pointer jumping: each round
     doubles the depth that is resolved, and ends when nothing moves."""
     roots = df.select("seq", F.coalesce("parent_seq", "seq").alias("up"))
+    last = None
     for _ in range(rounds):
         above = roots.select(F.col("seq").alias("_s"), F.col("up").alias("_u"))
         new = roots.join(above, roots["up"] == above["_s"], "left").select("seq", "up", F.coalesce("_u", "up").alias("next"))
         new = new.cache()
-        moved = not new.where("next <> up").isEmpty()
+        moved = new.where("next <> up").count() > 0  # fills the cache, so the last round's can go
+        if last is not None:
+            last.unpersist()
+        last = new
         roots = new.select("seq", F.col("next").alias("up"))
         if not moved:
             break

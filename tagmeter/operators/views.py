@@ -26,17 +26,29 @@ def visible(caller: int | None, see_all: bool) -> Column:
 TEXT = ("query_string", "stmt_location", "stmt_len", "scs", "application_name", "tags_override")
 
 
-def once(df: DataFrame) -> DataFrame:
+def once(df: DataFrame, folder: str | None = None) -> DataFrame:
     """*df*, computed once: texts are lexed in one pass however often views
     read the tags.  On a cluster it is a narrow table in the shared folder,
     else it is cached."""
     spark = df.sparkSession
-    told = spark.conf.get("spark.checkpoint.dir", None)
+    told = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         return df.persist()
     path = f"{told.rstrip('/')}/tagged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def free(df: DataFrame | None) -> None:
+    """Undo ``once``."""
+    if df is None:
+        return
+    df.unpersist()
+    if path := getattr(df, "stored_at", None):
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @dataclass
@@ -52,6 +64,7 @@ class Store:
     evictions: dict | None = None  # counters of a store that had to evict
     kept: DataFrame | None = None  # recorded executions after caps
     reset_at: object = None  # when the store was last emptied
+    own: DataFrame | None = None  # what ``once`` keeps
 
     @classmethod
     def build(cls, executions: DataFrame, settings, fast: bool = True, clamp: bool = True) -> Store:
@@ -69,11 +82,11 @@ class Store:
         latest = store.exemplars(placed) if settings.parsed["exemplars"] else None
         current = store.current_bucket(slots)
         if found.count() <= settings.max_entries:
-            return cls(settings, tagged, slots, found, latest, current, kept=kept)
+            return cls(settings, tagged, slots, found, latest, current, kept=kept, own=own)
         slots.unpersist()
         (slots, found), evictions = store.bounded(placed, settings)
         latest = latest.join(found.select(*KEY), KEY, "left_semi") if latest is not None else None
-        return cls(settings, tagged, slots, found, latest, current, evictions, kept)
+        return cls(settings, tagged, slots, found, latest, current, evictions, kept, own=own)
 
     def stats(self, showtags: bool = True, merge_buckets: bool = False, last_only: bool = False, caller: int | None = None, see_all: bool = True) -> DataFrame:
         """Rows of live buckets, or one for each entry, or of the last
@@ -150,8 +163,9 @@ class Store:
         return self.counters().crossJoin(oldest)
 
     def close(self) -> None:
-        """Free the cached slots."""
+        """Free what the store keeps; its views can't be read afterwards."""
         self.slots.unpersist()
+        free(self.own)
 
     def create_views(self, spark: SparkSession, prefix: str = "context") -> None:
         """Temporary views: <prefix>, _totals, _last_bucket, _activity, _info, _counters."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmeter.functions.model import BoundedStore
-from tagmeter.operators import benchstats, caps, extract, nesting, reports, store
+from tagmeter.operators import benchstats, caps, extract, nesting, reports, store, views
 from tagmeter.operators.views import Store, has_tag
 from tagmeter.plans import sizing
 from tagmeter.plans.settings import Settings
@@ -73,6 +73,15 @@ def test_batch_store_matches_the_model(spark, log):
     assert store.in_order(log, 86_400)
 
 
+def test_close_frees_the_log(spark, log, tmp_path, monkeypatch):
+    keep = views.once
+    monkeypatch.setattr(views, "once", lambda df: keep(df, str(tmp_path)))
+    built = Store.build(log, Settings(track="all", bucket_interval=86_400))
+    assert built.totals().count() > 0 and len(list(tmp_path.iterdir())) == 1
+    built.close()
+    assert not list(tmp_path.iterdir())
+
+
 def test_totals_example():
     """100 calls since the entry began, 10 of them live."""
     m = BoundedStore(100, 2)
