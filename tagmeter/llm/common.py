@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -135,6 +136,14 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  A worker lives on after its task, and
+    what it held would else count while others, or none, have work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_pieces(df: DataFrame, make: Callable[[pa.RecordBatch], dict | None], schema: str, column: str = "text") -> DataFrame:
     """Apply *make* to pieces of *df*; it returns arrays by name of *schema*."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -143,10 +152,15 @@ def map_pieces(df: DataFrame, make: Callable[[pa.RecordBatch], dict | None], sch
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, column):
-            got = make(piece)
-            if got is not None:
-                yield pa.RecordBatch.from_arrays([_as(got[f.name], f.type) for f in arrow], schema=arrow)
+        piece = got = None
+        try:
+            for piece in pieces(batches, column):
+                got = make(piece)
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([_as(got[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            piece = got = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 

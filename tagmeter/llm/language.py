@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, texts
+from .common import map_pieces, small, small_batches, texts
 
 #: Bound of the training text for each language, in expectation.
 TRAIN_BYTES = 1_000_000
@@ -45,6 +46,11 @@ MODEL_BYTES = 256 << 20
 #: Entries up to which an index is a table.
 DENSE = 16 << 20
 FOLDS = 5
+#: Bytes that are coded at a time, of however long a text: some 60 times as
+#: much memory is needed for them.
+WINDOW = 128 << 10
+#: Rows that a worker gets at a time to judge.
+JUDGED_ROWS = 500
 
 HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
 
@@ -81,6 +87,15 @@ def _costs(context: np.ndarray, count: np.ndarray, lower: np.ndarray, total: np.
     return cost, escape
 
 
+def _windows(many: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """The number of a text and at most WINDOW bytes of it after the three
+    before them, which are spaces at its start."""
+    for at, t in enumerate(many):
+        yield at, b"   " + t[:WINDOW]
+        for k in range(WINDOW, len(t), WINDOW):
+            yield at, t[k - 3 : k + WINDOW]
+
+
 class Model:
     """Cost tables of all languages."""
 
@@ -142,36 +157,40 @@ class Model:
     def bits(self, many: list[bytes]) -> np.ndarray:
         """Code lengths, a row for each text and a column for each language."""
         out = np.zeros((len(many), len(self.langs)))
-        a, start = self.symbols, 0
-        while start < len(many):
-            # about a megabyte at once bounds the memory; a longer text goes alone
-            end, held = start, 0
-            while end < len(many) and (end == start or held + len(many[end]) < 1 << 20):
-                held += len(many[end]) + 3
-                end += 1
-            raw = b"".join(b"   " + t for t in many[start:end])
-            s = self.of_byte[np.frombuffer(raw, np.uint8)].astype(np.int64)
-            size = np.array([len(t) + 3 for t in many[start:end]])
-            if len(s) > 3:
-                begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-                two = s[1:-2] * a + s[2:-1]
-                context = self.contexts3(s[:-3] * a * a + two)
-                four = np.where(context >= 0, self.strings4(np.maximum(context, 0).astype(np.int64) * a + s[3:]), -1)
-                rare = np.flatnonzero(four < 0)
-                escaped, pair, symbol = context[rare], two[rare], s[3:][rare]
-                three = self.strings3(pair * a + symbol)
-                rarer = np.flatnonzero(three < 0)
-                for i in range(len(self.langs)):
-                    cost = self.cost4[i][four]
-                    short = self.cost3[i][three]
-                    short[rarer] = self.escape2[i][pair[rarer]] + self.cost1[i][pair[rarer] % a * a + symbol[rarer]]
-                    cost[rare] = self.escape3[i][escaped] + short
-                    # total[j]: bits of the symbols before j, from the fourth on
-                    total = np.concatenate([np.zeros(4), np.cumsum(cost, dtype=np.float64)])
-                    out[start:end, i] = total[begin + size] - total[begin + 3]
-            start = end
+        a, part, held = self.symbols, [], 0
+        for at, window in _windows(many):
+            if part and held + len(window) > WINDOW + 3:
+                self._add(out, part, a)
+                part, held = [], 0
+            part.append((at, window))
+            held += len(window)
+        if part:
+            self._add(out, part, a)
         return out
 
+    def _add(self, out: np.ndarray, part: list[tuple[int, bytes]], a: int) -> None:
+        """Add the bits of windows to the rows of *out* that they belong to."""
+        s = self.of_byte[np.frombuffer(b"".join(w for _, w in part), np.uint8)].astype(np.int64)
+        if len(s) <= 3:
+            return
+        size, row = np.array([len(w) for _, w in part]), np.array([at for at, _ in part])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        two = s[1:-2] * a + s[2:-1]
+        context = self.contexts3(s[:-3] * a * a + two)
+        four = np.where(context >= 0, self.strings4(np.maximum(context, 0).astype(np.int64) * a + s[3:]), -1)
+        rare = np.flatnonzero(four < 0)
+        escaped, pair, symbol = context[rare], two[rare], s[3:][rare]
+        three = self.strings3(pair * a + symbol)
+        rarer = np.flatnonzero(three < 0)
+        for i in range(len(self.langs)):
+            cost = self.cost4[i][four]
+            short = self.cost3[i][three]
+            short[rarer] = self.escape2[i][pair[rarer]] + self.cost1[i][pair[rarer] % a * a + symbol[rarer]]
+            cost[rare] = self.escape3[i][escaped] + short
+            # total[j]: bits of the symbols before j, from the fourth on
+            total = np.concatenate([np.zeros(4), np.cumsum(cost, dtype=np.float64)])
+            np.add.at(out[:, i], row, total[begin + size] - total[begin + 3])
+
     def predict(self, many: list[bytes]) -> tuple[list[str], list[float]]:
         names, scores, _ = self.judge(many)
         return names, scores
@@ -237,19 +256,24 @@ MIN_SCORE, MIN_BYTES, MAX_EXCESS = 0.5, 200, 4.0
 
 def keep_known(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE, max_excess: float = MAX_EXCESS) -> DataFrame:
     """*docs* without those that are ``und``, score below *min_score*, or whose
-    code is so long that they are in no language the model knows."""
+    code is so long that they are in no language the model knows.
+
+    Workers get a few rows at a time and name those that go; the rows
+    themselves stay with Spark, so no more than one table of ids is made."""
     model = model or train(docs)
-    names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def make(piece: pa.RecordBatch) -> dict:
         many = texts(piece)
         got = zip(many, *shared.value.judge(many), strict=True)
-        mask = pa.array([x != "und" and s >= min_score and (e <= max_excess or len(t) < MIN_BYTES) for t, x, s, e in got], pa.bool_())
-        return {c: piece.column(c).filter(mask) for c in names}
+        mask = pa.array([x == "und" or s < min_score or (e > max_excess and len(t) >= MIN_BYTES) for t, x, s, e in got], pa.bool_())
+        return {c: piece.column(c).filter(mask) for c in ("__tm_d", "__tm_t")}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_pieces(docs, make, schema)
+    rows = docs.select(F.col("doc_id").alias("__tm_d"), F.xxhash64("text").alias("__tm_t"), "text")
+    with small_batches(spark, JUDGED_ROWS):
+        gone = small(map_pieces(rows, make, f"__tm_d {docs.schema['doc_id'].dataType.simpleString()}, __tm_t long"), "unknown")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tm_d")) & (F.xxhash64("text") == F.col("__tm_t")), "left_anti")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

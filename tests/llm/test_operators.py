@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +360,53 @@ def test_language_codes_are_exact(monkeypatch, dense):
         assert m.bits([b"pad", text])[1] == pytest.approx([brute.code_length(samples[k], text) for k in m.langs], rel=1e-5)
 
 
+def test_language_windows(monkeypatch):
+    """Texts longer than a window cost the same bits, in bounded memory."""
+    samples = {"aa": [b"abracadabra abra " * 30, b"banana"], "bb": [b"mississippi miss " * 30, b"xyz"]}
+    m = language.Model(samples)
+    long = b"miss banana \xff abra " * 200_000
+    tracemalloc.start()
+    whole = m.bits([long, b"", b"abra"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(long)
+    monkeypatch.setattr(language, "WINDOW", 7)
+    for text in (b"abra", b"", b"miss ban", b"miss banana \xff!" * 4):
+        assert m.bits([b"pad", text, b"z" * 15])[1] == pytest.approx([brute.code_length(samples[k], text) for k in m.langs], rel=1e-5)
+    assert m.bits([long[: len(long) // 1000]])[0] * 1000 == pytest.approx(whole[0], rel=1e-3) and not whole[1].any()
+
+
+def test_language_workers_get_few_rows(spark, docs, monkeypatch):
+    """The texts of a split don't reach a worker at once, and the rows that
+    stay don't pass through it."""
+    told, rows = spark.conf.get(common._BATCH), []
+    seen = lambda df, *_: rows.append(df.sparkSession.conf.get(common._BATCH)) or table(df, *_)
+    table = common.table
+    monkeypatch.setattr(common, "table", seen)
+    d = read(spark, "documents").limit(200)
+    kept = language.keep_known(d, language.train(d))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert rows == [str(language.JUDGED_ROWS)] and "MapInArrow" not in plan and spark.conf.get(common._BATCH) == told
+
+
+def test_workers_give_memory_back(docs, monkeypatch):
+    """At the end of a task, also of one that isn't read to its end."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1), raising=False)
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    run = common.map_pieces(Frame(), lambda p: {"n": [len(p)]}, "n long")
+    batch = pa.RecordBatch.from_pydict({"text": ["a", "b"]})
+    assert [x.to_pydict() for x in run(iter([batch]))] == [{"n": [2]}] and calls == [1]
+    part = run(iter([batch, batch]))
+    next(part)
+    part.close()
+    assert calls == [1, 1]
+
+
 def test_language_ties_and_long_rows(docs):
     """Ties go to the first language; a language whose one text is far beyond
     the bound is learned from its beginning."""
