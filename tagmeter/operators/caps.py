@@ -183,7 +183,9 @@ def with_caps_exact(df: DataFrame, settings, whole: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(c) for c in names] + more, names=[*names, *FOLDED])
 
     rows = df.withColumn("_scope", scope_of(settings))
-    order = rows.repartition(1).sortWithinPartitions("seq") if whole else rows.repartition("_scope").sortWithinPartitions("_scope", "seq")
+    # dealt by the scope itself, rows that come from a join on it would not be
+    # shuffled again, and that join's shuffle may be read by mapper
+    order = rows.repartition(1).sortWithinPartitions("seq") if whole else rows.repartition(F.xxhash64("_scope")).sortWithinPartitions("_scope", "seq")
     return order.mapInArrow(fold, out)
 
 

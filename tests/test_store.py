@@ -177,6 +177,24 @@ def test_caps_meet_limits_on_size(spark, log, cap, values, users):
     assert (empty.entries, empty.capped_tags, empty.dropped_tags) == (0, 0, 0) and empty.stats_reset is not None
 
 
+def test_a_scope_is_folded_in_one_task(spark, tmp_path):
+    """Each scope admits its first value, also where the join that finds the
+    scopes to fold becomes a broadcast while it runs."""
+    rows = [(i, i % 3, 1, f'{{"action":"v{i * 7 % 10}"}}', f'[["action","v{i * 7 % 10}"],["job","x"]]', 0, 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq long, userid long, dbid long, tags_json string, candidates_json string, capped_tags long, dropped_tags long")
+    for part in range(4):
+        df.where(f"seq % 4 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.openCostInBytes": str(128 << 20), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r.userid, r.tags_json) for r in caps.applied(spark.read.parquet(str(tmp_path / "log")), Settings(cardinality_cap=1, max_tags=1)).collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert got == {(u, t) for u, v in ((0, "v0"), (1, "v7"), (2, "v4")) for t in (f'{{"action":"{v}"}}', '{"action":null}')}
+
+
 def test_exact_and_plain_paths_agree(spark, log):
     s = Settings(track="all")
     a = extract.with_tags(log, s, fast=True).select("seq", "tags_json")
