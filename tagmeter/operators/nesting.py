@@ -35,13 +35,17 @@ def with_nesting(df: DataFrame, mode: str = "inherit") -> DataFrame:
     if mode == "scan":
         return df
     own = [c for c in TAGS if c in df.columns]
-    nested = (F.col("nesting_level") > 0) & ~F.col("during_planning")
+    nested = F.coalesce((F.col("nesting_level") > 0) & ~F.col("during_planning"), F.lit(False))
     if mode == "none":
         return df.withColumns({c: F.when(nested, F.lit(TAGS[c])).otherwise(F.col(c)) for c in own})
-    # only roots that nested statements name are joined
-    wanted = df.where(nested).select(F.col("root_seq").alias("_w")).distinct()
+    # only nested statements are joined, and only to roots that they name: the
+    # others, without a key to join by, would all meet in one task
+    inner = df.where(nested)
+    wanted = inner.select(F.col("root_seq").alias("_w")).where("_w is not null").distinct()
     roots = df.join(wanted, df["seq"] == F.col("_w"), "left_semi").select(F.col("seq").alias("_root"), *(F.col(c).alias(f"_{c}") for c in own))
-    joined = df.withColumn("_key", F.when(nested, F.col("root_seq"))).join(roots, F.col("_key") == F.col("_root"), "left")
+    # one without a root joins by its own seq, so that those don't meet either
+    named = F.col("root_seq").isNotNull()
+    joined = inner.withColumn("_named", named).withColumn("_key", F.coalesce("root_seq", "seq")).join(roots, (F.col("_key") == F.col("_root")) & F.col("_named"), "left")
     # a root whose tags were read plainly has no candidates of its own
     taken = {c: F.when(F.col("_root").isNull(), F.lit(TAGS[c])).otherwise(F.col(f"_{c}")) for c in own}
-    return joined.select(*(F.when(nested, taken[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in df.columns))
+    return df.where(~nested).unionByName(joined.select(*(taken[c].alias(c) if c in own else F.col(c) for c in df.columns)))

@@ -209,6 +209,29 @@ def test_registered_function(spark):
     assert '"controller": "x"' in spark.sql("SELECT extract_tags('SELECT 1 /*controller:x*/', -1, 0)").first()[0]
 
 
+def test_nesting_spreads_the_log(spark):
+    """Statements that ask for no root's tags don't meet in one task, nor do
+    nested ones without a root; a level that isn't known keeps its own tags."""
+    rows = spark.range(4000, numPartitions=4).selectExpr(
+        "id AS seq", "CASE WHEN id % 4 = 0 THEN 1 WHEN id % 400 = 1 THEN NULL ELSE 0 END AS nesting_level", "false AS during_planning",
+        "CASE WHEN id % 8 = 0 THEN id + 1 END AS root_seq", "concat('{\"job\":\"', id, '\"}') AS tags_json",
+    )
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = nesting.with_nesting(rows).select("seq", "tags_json", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = {i: "{}" if i % 8 == 4 else f'{{"job":"{i + (i % 8 == 0)}"}}' for i in range(4000)}
+    assert len(got) == 4000 and {r.seq: r.tags_json for r in got} == want
+    tasks = [r.task for r in got]
+    assert max(map(tasks.count, set(tasks))) <= 1500
+    bare = [r.task for r in got if r.tags_json == "{}"]
+    assert max(map(bare.count, set(bare))) <= 250
+
+
 def test_recorded_predicates(spark, log):
     base = extract.with_tags(log.limit(50), Settings())
     n = base.count()
