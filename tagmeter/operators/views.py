@@ -121,6 +121,10 @@ class Store:
         completions has idle sessions only; one that is still running has no
         status yet."""
         top = self.executions.where("nesting_level = 0")
+        # a maximum of rows with text would sort the log: one of numbers tells
+        # which rows can be the latest, and only those are compared
+        latest = top.groupBy("pid").agg(F.max("seq").alias("_last")).select("_last")
+        top = top.join(latest, top["seq"] == F.col("_last"), "left_semi")
         last = top.groupBy("pid").agg(F.max_by(F.struct("userid", "dbid", "queryid", "status", "tags_json"), "seq").alias("r"))
         last = last.select("pid", "r.userid", "r.dbid", "r.queryid", F.when(F.col("r.status").isNull(), "active").otherwise("idle").alias("state"), "r.tags_json")
         shown = visible(caller, see_all)

@@ -232,6 +232,23 @@ def test_nesting_spreads_the_log(spark):
     assert max(map(bare.count, set(bare))) <= 250
 
 
+def test_activity_sorts_no_log(spark, log):
+    """The latest top-level statement of each session; only rows that can be it
+    are compared with their text."""
+    built = Store.build(log, Settings(track="all", bucket_interval=86_400))
+    want = {}
+    for r in built.executions.where("nesting_level = 0").orderBy("seq").collect():
+        want[r.pid] = (r.userid, r.dbid, r.queryid, "idle", r.tags_json)
+    assert {r.pid: (r.userid, r.dbid, r.queryid, r.state, r.tags_json) for r in built.activity().collect()} == want
+    plain = Store.build(log, Settings(track="all", bucket_interval=86_400, nested_tags="scan"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plain.activity()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "LeftSemi" in plan[plan.rindex("SortAggregate") :]
+
+
 def test_recorded_predicates(spark, log):
     base = extract.with_tags(log.limit(50), Settings())
     n = base.count()
